@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from migcheck.llm import packing, token_orc
-from migcheck.llm.shared import shared_dir, table
+from migcheck.llm import license_scan, packing, repetition, sharding, token_orc, warc
+from migcheck.llm.shared import materialise, shared_dir, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -40,9 +40,49 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages with resolved revisits, read back record by record."""
+    path = shared_dir(spark, "warc")
+    warc.write(warc.resolve(table(spark, sf_dir, "pages")), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of nearly equal bytes, over a stored slot map."""
+    placed = sharding.records(table(spark, sf_dir, "documents"))
+    cells = materialise(sharding.cells_of(placed), "cells")
+    path = shared_dir(spark, "slot-map")
+    sharding.save_map(sharding.first_map(sharding.slot_sizes(cells), shards=16), path)
+    assigned = sharding.assign(placed, cells, sharding.load_map(spark, path))
+    return assigned.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        F.col("position").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+        "virtual_slot",
+    )
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and template matches of all documents."""
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("blocks")
+
+
+def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition measures and verdict of all documents."""
+    return repetition.judge(repetition.measure(table(spark, sf_dir, "documents"))).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
     "op4_packing": op4_packing,
+    "op6_warc": op6_warc,
+    "op7_sharding": op7_sharding,
+    "op8_license_scan": op8_license_scan,
+    "op10_repetition": op10_repetition,
 }
 
 ORACLES: dict[str, str] = {}
