@@ -85,7 +85,7 @@ def pack(
     tokenizer: str,
     end_id: int,
     length: int = 2048,
-    group_tokens: int = 4_000_000,
+    group_tokens: int = 2_000_000,
     seed: int = 17,
     partitions: int | None = None,
 ) -> DataFrame:
@@ -96,7 +96,7 @@ def pack(
     rows = rows.repartition(partitions, "deal") if partitions else rows.repartition("deal")
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def placed(group: list[tuple[int | None, bytes]], first: int) -> tuple[pa.RecordBatch, int]:
+    def placed(group: list[tuple[int | None, bytes]], first: int) -> tuple[list[pa.RecordBatch], int]:
         width, out, rest, sizes, next_id = 4 * length, [], [], [], first
         for doc, ids in group:
             whole = len(ids) // width * width
@@ -111,8 +111,11 @@ def pack(
             out.append((doc, at, size, total, next_id + bin_, offset, ids))
             most = max(most, bin_)
         kinds = [pa.int64()] * 6 + [pa.binary()]
-        columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
-        return pa.RecordBatch.from_arrays(columns, names=PIECE.names), next_id + most + 1
+        done = [
+            pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[at : at + 500]), kinds)], names=PIECE.names)
+            for at in range(0, len(out), 500)
+        ]
+        return done, next_id + most + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.of(tokenizer)
@@ -120,14 +123,16 @@ def pack(
         group: list[tuple[int | None, bytes]] = []
         tokens = 0
         for batch in batches:
-            for doc, ids in zip(batch["doc_id"].to_pylist(), encoder.encode_bounded(batch["text"].to_pylist())):
-                group.append((doc, ids + end))
-                tokens += len(ids) // 4 + 1
-                if tokens >= group_tokens:
-                    done, next_id = placed(group, next_id)
-                    yield done
-                    group, tokens = [], 0
+            docs_of = batch["doc_id"].to_pylist()
+            for first, coded in encoder.runs(batch["text"].to_pylist()):
+                for doc, ids in zip(docs_of[first:], coded):
+                    group.append((doc, ids + end))
+                    tokens += len(ids) // 4 + 1
+                    if tokens >= group_tokens:
+                        done, next_id = placed(group, next_id)
+                        yield from done
+                        group, tokens = [], 0
         if group:
-            yield placed(group, next_id)[0]
+            yield from placed(group, next_id)[0]
 
     return rows.sortWithinPartitions("deal", "row").select("doc_id", "text").mapInArrow(run, PIECE)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from migcheck.llm import license_scan, packing, repetition, sharding, token_orc, warc
+from migcheck.llm import decontaminate, license_scan, packing, repetition, sanitise, sharding, token_orc, warc
 from migcheck.llm.shared import materialise, shared_dir, table
 
 
@@ -31,6 +31,11 @@ def binary_crc32(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.withColumn(name, F.crc32(column)).drop(column)
 
 
+def op2_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents, with the words that disclose it."""
+    return sanitise.digest(sanitise.find(table(spark, sf_dir, "documents")))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     docs = table(spark, sf_dir, "documents")
@@ -71,6 +76,13 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("blocks")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all documents."""
+    docs = table(spark, sf_dir, "documents")
+    matches = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.judge(docs, matches).drop("doc_key")
+
+
 def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition measures and verdict of all documents."""
     return repetition.judge(repetition.measure(table(spark, sf_dir, "documents"))).drop("spans")
@@ -78,10 +90,12 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
+    "op2_sanitise": op2_sanitise,
     "op4_packing": op4_packing,
     "op6_warc": op6_warc,
     "op7_sharding": op7_sharding,
     "op8_license_scan": op8_license_scan,
+    "op9_decontaminate": op9_decontaminate,
     "op10_repetition": op10_repetition,
 }
 

@@ -56,6 +56,35 @@ def ascii_lower(text: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """Array of lower-case words (null text: no words), in order."""
+    """Array of lower-case words (null text: no words), in order.
+
+    Only the first and the last part of the split can be empty.
+    """
     parts = F.split(ascii_lower(F.coalesce(text, F.lit(""))), WORD_GAP, -1)
-    return F.filter(parts, lambda w: w != "")
+    first = (F.element_at(parts, 1) == "").cast("int")
+    last = (F.element_at(parts, -1) == "").cast("int")
+    return F.slice(parts, first + 1, F.greatest(F.lit(0), F.size(parts) - first - last))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, doc_key, text.
+
+    The pair (doc_id, doc_key) tells rows apart unless both id and text are the same; such rows
+    have the same results, so joining on the pair is safe for repeated ids.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.withColumn("doc_key", F.xxhash64("doc_id", "text"))
+
+
+def same_row(left: DataFrame, right: DataFrame) -> Column:
+    """Join condition on the pair made by :func:`keyed`."""
+    return (left["doc_key"] == right["doc_key"]) & left["doc_id"].eqNullSafe(right["doc_id"])
+
+
+#: Rows up to which a measured table is broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (a stored table of short rows), marked for broadcast only if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -52,22 +52,24 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, partitions: int | None
         part, start = TaskContext.get().partitionId(), 0
         encoder = PieceEncoder.of(tokenizer)
         for batch in batches:
-            coded = [x + end for x in encoder.encode_bounded(batch["text"].to_pylist())]
-            counts = np.array([len(x) // 4 for x in coded], dtype=np.int64)
-            ends = np.cumsum(counts)
-            ids = np.frombuffer(b"".join(coded), dtype="<i4")
-            offsets = np.concatenate([[0], ends]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["doc_id"],
-                    pa.array(np.full(len(coded), part, dtype=np.int32)),
-                    pa.array(start + ends - counts),
-                    pa.array(counts),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)),
-                ],
-                names=STORED.names,
-            )
-            start += int(counts.sum())
+            # small batches out: neither side holds the ids of a whole Arrow batch of texts
+            for first, coded in encoder.runs(batch["text"].to_pylist()):
+                coded = [x + end for x in coded]
+                counts = np.array([len(x) // 4 for x in coded], dtype=np.int64)
+                ends = np.cumsum(counts)
+                offsets = np.concatenate([[0], ends]).astype(np.int32)
+                ids = np.frombuffer(b"".join(coded), dtype="<i4")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch["doc_id"].slice(first, len(coded)),
+                        pa.array(np.full(len(coded), part, dtype=np.int32)),
+                        pa.array(start + ends - counts),
+                        pa.array(counts),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)),
+                    ],
+                    names=STORED.names,
+                )
+                start += int(counts.sum())
 
     return rows.sortWithinPartitions(*keys).select("doc_id", "text").mapInArrow(run, STORED)
 

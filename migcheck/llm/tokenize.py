@@ -1,26 +1,44 @@
 """Exact, cached use of the ``tokenizers`` library inside Spark tasks.
 
-A text is cut before each run of white space; both supported pre-tokenizers (byte-level
-and word-end BPE) always have a boundary there, so the ids of a text are the ids of its
-pieces in order.  Repeated pieces are then encoded once per worker.  Texts with white
-space other than blank, tab and line ends go to the library whole.
+A text is cut before each run of white space; both supported kinds of tokenizer (byte-level BPE, with
+or without word ends) always have a boundary there, so the ids of a text are the ids of its pieces in
+order, and repeated pieces are encoded once per worker.  A piece that is one word of plain letters,
+perhaps with a full stop or comma behind, goes straight to the library's BPE model; all others, and
+texts with white space other than blank, tab and line ends, go to the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import re
-
-import numpy as np
+import struct
+from collections.abc import Iterator
 
 PIECES = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 OTHER_SPACE = re.compile(r"[^\S \n\t\r]")
+PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
-#: Pieces remembered by one worker (about 200 bytes each); beyond it the memory starts anew.
-CACHE_PIECES = 400_000
+#: Entries remembered by one worker (about 150 bytes each); beyond them the memory starts anew.
+PIECES_KEPT = 250_000
+WORDS_KEPT = 400_000
 
 _encoders: dict[str, "PieceEncoder"] = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level BPE writes for bytes: printable Latin-1 as is, the others from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
@@ -29,7 +47,15 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.fold = self._whole(["Ab"]) == self._whole(["ab"]) == self._whole([" ab"])
+        self.ends = {x: self._whole([x])[0] for x in ("", "\n", ".", ",")}
+        # the direct way to the model is taken only if it agrees with the whole tokenizer
+        trial = ["word", " Word", "\nÜber", " naïve.", "état,", " a", "Ñandú."]
+        self.direct = True
+        self.direct = [self._piece(x) for x in trial] == self._whole(trial)
 
     @classmethod
     def of(cls, path: str) -> "PieceEncoder":
@@ -37,9 +63,34 @@ class PieceEncoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        return [packed(x.ids) for x in found]
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one word of letters, perhaps behind a blank."""
+        ids = self.words.get(word)
+        if ids is None:
+            if len(self.words) >= WORDS_KEPT:
+                self.words.clear()
+            written = word if word.isascii() and word[0] != " " else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids = packed([t.id for t in self.model.tokenize(written)])
+            self.words[word] = ids
+        return ids
+
+    def _piece(self, piece: str) -> bytes | None:
+        """Ids of a piece by way of the model, or None if it must go to the whole tokenizer."""
+        plain = PLAIN.fullmatch(piece) if self.direct else None
+        if plain is None:
+            return None
+        before, word, end = plain.groups()
+        if self.fold:
+            ids = self._word(word.lower())
+        elif before == "\n":
+            ids = self.ends["\n"] + self._word(word)
+        else:
+            ids = self._word(before + word)
+        return ids + self.ends[end] if end else ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null text has none."""
@@ -48,26 +99,31 @@ class PieceEncoder:
         for pieces in cut:
             if pieces:
                 new.update(pieces)
-        known = self.known
-        new.difference_update(known)
-        if len(known) + len(new) > CACHE_PIECES:
+        known = self.pieces
+        if len(known) + len(new) > PIECES_KEPT:
             known.clear()
-            new = {p for pieces in cut if pieces for p in pieces}
-        todo = list(new)
-        known.update(zip(todo, self._ids(todo)))
+        new.difference_update(known)
+        left = []
+        for piece in new:
+            ids = self._piece(piece)
+            if ids is None:
+                left.append(piece)
+            else:
+                known[piece] = ids
+        known.update(zip(left, self._whole(left)))
         get = known.__getitem__
         return [
-            b"".join(map(get, pieces)) if pieces is not None else (self._ids([t])[0] if t else b"")
+            b"".join(map(get, pieces)) if pieces is not None else (self._whole([t])[0] if t else b"")
             for t, pieces in zip(texts, cut)
         ]
 
-    def encode_bounded(self, texts: list[str | None], most_chars: int = 4_000_000):
-        """As :meth:`encode`, in runs of at most ``most_chars`` characters (or one text)."""
-        run, size = [], 0
-        for t in texts:
-            if run and size + len(t or "") > most_chars:
-                yield from self.encode(run)
-                run, size = [], 0
-            run.append(t)
-            size += len(t or "")
-        yield from self.encode(run)
+    def runs(self, texts: list[str | None], most_chars: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
+        """(first text, ids of each) in runs of at most ``most_chars`` characters (or one text)."""
+        first, size = 0, 0
+        for at, text in enumerate(texts):
+            if at > first and size + len(text or "") > most_chars:
+                yield first, self.encode(texts[first:at])
+                first, size = at, 0
+            size += len(text or "")
+        if first < len(texts):
+            yield first, self.encode(texts[first:])
