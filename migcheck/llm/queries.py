@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from migcheck.llm import decontaminate, license_scan, packing, repetition, sanitise, sharding, token_orc, warc
+from migcheck.llm import decontaminate, license_scan, packing, repetition, sanitise, sharding, token_orc, toxicity, warc
 from migcheck.llm.shared import materialise, shared_dir, table
 
 
@@ -45,6 +45,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated toxicity of all documents."""
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", "hit_density", "near_second_person", "obfuscated_hits")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of all pages with resolved revisits, read back record by record."""
     path = shared_dir(spark, "warc")
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
     "op2_sanitise": op2_sanitise,
     "op4_packing": op4_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
     "op7_sharding": op7_sharding,
     "op8_license_scan": op8_license_scan,
