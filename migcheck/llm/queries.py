@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from migcheck.llm import decontaminate, license_scan, packing, repetition, sanitise, sharding, token_orc, toxicity, warc
+from migcheck.llm import decontaminate, jaccard_join, license_scan, packing, repetition, sanitise, sharding, token_orc, toxicity, warc
 from migcheck.llm.shared import materialise, shared_dir, table
 
 
@@ -36,15 +36,24 @@ def op2_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise.digest(sanitise.find(table(spark, sf_dir, "documents")))
 
 
-def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 tokens."""
-    docs = table(spark, sf_dir, "documents")
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of all documents."""
+    return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    """Pieces in sequences of at most 2048 tokens, with checksums in place of their ids."""
     pieces = packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=1)
     return binary_crc32(pieces, "ids", "ids_crc32").select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    return packed_pieces(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated toxicity of all documents."""
     scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -97,6 +106,7 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
     "op2_sanitise": op2_sanitise,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,

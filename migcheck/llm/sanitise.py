@@ -21,7 +21,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from migcheck.llm.shared import keyed, materialise, same_row, small
+from migcheck.llm.shared import keyed, materialise, same_row, small, with_key
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -109,14 +109,17 @@ def places(text: Column, pattern: Column | str, order: int, kind: str, needs: st
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, doc_key and ``base``: the valid matches by start, then kind."""
-    rows = keyed(docs)
+    """doc_id, doc_key, text, ``row`` (the other columns) and ``base``: the valid matches by start, then kind."""
+    others = [c for c in docs.columns if c != "text"]
+    rows = with_key(docs, "_own_key").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("_own_key").alias("doc_key"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("row")
+    )
     text = F.coalesce("text", F.lit(""))
     for order, kind in enumerate(KINDS):
         needs = {"email": "@", "phone": "+"}.get(kind, "")
         rows = rows.withColumn(kind, places(text, PATTERNS[kind], order, kind, needs))
     checked = [F.filter(kind, partial(_valid_span, kind)) for kind in KINDS]
-    return rows.select("doc_id", "doc_key", "text", F.array_sort(F.concat(*checked)).alias("base"))
+    return rows.select("doc_id", "doc_key", "text", "row", F.array_sort(F.concat(*checked)).alias("base"))
 
 
 def entity(span: Column) -> Column:
@@ -215,14 +218,14 @@ def term_spans(found: DataFrame, near: DataFrame, disclosing: DataFrame, removal
 def find(
     docs: DataFrame, threshold: float = 0.9, removal: float = 0.999, least_texts: int = 3, reach: int = 120
 ) -> DataFrame:
-    """doc_id, doc_key, text, ``base`` spans and all ``spans`` of every document."""
+    """doc_id, doc_key, text, ``row`` (the other columns), ``base`` spans and all ``spans`` of every document."""
     found = base_spans(docs)
     near = materialise(contexts(found, reach), "contexts")
     disclosing = materialise(disclosures(docs, near, threshold, removal, least_texts), "disclosures")
     extra = materialise(term_spans(found, near, disclosing), "term-spans")
     joined = found.join(small(extra, 50_000), same_row(found, extra), "left")
     spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.coalesce("terms", F.array()))))
-    return joined.select(found["doc_id"], found["doc_key"], "text", "base", spans.alias("spans"))
+    return joined.select(found["doc_id"], found["doc_key"], "text", "row", "base", spans.alias("spans"))
 
 
 def sanitised(text: Column, spans: Column) -> Column:
@@ -244,6 +247,14 @@ def sanitised(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(step["out"], F.substring(text, step["at"] + 1, F.length(text))))
 
 
+def sanitise(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with sanitised texts (nulls stay null); a column ``n_chars`` follows, all others are kept."""
+    found = find(docs, **options).withColumn("text", sanitised(F.col("text"), F.col("spans")))
+    length = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    kept = {"text": F.col("text"), "n_chars": length}
+    return found.select(*(kept.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+
+
 def listed(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

@@ -88,3 +88,17 @@ BROADCAST_ROWS = 500_000
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (a stored table of short rows), marked for broadcast only if it has at most ``most`` rows."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` with all columns, but without the rows whose (doc_id, doc_key) is in the stored table ``gone``."""
+    names = gone.select(F.col("doc_id").alias("_gone_id"), F.col("doc_key").alias("_gone_key")).distinct()
+    names = small(materialise(names, "gone"))
+    rows = with_key(docs, "_own_key")
+    same = (F.col("_own_key") == F.col("_gone_key")) & rows["doc_id"].cast("long").eqNullSafe(names["_gone_id"])
+    return rows.join(names, same, "left_anti").drop("_own_key")
+
+
+def with_key(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the ``doc_key`` of :func:`keyed` under the given name."""
+    return docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))

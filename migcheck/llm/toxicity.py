@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from migcheck.llm.shared import materialise
+from migcheck.llm.shared import keyed, materialise
 
 # Common insults, counted from the start; all others are learned.
 INSULTS = """
@@ -78,7 +78,9 @@ FEATURES = (
     "distinct_share",
 )
 
-FEATURED = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in FEATURES)])
+FEATURED = T.StructType(
+    [T.StructField("doc_id", T.LongType()), T.StructField("doc_key", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in FEATURES)]
+)
 
 #: Words whose strength a worker remembers; beyond them the memory starts anew.
 WORDS_KEPT = 300_000
@@ -223,7 +225,7 @@ class Meter:
 
 
 def features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """doc_id and the :data:`FEATURES` of every text; the lexicon is bounded like the sample it comes from."""
+    """doc_id, doc_key and the :data:`FEATURES` of every text; the lexicon is bounded like the sample it comes from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meter = Meter(lexicon)
@@ -231,11 +233,10 @@ def features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
             rows = [meter.measure(t or "") for t in batch["text"].to_pylist()]
             columns = list(zip(*rows)) or [()] * len(FEATURES)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], *(pa.array(c, pa.float64()) for c in columns)], names=FEATURED.names
+                [batch["doc_id"], batch["doc_key"], *(pa.array(c, pa.float64()) for c in columns)], names=FEATURED.names
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, FEATURED)
+    return keyed(docs).mapInArrow(run, FEATURED)
 
 
 def fit(train: DataFrame, trees: int = 20, depth: int = 3) -> Callable[[DataFrame], DataFrame] | float:
@@ -270,7 +271,7 @@ def fit(train: DataFrame, trees: int = 20, depth: int = 3) -> Callable[[DataFram
 
 
 def score(docs: DataFrame, labels: DataFrame, most_labelled: int = 40_000, trees: int = 20, depth: int = 3) -> DataFrame:
-    """doc_id, the features, held_out, score and predicted of every document."""
+    """doc_id, doc_key, the features, held_out, score and predicted of every document."""
     sample = materialise(labelled_sample(docs, labels, most_labelled), "labelled")
     lexicon = learn_lexicon(sample)
     own = features(sample, lexicon).join(sample.select("doc_id", "toxic", "fold").distinct(), "doc_id").coalesce(4)
