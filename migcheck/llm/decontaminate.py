@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from migcheck.llm.shared import keyed, materialise, same_row, small, words_of
+from migcheck.llm.shared import keyed, materialise, n_words_of, same_row, small, split_words, words_of
 
 WINDOW = 13
 
@@ -40,13 +40,13 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 def postings_of(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, doc_key, position, term) of the ``terms`` in ``rows`` (doc_id, doc_key, text)."""
-    words = rows.select("doc_id", "doc_key", words_of(F.col("text")).alias("words"))
-    return words.select("doc_id", "doc_key", F.posexplode("words").alias("position", "term")).join(terms, "term", "left_semi")
+    words = rows.select("doc_id", "doc_key", F.posexplode(split_words(F.col("text"))).alias("position", "term"))
+    return words.join(terms, "term", "left_semi")
 
 
 def term_counts(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """How often each of ``terms`` occurs in all documents."""
-    words = rows.select(F.explode(words_of(F.col("text"))).alias("term"))
+    words = rows.select(F.explode(split_words(F.col("text"))).alias("term"))
     return words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
 
 
@@ -107,7 +107,7 @@ def near_matches(adjusted: DataFrame, windows: DataFrame, slack: int) -> DataFra
 def exact_matches(found: DataFrame, rows: DataFrame, items: DataFrame, n: int) -> DataFrame:
     """(doc_id, doc_key, item_id, start, end): candidates whose words all agree."""
     keys = small(materialise(found.select("doc_id", "doc_key").distinct(), "candidate-keys"))
-    texts = rows.join(keys, same_row(rows, keys), "left_semi").select("doc_id", "doc_key", words_of(F.col("text")).alias("words"))
+    texts = rows.join(keys, same_row(rows, keys), "left_semi").select("doc_id", "doc_key", split_words(F.col("text")).alias("words"))
     size = F.least(F.lit(n), F.size("item_words"))
     at = F.col("shift")
 
@@ -157,7 +157,7 @@ def judge(docs: DataFrame, matches: DataFrame, share: int = 20) -> DataFrame:
     )["n"]
     hits = own.select("doc_id", "doc_key", united.cast("long").alias("hit"), "items")
     rows = keyed(docs)
-    base = rows.select("doc_id", "doc_key", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    base = rows.select("doc_id", "doc_key", n_words_of(F.col("text")).alias("n_words"))
     n_hit = F.coalesce("hit", F.lit(0))
     return base.join(hits, same_row(base, hits), "left").select(
         base["doc_id"],

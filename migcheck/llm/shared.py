@@ -44,26 +44,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z only.
+    """Lower-case A-Z only; ``lower``, which folds every script, does so on ASCII texts and is cheaper."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, UPPER.lower())).otherwise(F.lower(text))
 
-    ``lower`` folds every script; it is used where it leaves the characters beyond
-    ASCII as they are, since it is much cheaper than the character-wise translate.
+
+def split_words(text: Column) -> Column:
+    """The lower-case words in order, with an empty one first or last where the text begins or ends with a gap.
+
+    Inside ``explode`` Spark evaluates whatever is named twice again and again, so nothing costly is.
     """
-    beyond = F.regexp_replace(text, r"[\x00-\x7F]+", "")
-    return F.when(F.lower(beyond) == beyond, F.lower(text)).otherwise(
-        F.translate(text, UPPER, UPPER.lower())
-    )
+    return F.split(ascii_lower(F.coalesce(text, F.lit(""))), WORD_GAP, -1)
 
 
 def words_of(text: Column) -> Column:
-    """Array of lower-case words (null text: no words), in order.
+    """Array of lower-case words (null text: no words), in order."""
+    return F.filter(split_words(text), lambda word: word != "")
 
-    Only the first and the last part of the split can be empty.
-    """
-    parts = F.split(ascii_lower(F.coalesce(text, F.lit(""))), WORD_GAP, -1)
-    first = (F.element_at(parts, 1) == "").cast("int")
-    last = (F.element_at(parts, -1) == "").cast("int")
-    return F.slice(parts, first + 1, F.greatest(F.lit(0), F.size(parts) - first - last))
+
+def n_words_of(text: Column) -> Column:
+    """How many words a text has."""
+    parts = split_words(text)
+    return (F.size(parts) - (F.element_at(parts, 1) == "").cast("int") - ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("int")).cast("long")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
