@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from migcheck.llm import decontaminate, jaccard_join, license_scan, packing, repetition, sanitise, sharding, token_orc, toxicity, warc
+from migcheck.llm import decontaminate, jaccard_join, license_scan, oracles, packing, repetition, sanitise, sharding, token_orc, toxicity, warc
 from migcheck.llm.shared import materialise, shared_dir, table
 
 
@@ -116,4 +116,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_repetition": op10_repetition,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_jaccard_join": oracles.JACCARD,
+    "op6_warc": oracles.WARC,
+    "op9_decontaminate": oracles.DECONTAMINATE,
+}
