@@ -49,17 +49,19 @@ def entries(text: str) -> list[str]:
 def parse(text: str) -> list[Field]:
     """The elementary fields with byte offsets; a redefining field lies over another and moves nothing."""
     fields, offset = [], 0
+    starts: dict[str, int] = {}
     for statement in entries(text):
         entry = ENTRY.match(statement)
         if not entry or entry[1] == "88":
             continue
         found = {k: (m[1].upper() if (m := p.search(entry[3])) else "") for k, p in CLAUSES.items()}
+        start = starts[entry[2].upper()] = starts.get(found["redefines"], offset)
         if not found["pic"]:
             continue
         length = pic_bytes(found["pic"], found["usage"]) * int(found["occurs"] or 1)
         point = found["pic"].find("V")
         decimals = 0 if point < 0 else pic_bytes(found["pic"][point + 1 :])
-        fields.append(Field(entry[2].upper(), found["pic"], found["usage"], offset, length, decimals, pic_type(found["pic"])))
+        fields.append(Field(entry[2].upper(), found["pic"], found["usage"], start, length, decimals, pic_type(found["pic"])))
         offset += 0 if found["redefines"] else length
     return fields
 
