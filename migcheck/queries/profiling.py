@@ -203,10 +203,10 @@ def completeness(spark, sf_dir):
 
 
 @R.add("rationalize_flat", f"""WITH {_NULLED}, r AS ({_null_sql("{c} IS NULL").partition(") SELECT")[1].replace(")", "", 1) + _null_sql("{c} IS NULL").partition(") SELECT")[2]}),
-    c AS (SELECT round(round(greatest(0.0, 100 - avg(round(null_percent, 2)))::DOUBLE, 2) * 0.5::DOUBLE + 50, 2) AS score FROM r)
+    c AS (SELECT round(round(greatest(0.0, 100 - avg(round(null_percent, 2)))::DOUBLE, 2) * 0.5::DOUBLE + 50, 3) AS score FROM r)
     SELECT 'events' AS "table", score, CASE WHEN score >= 70 THEN 'migrate' WHEN score >= 40 THEN 'review' ELSE 'archive' END AS recommendation FROM c""")
 def rationalize_flat(spark, sf_dir):
-    found = completeness(spark, sf_dir).withColumn("score", F.round(F.col("completeness") * 0.5 + 50, 2))
+    found = completeness(spark, sf_dir).withColumn("score", F.round(F.col("completeness") * 0.5 + 50, 3))
     return found.select("table", "score", monitor.recommendation(F.col("score")).alias("recommendation"))
 
 
