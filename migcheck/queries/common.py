@@ -164,6 +164,30 @@ LITERALS: dict[str, tuple[str, list[tuple]]] = {
     "ddl_new": ("line string", [("CREATE TABLE t (",), ("  id NUMBER(10),",), ("  name VARCHAR2(20),",), ("  at TIMESTAMP",), (")",)]),
     "data_files": ("file string, line_length int", [("contacts.dat", 813), ("claims.dat", 121), ("tiny.dat", 9), ("odd.dat", 300)]),
     "layouts": ("layout string, record_length int", [("CONTACTS.cpy", 813), ("CLAIMS.cpy", 120), ("CLAIMS2.cpy", 123), ("TINY.cpy", 11), ("OTHER.cpy", 400)]),
+    "programs": (
+        "program string, source string",
+        [
+            (
+                "CLMUPD",
+                "000100 IDENTIFICATION DIVISION.\n000200 PROCEDURE DIVISION.\n000300 MAIN-PARA.\n000400*    IF COMMENTED\n000500     IF CLAIM-AMT NOT NUMERIC\n"
+                "000600        MOVE 'E' TO STATUS-CD\n000700     PERFORM CHECK-PARA.\n000800 CHECK-PARA.\n000900     IF STATUS-CD = 'INVALID'\n001000     COMPUTE TOTAL = A + B.\n001100     STOP RUN.",
+            ),
+            ("PAYRUN", "       PROCEDURE DIVISION.\n           CALL 'SUB' USING X.\n       A-1.\n           EVALUATE KIND\n           ADD 1 TO N.\n           IF N > 3"),
+            ("EMPTY", ""),
+        ],
+    ),
+    "scripts": (
+        "name string, script string",
+        [
+            ("p1", "INSERT INTO mart.claims SELECT * FROM legacy.claims c JOIN legacy.claimants k ON c.id = k.id -- FROM nowhere"),
+            ("p2", "/* from old */ UPDATE claims SET x = 1; DELETE FROM audit_log"),
+            ("p3", "SELECT 1"),
+        ],
+    ),
+    "type_names": (
+        "data_type string",
+        [("VARCHAR2(30)",), ("NUMBER(10, 2)",), ("number",), ("Integer",), ("TIMESTAMP WITH TIME ZONE",), ("double precision",), ("BLOB",), ("xml",), ("CHAR(1)",), ("bool",)],
+    ),
     "signoffs": (
         "line string",
         [("2026-02-14|orders|pre|alice|approved",), ("2026-02-20|customer|pre|bob|rejected",), ("2026-02-21|orders|post|carol|approved",)],

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from migcheck.functions import names
-from migcheck.operators import governance, matching
+from migcheck.functions import names, types
+from migcheck.operators import governance, legacy_code, matching
 from migcheck.plans import loading, monitor, runs, scoring
-from migcheck.queries.common import Registry, ctes, literal
+from migcheck.queries.common import Registry, ctes, literal, table
 
 R = Registry()
 
@@ -241,3 +241,58 @@ def rationalize(spark, sf_dir):
     SELECT name, CASE WHEN d IS NULL OR (contains(d, ' ') AND NOT contains(d, '-')) OR modern = '' OR modern = 'filler' OR starts_with(short, 'fil') OR short = modern THEN NULL ELSE modern END AS modern FROM b""")
 def parse_cobol_desc(spark, sf_dir):
     return literal(spark, "glossary").select("name", names.from_copybook_description(F.col("name"), F.col("description")).alias("modern"))
+
+
+_VERBS = ", ".join(f"('{v}', '{k}')" for v, k in legacy_code.VERBS.items())
+
+
+@R.add(
+    "cobol_rules",
+    f"""WITH {ctes("programs")}, verbs AS (SELECT * FROM (VALUES {_VERBS}) AS v(verb, rule_type)),
+    l AS (SELECT program, generate_subscripts(string_split(source, chr(10)), 1) AS line, unnest(string_split(source, chr(10))) AS raw FROM programs),
+    t AS (SELECT program, line, upper(rtrim(CASE WHEN length(raw) > 6 THEN substr(raw, 7, 66) ELSE raw END)) AS text FROM l WHERE substr(raw, 7, 1) <> '*'),
+    p AS (SELECT *, regexp_extract(text, '^ ?([A-Z0-9][A-Z0-9-]*)\\.$', 1) AS h, regexp_extract(trim(text), '^([A-Z]+)\\b', 1) AS verb FROM t),
+    q AS (SELECT *, last_value(nullif(h, '') IGNORE NULLS) OVER w AS paragraph, max(CASE WHEN contains(text, 'PROCEDURE DIVISION') THEN 1 ELSE 0 END) OVER w AS inside
+        FROM p WINDOW w AS (PARTITION BY program ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT program, line::INTEGER AS line, coalesce(paragraph, '') AS paragraph, verb, rule_type, CASE WHEN verb <> 'IF' THEN 'INFO'
+        WHEN regexp_matches(text, '{legacy_code.HIGH}') THEN 'HIGH' WHEN regexp_matches(text, '{legacy_code.MEDIUM}') THEN 'MEDIUM' ELSE 'INFO' END AS severity
+    FROM q JOIN verbs USING (verb) WHERE inside = 1""",
+)
+def cobol_rules(spark, sf_dir):
+    return legacy_code.cobol_rules(literal(spark, "programs"))
+
+
+@R.add(
+    "sql_lineage",
+    """SELECT * FROM (VALUES ('p1', 'mart.claims', 'write'), ('p1', 'legacy.claims', 'read'), ('p1', 'legacy.claimants', 'read'), ('p2', 'claims', 'write'), ('p2', 'audit_log', 'write'))
+    AS v(name, "table", use)""",
+)
+def sql_lineage(spark, sf_dir):
+    return legacy_code.sql_tables(literal(spark, "scripts"))
+
+
+@R.add(
+    "type_map",
+    f"""WITH {ctes("type_names")} SELECT data_type, CASE data_type WHEN 'VARCHAR2(30)' THEN 'string' WHEN 'NUMBER(10, 2)' THEN 'decimal(10,2)' WHEN 'number' THEN 'decimal' WHEN 'Integer' THEN 'int'
+        WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' WHEN 'double precision' THEN 'double' WHEN 'BLOB' THEN 'binary' WHEN 'bool' THEN 'boolean' ELSE 'string' END AS spark_type FROM type_names""",
+)
+def type_map(spark, sf_dir):
+    return literal(spark, "type_names").select("data_type", types.spark_type(F.col("data_type")).alias("spark_type"))
+
+
+@R.add(
+    "dialect_functions",
+    """WITH c AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS s FROM customer)
+    SELECT c_custkey, coalesce(s, 'none') AS nvl, CASE WHEN s IS NOT NULL THEN 'yes' ELSE 'no' END AS nvl2,
+        CASE s WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 0 END AS decode, instr(c_name, '#')::INTEGER AS instr, substr(c_name, 2, 5) AS substr, length(c_name)::INTEGER AS length,
+        c_name || '-' || coalesce(s, '') AS concat, strftime(DATE '2024-01-31' + INTERVAL 1 MONTH, '%Y%m%d') AS dateadd, date_diff('day', DATE '2024-01-01', DATE '2024-03-01')::INTEGER AS datediff FROM c""",
+)
+def dialect_functions(spark, sf_dir):
+    """The functions that legacy dialects name differently, by their Spark built-ins."""
+    s = F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", s.alias("s"))
+    return rows.selectExpr(
+        "c_custkey", "nvl(s, 'none') AS nvl", "nvl2(s, 'yes', 'no') AS nvl2", "decode(s, 'BUILDING', 1, 'MACHINERY', 2, 0) AS decode", "instr(c_name, '#') AS instr",
+        "substr(c_name, 2, 5) AS substr", "length(c_name) AS length", "concat(c_name, '-', nvl(s, '')) AS concat",
+        "date_format(add_months(date'2024-01-31', 1), 'yyyyMMdd') AS dateadd", "datediff(date'2024-03-01', date'2024-01-01') AS datediff",
+    )
