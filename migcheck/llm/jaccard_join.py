@@ -34,7 +34,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from migcheck.llm.shared import keyed, materialise, same_row, small, with_key, without
@@ -177,19 +177,19 @@ def roots_of(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def tile_pairs(tile: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of a tile of rows (key, low, high, side, ...): inside a block, or across two."""
-    if tile[0][1] == tile[0][2]:
+    """All pairs of a tile of rows (low, high, side, ...): inside a block, or across two."""
+    if tile[0][0] == tile[0][1]:
         return np.triu_indices(len(tile), 1)
-    side = np.array([r[3] for r in tile])
+    side = np.array([r[2] for r in tile])
     first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     return np.repeat(first, len(second)), np.tile(second, len(first))
 
 
-def tiles(batches: Iterator[pa.RecordBatch], columns: list[str], key: int) -> Iterator[list[tuple]]:
+def tiles(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[list[tuple]]:
     """The rows of each tile; the first ``key`` columns name it, and rows arrive sorted by them."""
     rows: list[tuple] = []
     for batch in batches:
-        for row in zip(*(batch[c].to_pylist() for c in columns)):
+        for row in zip(*(column.to_pylist() for column in batch.columns)):
             if rows and row[:key] != rows[0][:key]:
                 yield rows
                 rows = []
@@ -198,20 +198,21 @@ def tiles(batches: Iterator[pa.RecordBatch], columns: list[str], key: int) -> It
         yield rows
 
 
-def in_tiles(rows: DataFrame, key: str, blocks: str, member: str) -> DataFrame:
-    """Deal ``rows`` to tiles (key, low, high), side 0 or 1: each pair of blocks of a key meets in one tile.
+def block_of(member: str, blocks: str) -> Column:
+    return F.pmod(F.xxhash64(member, F.lit(3)), F.col(blocks)).cast("int").alias("block")
 
-    ``blocks`` names the column with the number of blocks of the key.
-    """
-    block = F.pmod(F.xxhash64(member, F.lit(3)), F.col(blocks)).cast("int")
-    other = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
+
+def in_tiles(rows: DataFrame, key: str) -> DataFrame:
+    """Deal ``rows`` (key, block, blocks, ...) to tiles (key, low, high, side, ...): each two blocks of a key meet in one."""
+    other = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = other.select(
-        *(c for c in rows.columns if c != blocks),
+        key,
         F.least("block", "other").cast("int").alias("low"),
         F.greatest("block", "other").cast("int").alias("high"),
         (F.col("block") > F.col("other")).cast("int").alias("side"),
+        *(c for c in rows.columns if c not in (key, "block", "blocks")),
     )
-    return dealt.repartition(key, "low", "high").sortWithinPartitions(key, "low", "high", "side", member)
+    return dealt.repartition(key, "low", "high").sortWithinPartitions(key, "low", "high", "side")
 
 
 def likely_edges(members: DataFrame, threshold: float, tolerance: float, hashes: int = HASHES) -> DataFrame:
@@ -226,21 +227,23 @@ def likely_edges(members: DataFrame, threshold: float, tolerance: float, hashes:
         .agg(F.min("bucket").alias("bucket"))
     )
     shared = materialise(shared.select("bucket", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("blocks")), "buckets")
-    dealt = banded.join(small(shared), "bucket")
-    dealt = materialise(dealt, "bucket-members").join(members.select("member", "signature"), "member")
+    dealt = materialise(banded.join(small(shared), "bucket"), "bucket-members").join(members.select("member", "signature"), "member")
+    # a block travels as one row; it holds BLOCK_MEMBERS members on average, however large its bucket is
+    held_together = F.collect_list(F.struct("member", "signature")).alias("rows")
+    dealt = dealt.groupBy("bucket", "blocks", block_of("member", "blocks")).agg(held_together)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[tuple[bytes, bytes]] = []
         a: list[np.ndarray] = []
         b: list[np.ndarray] = []
 
         def forest() -> pa.RecordBatch:
-            names = sorted({r[4] for r in held})
+            names = sorted({name for name, _ in held})
             number = {n: i for i, n in enumerate(names)}
-            signs = np.frombuffer(b"".join(r[5] for r in held), dtype="<u4").reshape(len(held), -1)
+            signs = np.frombuffer(b"".join(sign for _, sign in held), dtype="<u4").reshape(len(held), -1)
             x, y = np.concatenate(a), np.concatenate(b)
             left = likely(signs, x, y, threshold, tolerance)
-            own = np.array([number[r[4]] for r in held])
+            own = np.array([number[name] for name, _ in held])
             roots = roots_of(len(names), own[x[left]], own[y[left]])
             moved = np.flatnonzero(roots != np.arange(len(names)))
             return pa.RecordBatch.from_arrays(
@@ -248,11 +251,12 @@ def likely_edges(members: DataFrame, threshold: float, tolerance: float, hashes:
             )
 
         pairs = 0
-        for tile in tiles(batches, ["bucket", "low", "high", "side", "member", "signature"], 3):
-            x, y = tile_pairs(tile)
+        for tile in tiles(batches, 3):
+            rows = [(low, high, side, r["member"], r["signature"]) for _, low, high, side, block in tile for r in block]
+            x, y = tile_pairs(rows)
             a.append(x + len(held))
             b.append(y + len(held))
-            held += tile
+            held += [r[3:] for r in rows]
             pairs += len(x)
             if len(held) > 5_000 or pairs > 200_000:
                 yield forest()
@@ -260,8 +264,7 @@ def likely_edges(members: DataFrame, threshold: float, tolerance: float, hashes:
         if held:
             yield forest()
 
-    dealt = in_tiles(dealt, "bucket", "blocks", "member")
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    return in_tiles(dealt, "bucket").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -308,11 +311,11 @@ def verified(dealt: DataFrame, threshold: float, tolerance: float, hashes: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_hashes: dict[bytes, int] = {}
         out: list[tuple] = []
-        for tile in tiles(batches, ["part", "low", "high", "side", "member", "copies", "text"], 3):
+        for tile in tiles(batches, 3):
             if len(word_hashes) > WORDS_KEPT:
                 word_hashes.clear()
             sets = [shingle_hashes(r[6], word_hashes) for r in tile]
-            x, y = tile_pairs(tile)
+            x, y = tile_pairs([r[1:] for r in tile])
             left = likely(signatures(sets, hashes), x, y, threshold, tolerance)
             x, y = x[left], y[left]
             linked = exact(sets, x, y, wanted)
@@ -385,8 +388,9 @@ def join(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -> Da
         texts.join(wanted, same_row(texts, wanted))
         .select("part", "blocks", "member", "copies", texts["text"].cast("binary").alias("text"))
         .dropDuplicates(["member"])  # rows that repeat both id and text
+        .withColumn("block", block_of("member", "blocks"))
     )
-    links = materialise(verified(in_tiles(found, "part", "blocks", "member"), threshold, tolerance), "links")
+    links = materialise(verified(in_tiles(found, "part"), threshold, tolerance), "links")
     edges = links.where("member != root").select(F.col("member").alias("a"), F.col("root").alias("b")).distinct()
     rooted = components(edges, "classes")
     counted = links.groupBy("member").agg(F.sum("links").alias("links"))
