@@ -48,7 +48,8 @@ def ranks_of_pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 def double(rank: np.ndarray, step: int) -> np.ndarray:
     """Ranks of the runs of ``2 * step`` symbols from the ranks of those of ``step``; shorter tails come first."""
     after = np.zeros(len(rank), dtype=np.int32)
-    after[: len(rank) - step] = rank[step:] + 1
+    if step < len(rank):
+        after[: len(rank) - step] = rank[step:] + 1
     return ranks_of_pairs(rank, after)
 
 

@@ -140,3 +140,10 @@ def test_suffix_levels_order():
     codes = np.unique(rng.integers(0, 4, 200), return_inverse=True)[1]
     order = np.argsort(repetition.suffix_levels(codes)[-1])
     assert order.tolist() == sorted(range(200), key=lambda i: codes[i:].tolist())
+
+
+def test_repetition_of_a_few_words():
+    for text in ("a", "a b", "a b c", "a a a a a a", "a " * 7, "a " * 8, "a " * 9, ""):
+        got = repetition.measure_batch([text], 8)[0]
+        want = expected_op10(text)
+        assert got[0] == len(text.split()) and got[4] == (9 if text == "a " * 9 else 0), (text, got, want)
