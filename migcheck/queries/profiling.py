@@ -314,9 +314,10 @@ def normalize_groups(spark, sf_dir):
     return reshape.prefix_groups(spark.createDataFrame([(c,) for c in columns], "column_name string"))
 
 
-@R.add("tumbling_events", """SELECT date_trunc('hour', ts)::TIMESTAMPTZ AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2""")
+@R.add("tumbling_events", """SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2""")
 def tumbling_events(spark, sf_dir):
-    return stream.tumbling_counts(table(spark, sf_dir, "events"))
+    found = stream.tumbling_counts(table(spark, sf_dir, "events"))
+    return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 _NAMES = ctes("names")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,3 +112,55 @@ def test_full_load_replaces(spark):
     path = shared_dir(spark, "load-test")
     assert tables.full_load(spark.range(5).toDF("id"), path) == 5
     assert tables.full_load(spark.range(2).toDF("id"), path) == 2
+
+
+def plain_date(text):
+    text = text.strip()
+    for form in ("%Y-%m-%d", "%m/%d/%Y", "%m/%d/%y", "%B %d, %Y", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S"):
+        try:
+            return datetime.datetime.strptime(text, form).date()
+        except ValueError:
+            pass
+    return None
+
+
+def plainly_equivalent(a, b):
+    if a is None or b is None:
+        return a is b
+    low = [x.strip().lower() for x in (a, b)]
+    flags = [compare.BOOLEANS.get(x) for x in low]
+    if None not in flags:
+        return flags[0] == flags[1]
+    days = [plain_date(x) for x in (a, b)]
+    if None not in days:
+        return days[0] == days[1]
+    digits = ["".join(c for c in x if c in "0123456789") for x in (a, b)]
+    if len(digits[0]) >= 7 and digits[0] == digits[1]:
+        return True
+    try:
+        return abs(float(a) - float(b)) < 0.001
+    except ValueError:
+        return low[0] == low[1]
+
+
+def test_equivalent_on_random_pairs(spark):
+    rng = random.Random(11)
+    forms = [
+        lambda: rng.choice(["Y", "n", "TRUE", "false", "1", "0", " y ", "yes", ""]),
+        lambda: f"{rng.randint(1960, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 30):02}",
+        lambda: f"{rng.randint(1, 13)}/{rng.randint(1, 31)}/{rng.randint(0, 99):02}",
+        lambda: f"{rng.randint(1, 12):02}/{rng.randint(1, 28):02}/{rng.randint(1990, 1993)}",
+        lambda: f"({rng.randint(555, 556)}) 123-{rng.randint(4567, 4569)}",
+        lambda: f"555123{rng.randint(4567, 4569)}",
+        lambda: rng.choice(["1", "1.0", "1.0004", "01", "2", "1e0", "-1", "+1"]),
+        lambda: rng.choice(["a", "A ", "b", "March 3, 1991", "march 03, 1991", "1991-03-03T00:00:00", "1991-03-03 10:00:00"]),
+        lambda: None,
+    ]
+    pairs = [(rng.choice(forms)(), rng.choice(forms)()) for _ in range(3000)]
+    for _ in range(1000):
+        form = rng.choice(forms)
+        pairs.append((form(), form()))
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    got = {r.i: r.same for r in df.select("i", compare.equivalent(F.col("a"), F.col("b")).alias("same")).collect()}
+    wrong = [(a, b, got[i]) for i, (a, b) in enumerate(pairs) if got[i] != plainly_equivalent(a, b)]
+    assert not wrong, wrong[:10]
