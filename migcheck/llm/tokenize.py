@@ -32,11 +32,15 @@ def byte_letters() -> dict[int, str]:
 
 
 BYTE_LETTERS = byte_letters()
+BLANK = BYTE_LETTERS[0x20]
+
+
+PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
 def packed(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return PACK[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
 
 
 class PieceEncoder:
@@ -73,7 +77,10 @@ class PieceEncoder:
         if ids is None:
             if len(self.words) >= WORDS_KEPT:
                 self.words.clear()
-            written = word if word.isascii() and word[0] != " " else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+            if word.isascii():
+                written = BLANK + word[1:] if word[0] == " " else word
+            else:
+                written = word.encode().decode("latin-1").translate(BYTE_LETTERS)
             ids = packed([t.id for t in self.model.tokenize(written)])
             self.words[word] = ids
         return ids
