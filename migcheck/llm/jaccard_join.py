@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from migcheck.llm.shared import keyed, materialise, same_row, small, with_key, without
+from migcheck.llm.shared import keyed, materialise, same_row, sliced, small, with_key, without
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -51,7 +51,7 @@ STEP = 16
 BLOCK_MEMBERS = 128
 BLOCK_SHINGLES = 400_000
 
-WORDS_KEPT = 500_000
+WORDS_KEPT = 150_000
 
 
 def shingle_hashes(text: bytes | None, word_hashes: dict[bytes, int]) -> np.ndarray:
@@ -116,7 +116,7 @@ def sketches(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
                 names=["doc_id", "doc_key", "set_id", "n_shingles", "signature"],
             )
 
-        for batch in batches:
+        for batch in sliced(batches):
             rows, size = [], 0
             for doc, key, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "doc_key", "text"))):
                 if len(word_hashes) > WORDS_KEPT:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from migcheck.llm.shared import keyed, materialise
+from migcheck.llm.shared import keyed, materialise, sliced
 
 # Common insults, counted from the start; all others are learned.
 INSULTS = """
@@ -48,15 +48,20 @@ SECOND_PERSON = frozenset(
     "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre usted ti tus vosotros".split()
 )
 
-WORD = re.compile(r"[^\W\d_]+")
-#: Tokens with signs or digits inside of letters, and letters set apart one by one.
-OBFUSCATED = re.compile(r"[^\W\d_]+(?:[0-9@$*!|+._-]+[^\W\d_]+)+|(?<!\w)(?:[^\W\d_][ .*_-]){3,}[^\W\d_](?!\w)|[@$!|][^\W\d_]{2,}")
+#: Words of Latin, Greek and Cyrillic letters in lower-cased text.
+WORD = re.compile(r"[a-zß-öø-ɏͰ-ӿ]+")
+#: Signs and digits before a letter; inside of a word they obfuscate it.
+SIGNED = re.compile(r"[0-9@$*!|+._-]+(?=[^\W\d_])")
+INSIDE = re.compile(r"[^\W_]|[@$*!|+._-]")
+#: Letters set apart one by one: a cheap sign of them, and the whole run.
+APART = re.compile(r"[ .*_-][^\W\d_][ .*_-][^\W\d_][ .*_-]")
+APART_RUN = re.compile(r"(?<!\w)(?:[^\W\d_][ .*_-]){3,}[^\W\d_](?!\w)")
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "+": "t"})
 SEPARATORS = re.compile(r"[\W\d_]+")
 LONG_RUN = re.compile(r"(.)\1{2,}")
-EXCLAIMED = re.compile(r"[!?]")
-SIGN = re.compile(r"[^\w\s]")
-CAPITALS = re.compile(r"\b[^\W\d_a-zß-öø-ÿ]{3,}\b")
+SIGN = re.compile(r"[!-/:-@\[-`{-~]")
+CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ]")
+CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]{3,}")
 
 SHORTEST, LONGEST = 3, 8
 NEAR = 4
@@ -83,7 +88,7 @@ FEATURED = T.StructType(
 )
 
 #: Words whose strength a worker remembers; beyond them the memory starts anew.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 100_000
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -178,34 +183,53 @@ class Meter:
 
     def strength(self, word: str) -> float:
         """Of the strongest beginning of a word; 0 if none is listed."""
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= WORDS_KEPT:
-                self.known.clear()
-            get = self.lexicon.get
-            found = max((get(word[:k], 0.0) for k in range(SHORTEST, min(LONGEST, len(word)) + 1)), default=0.0)
-            if word in self.stated:
-                found = max(found, 3.0)
-            self.known[word] = found
-        return found
+        get = self.lexicon.get
+        found = max((get(word[:k], 0.0) for k in range(SHORTEST, min(LONGEST, len(word)) + 1)), default=0.0)
+        return max(found, 3.0) if word in self.stated else found
+
+    def look_up(self, words: set[str]) -> tuple[dict[str, float], dict[str, float]]:
+        """The listed ones among distinct words, and those listed once their stretched letters are shortened."""
+        known = self.known
+        if len(known) + len(words) > WORDS_KEPT:
+            known.clear()
+        for word in words:
+            if word not in known:
+                known[word] = self.strength(word) or -(self.strength(short) if (short := LONG_RUN.sub(r"\1", word)) != word else 0.0)
+        listed = {w: known[w] for w in words if known[w]}
+        return {w: s for w, s in listed.items() if s > 0}, {w: -s for w, s in listed.items() if s < 0}
 
     def plain(self, token: str) -> str:
         """An obfuscated token as the word that is meant."""
         return LONG_RUN.sub(r"\1", SEPARATORS.sub("", token.lower().translate(LEET)))
 
+    def obscured(self, text: str) -> list[str]:
+        """Tokens with signs or digits inside or before letters, and letters set apart one by one."""
+        out, done = [], 0
+        for m in SIGNED.finditer(text):
+            low, high = m.span()
+            if low < done or not (text[low - 1 : low].isalpha() or (text[low] in "@$!|" and not text[low - 1 : low].strip())):
+                continue
+            while low > done and INSIDE.match(text, low - 1):
+                low -= 1
+            while high < len(text) and INSIDE.match(text, high):
+                high += 1
+            out.append(text[low:high])
+            done = high
+        return out + (APART_RUN.findall(text) if APART.search(text) else [])
+
     def measure(self, text: str) -> tuple[float, ...]:
         words = WORD.findall(text.lower())
-        n, chars = len(words), max(1, len(text))
-        strength = self.strength
-        hits = [(i, s) for i, s in enumerate(map(strength, words)) if s]
-        second = {i for i, w in enumerate(words) if w in SECOND_PERSON}
+        distinct = set(words)
+        n, chars, per = len(words), max(1, len(text)), 100 / max(1, len(words))
+        listed, stretched = self.look_up(distinct)
+        hits = [(i, listed[w]) for i, w in enumerate(words) if w in listed] if listed else []
+        addressed = SECOND_PERSON & distinct
+        second = {i for i, w in enumerate(words) if w in addressed} if addressed else set()
         near = sum(any(k in second for k in range(i - NEAR, i + NEAR + 1)) for i, _ in hits) if second else 0
-        obscured = OBFUSCATED.findall(text)
-        hidden = [s for s in (strength(self.plain(x)) for x in obscured) if s]
-        stretched = [s for s in (strength(LONG_RUN.sub(r"\1", w)) for w in words if LONG_RUN.search(w)) if s]
-        hidden += stretched
-        n_hits, per = len(hits) + len(hidden), 100 / max(1, n)
-        capitals = sum(map(len, CAPITALS.findall(text)))
+        obscured = self.obscured(text)
+        hidden = [s for s in (self.strength(self.plain(x)) for x in obscured) if s]
+        hidden += [stretched[w] for w in words if w in stretched] if stretched else []
+        n_hits = len(hits) + len(hidden)
         return (
             math.log1p(n),
             math.log1p(n_hits),
@@ -214,13 +238,13 @@ class Meter:
             sum(words[i] in self.stated for i, _ in hits) * per,
             math.log1p(near),
             len(second) * per,
-            sum(map(str.isupper, text)) / chars,
-            capitals / chars,
-            len(EXCLAIMED.findall(text)) * per,
+            len(CAPITAL.findall(text)) / chars,
+            sum(map(len, CAPITALS.findall(text))) / chars,
+            (text.count("!") + text.count("?")) * per,
             len(SIGN.findall(text)) * per,
             len(obscured) * per,
             math.log1p(len(hidden)),
-            len(set(words)) / max(1, n),
+            len(distinct) / max(1, n),
         )
 
 
@@ -229,7 +253,7 @@ def features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meter = Meter(lexicon)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [meter.measure(t or "") for t in batch["text"].to_pylist()]
             columns = list(zip(*rows)) or [()] * len(FEATURES)
             yield pa.RecordBatch.from_arrays(
@@ -263,7 +287,9 @@ def fit(train: DataFrame, trees: int = 20, depth: int = 3) -> Callable[[DataFram
 
     def score(df: DataFrame) -> DataFrame:
         scored = calibration.transform(raw(assembler.transform(df)))
-        return scored.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score"))).drop(
+        # the calibrated score has flat steps; a small share of the raw one keeps the order inside them
+        blended = F.col("score") * 0.98 + F.col("raw") * 0.02
+        return scored.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), blended))).drop(
             "features", "rawPrediction", "probability", "prediction", "raw"
         )
 
