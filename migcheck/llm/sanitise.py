@@ -2,9 +2,9 @@
 
 Protected entities are e-mail and IP addresses, payment cards and phone numbers.  Beside the entities
 themselves, words around them may reveal them.  How strongly is estimated from the whole corpus: for
-a word t seen near an entity e, PMI(t; e) = log p(e | t) / p(e), relative to the information of the
+a word t of texts that hold an entity e, PMI(t; e) = log p(e | t) / p(e), relative to the information of the
 entity, IC(e) = -log p(e).  The ratio is 1 if t only ever occurs together with e.  Words whose ratio
-reaches the disclosure threshold, seen near e in enough different texts, are generalised in the
+reaches the disclosure threshold, seen with e in enough different texts, are generalised in the
 documents that hold e; those whose ratio reaches the removal threshold are removed.
 
 All of it is DataFrame code; positions come from the lengths of the matches and of the gaps between.
@@ -128,23 +128,16 @@ def entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], value)
 
 
-def contexts(found: DataFrame, reach: int) -> DataFrame:
-    """doc_id, doc_key, text_key, entity, terms: the distinct words within ``reach`` characters of its places.
-
-    Words cut by the reach are left out.
-    """
-    one = found.where(F.size("base") > 0).select(
-        "doc_id", "doc_key", F.xxhash64("text").alias("text_key"), "text", F.explode("base").alias("span")
+def contexts(found: DataFrame) -> DataFrame:
+    """doc_id, doc_key, text_key, entity, terms: the distinct words of the whole text, for each of its entities once."""
+    terms = F.filter(F.array_distinct(F.split(F.lower("text"), NO_TERM)), lambda w: F.length(w) > 1)
+    return found.where(F.size("base") > 0).select(
+        "doc_id",
+        "doc_key",
+        F.xxhash64("text").alias("text_key"),
+        F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"),
+        terms.alias("terms"),
     )
-    start, end = F.col("span.start"), F.col("span.end")
-    low = F.greatest(F.lit(0), start - reach)
-    left = F.substring("text", low + 1, start - low)
-    right = F.substring("text", end + 1, F.lit(reach))
-    left = F.when(low > 0, F.regexp_replace(left, r"^[\p{L}\p{N}]+", "")).otherwise(left)
-    right = F.when(F.length(right) == reach, F.regexp_replace(right, r"[\p{L}\p{N}]++$", "")).otherwise(right)
-    near = F.lower(F.concat_ws(" ", left, right))
-    terms = F.filter(F.array_distinct(F.split(near, NO_TERM)), lambda w: F.length(w) > 1)
-    return one.select("doc_id", "doc_key", "text_key", entity(F.col("span")).alias("entity"), terms.alias("terms"))
 
 
 def disclosures(
@@ -216,11 +209,11 @@ def term_spans(found: DataFrame, near: DataFrame, disclosing: DataFrame, removal
 
 
 def find(
-    docs: DataFrame, threshold: float = 0.9, removal: float = 0.999, least_texts: int = 3, reach: int = 120
+    docs: DataFrame, threshold: float = 0.9, removal: float = 0.999, least_texts: int = 3
 ) -> DataFrame:
     """doc_id, doc_key, text, ``row`` (the other columns), ``base`` spans and all ``spans`` of every document."""
     found = base_spans(docs)
-    near = materialise(contexts(found, reach), "contexts")
+    near = materialise(contexts(found), "contexts")
     disclosing = materialise(disclosures(docs, near, threshold, removal, least_texts), "disclosures")
     extra = materialise(term_spans(found, near, disclosing), "term-spans")
     joined = found.join(small(extra, 50_000), same_row(found, extra), "left")

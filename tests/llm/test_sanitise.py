@@ -98,3 +98,15 @@ def test_empty_and_repeated_rows(spark):
     assert len(twice) == 2 * docs.count() + 1
     assert sum(r.text is None for r in twice) == 1
     assert len({r.text for r in twice if r.doc_id == 1}) == 1
+
+
+def written(spark, tmp_path, rows) -> str:
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_words_far_from_the_entity_count(spark, tmp_path):
+    filler = "plain words go on and on " * 20
+    rows = [(i, f"frobmail {filler} {i} agent@example.org") for i in range(12)] + [(100 + i, f"{filler} {i}") for i in range(200)]
+    got = {r.doc_id: r.spans for r in queries.op2_sanitise(spark, written(spark, tmp_path, rows)).collect()}
+    assert all(got[i].startswith("removed:0:8,email:") for i in range(12))
