@@ -2,10 +2,13 @@
 
 Protected entities are e-mail and IP addresses, payment cards and phone numbers.  Beside the entities
 themselves, words around them may reveal them.  How strongly is estimated from the whole corpus: for
-a word t of texts that hold an entity e, PMI(t; e) = log p(e | t) / p(e), relative to the information of the
-entity, IC(e) = -log p(e).  The ratio is 1 if t only ever occurs together with e.  Words whose ratio
-reaches the disclosure threshold, seen with e in enough different texts, are generalised in the
-documents that hold e; those whose ratio reaches the removal threshold are removed.
+a word t of texts that hold an entity e, PMI(t; e) = log p(e | t) / p(e), relative to the information
+of the entity, IC(e) = -log p(e).  The ratio is 1 if t only ever occurs together with e.  It is taken
+for each entity by itself, for its kind and for all kinds together, so that entities in a single text
+count as well; p counts distinct texts, and all their words outside of entities.  A pair counts only
+if chance is ruled out by a bound on the binomial tail, corrected for the number of pairs tried.
+Words whose ratio reaches the disclosure threshold are generalised in the documents that hold e (or
+its kind); those whose ratio reaches the removal threshold are removed.
 
 All of it is DataFrame code; positions come from the lengths of the matches and of the gaps between.
 
@@ -16,14 +19,17 @@ columns are ignored (kept by :func:`sanitise`).
 
 from __future__ import annotations
 
+import math
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from migcheck.llm.shared import keyed, materialise, same_row, small, with_key
+from migcheck.llm.shared import keyed, materialise, same_row, small, with_key, without
 
 KINDS = ("email", "ip", "card", "phone")
+#: The name of all kinds together.
+ANY = "any"
 
 # The same matches as the plain patterns in linear time: a match begins where a run of its first
 # class begins or where the last match ended, and no repetition gives back what it took.
@@ -128,71 +134,119 @@ def entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], value)
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """doc_id, doc_key, text_key, entity, terms: the distinct words of the whole text, for each of its entities once."""
-    terms = F.filter(F.array_distinct(F.split(F.lower("text"), NO_TERM)), lambda w: F.length(w) > 1)
+def words_around(text: Column, base: Column) -> Column:
+    """The distinct words of the whole text outside of its entities."""
+    outside = F.lower(sanitised(text, base, " "))
+    return F.filter(F.array_distinct(F.split(outside, NO_TERM)), lambda w: F.length(w) > 1)
+
+
+def weighed(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """``rows`` with ``weight``: one divided by the number of documents with the same text."""
+    return rows.join(small(copies), "text_key", "left").withColumn("weight", F.coalesce(1 / F.col("copies"), F.lit(1.0)))
+
+
+def number(weight: Column) -> Column:
+    """How many distinct texts the rows stand for."""
+    return F.round(F.sum(weight))
+
+
+def holders_of(found: DataFrame) -> DataFrame:
+    """The documents that hold an entity, with their ``kinds``, ``entities`` and the ``terms`` around them."""
     return found.where(F.size("base") > 0).select(
         "doc_id",
         "doc_key",
         F.xxhash64("text").alias("text_key"),
-        F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"),
-        terms.alias("terms"),
+        "text",
+        "base",
+        F.array_distinct(F.transform("base", lambda s: s["kind"])).alias("kinds"),
+        F.array_distinct(F.transform("base", entity)).alias("entities"),
+        words_around(F.col("text"), F.col("base")).alias("terms"),
     )
 
 
-def disclosures(
-    docs: DataFrame, near: DataFrame, threshold: float, removal: float, least_texts: int
-) -> DataFrame:
-    """entity, term, ratio, action of the words that disclose an entity."""
-    entities = near.groupBy("entity", "text_key").agg(F.count_distinct("doc_id", "doc_key").alias("docs"))
-    known = (
-        entities.groupBy("entity")
-        .agg(F.sum("docs").alias("entity_docs"), F.count("*").alias("entity_texts"))
-        .where(F.col("entity_texts") >= least_texts)
-    )
-    # one row for each text, entity and word before words are counted across texts
-    pairs = (
-        near.join(known.select("entity"), "entity", "left_semi")
-        .select("entity", "text_key", "doc_id", "doc_key", F.explode("terms").alias("term"))
-        .distinct()
-        .groupBy("entity", "term", "text_key")
-        .agg(F.count("*").alias("docs"))
-        .groupBy("entity", "term")
-        .agg(F.sum("docs").alias("both_docs"), F.count("*").alias("both_texts"))
-        .where(F.col("both_texts") >= least_texts)
-    )
-    pairs = materialise(pairs, "entity-terms")
-    terms = small(materialise(pairs.select("term").distinct(), "disclosing-terms"))
-    words = keyed(docs).select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), NO_TERM))).alias("term"))
-    counts = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("term_docs"))
-    total = docs.agg(F.count("*").alias("total"))  # one row
-    information = -F.log2(F.col("entity_docs") / F.col("total"))
-    share = F.least(F.lit(1.0), F.col("both_docs") / F.col("term_docs"))
-    ratio = F.when(information > 0, 1 + F.log2(share) / information)
+def disclosing(pairs: DataFrame, known: DataFrame, tried: float, total: float, threshold: float, removal: float) -> DataFrame:
+    """name, term, ratio, action of the words that disclose an entity or a kind.
+
+    ``pairs`` has name, term, both (texts with both) and term_texts; ``known`` has name and texts.
+    Chance is bounded by Chernoff's bound on the binomial tail, corrected for the pairs tried.
+    """
+    base, share = F.col("texts") / total, F.least(F.lit(1.0), F.col("both") / F.col("term_texts"))
+    beside = F.when(share < 1, (1 - share) * F.ln((1 - share) / (1 - base))).otherwise(0.0)
+    evidence = F.col("term_texts") * (share * F.ln(share / base) + beside)
     return (
-        pairs.join(counts, "term")
-        .join(known, "entity")
-        .join(F.broadcast(total))
-        .withColumn("ratio", ratio)
+        pairs.join(small(known), "name")
+        .where((F.col("both") > 0) & (base < 1))
+        .where((share > base) & (evidence > math.log(max(1.0, tried)) + 2))
+        .withColumn("ratio", 1 + F.log2(share) / -F.log2(base))
         .where(F.col("ratio") >= threshold)
-        .select("entity", "term", "ratio", F.when(F.col("ratio") >= removal, "remove").otherwise("generalise").alias("action"))
+        .select("name", "term", "ratio", F.when(F.col("ratio") >= removal, "remove").otherwise("generalise").alias("action"))
     )
 
 
-def term_spans(found: DataFrame, near: DataFrame, disclosing: DataFrame, removal_kind: str = "removed") -> DataFrame:
-    """doc_id, doc_key and ``terms``: the places of disclosing words in documents that hold the entity."""
-    own = (
-        near.select("doc_id", "doc_key", "entity")
-        .distinct()
-        .join(disclosing, "entity")
+def document_terms(docs: DataFrame, holders: DataFrame, threshold: float, removal: float) -> DataFrame:
+    """doc_id, doc_key, general, gone: the disclosing words that each document with an entity holds.
+
+    Words and entities are counted in distinct texts of the whole corpus, outside of entities on both
+    sides: in the documents that hold one and, by one aggregation on the word, in all others.
+    """
+    rows = keyed(docs).withColumn("text_key", F.xxhash64("text"))
+    sizes = materialise(rows.groupBy("text_key").agg(F.count("*").alias("copies")), "text-sizes")
+    copies = materialise(sizes.where("copies > 1"), "copies")
+    total = sizes.count()
+    held = materialise(weighed(holders.select("doc_id", "doc_key", "text_key", "kinds", "entities", "terms"), copies), "held")
+
+    # words of the documents with an entity: one row for each text and word, one sum for each kind
+    own = held.select("weight", "kinds", F.explode("terms").alias("term"))
+    of_kind = [number(F.when(F.array_contains("kinds", k), F.col("weight")).otherwise(0.0)).alias(k) for k in KINDS]
+    own = own.groupBy("term").agg(*of_kind, number(F.col("weight")).alias(ANY))
+    other = weighed(without(docs, holders).select(F.xxhash64(F.col("text").cast("string")).alias("text_key"), "text"), copies)
+    other = other.select("weight", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), NO_TERM))).alias("term"))
+    other = other.groupBy("term").agg(number(F.col("weight")).alias("others"))
+    counts = own.join(other, "term", "left").withColumn("term_texts", F.col(ANY) + F.coalesce("others", F.lit(0.0)))
+    counts = materialise(counts.drop("others"), "term-counts")
+    n_terms = counts.count()
+
+    levels = [*KINDS, ANY]
+    level_texts = held.agg(*(number(F.when(F.array_contains("kinds", k), F.col("weight")).otherwise(0.0)).alias(k) for k in KINDS), number(F.col("weight")).alias(ANY))
+    by_kind = disclosing(
+        counts.unpivot(["term", "term_texts"], levels, "name", "both"),
+        materialise(level_texts.unpivot([], levels, "name", "texts").where("texts > 0"), "kinds"),
+        n_terms * len(levels),
+        total,
+        threshold,
+        removal,
+    )
+
+    # entities by their own names: only those in so many texts that a word with all of them could pass the bound
+    known = held.select("weight", F.explode("entities").alias("name")).groupBy("name").agg(number(F.col("weight")).alias("texts"))
+    known = materialise(known, "entities")
+    tried = float(n_terms) * known.count()
+    enough = F.col("texts") * F.ln(total / F.col("texts")) > math.log(max(1.0, tried)) + 2
+    known = materialise(known.where(enough), "known")
+    names = held.select("doc_id", "doc_key", "weight", "terms", F.explode("entities").alias("name"))
+    names = names.join(small(known.select("name")), "name", "left_semi")
+    pairs = names.select("doc_id", "doc_key", "weight", "name", F.explode("terms").alias("term"))
+    both = pairs.groupBy("name", "term").agg(number(F.col("weight")).alias("both"))
+    by_name = disclosing(both.join(counts.select("term", "term_texts"), "term"), known, tried, total, threshold, removal)
+
+    by_kind, by_name = materialise(by_kind, "kind-disclosures"), materialise(by_name, "disclosures")
+    words = held.select("doc_id", "doc_key", "kinds", F.explode("terms").alias("term")).join(small(by_kind), "term")
+    words = words.where((F.col("name") == ANY) | F.array_contains("kinds", F.col("name"))).select("doc_id", "doc_key", "term", "action")
+    named = pairs.join(small(by_name), ["name", "term"]).select("doc_id", "doc_key", "term", "action")
+    return (
+        words.union(named)
         .groupBy("doc_id", "doc_key")
         .agg(
             F.array_sort(F.collect_set(F.when(F.col("action") == "generalise", F.col("term")))).alias("general"),
             F.array_sort(F.collect_set(F.when(F.col("action") == "remove", F.col("term")))).alias("gone"),
         )
     )
+
+
+def term_spans(holders: DataFrame, own: DataFrame, removal_kind: str = "removed") -> DataFrame:
+    """doc_id, doc_key and ``terms``: the places of disclosing words in documents that hold the entity."""
     own = small(materialise(own, "document-terms"), 50_000)
-    texts = found.join(own, same_row(found, own)).select(found["doc_id"], found["doc_key"], "text", "base", "general", "gone")
+    texts = holders.join(own, same_row(holders, own)).select(holders["doc_id"], holders["doc_key"], "text", "base", "general", "gone")
 
     def spans(words: str, order: int, kind: str) -> Column:
         pattern = F.concat(
@@ -208,21 +262,19 @@ def term_spans(found: DataFrame, near: DataFrame, disclosing: DataFrame, removal
     return texts.select("doc_id", "doc_key", clear.alias("terms")).dropDuplicates(["doc_id", "doc_key"])
 
 
-def find(
-    docs: DataFrame, threshold: float = 0.9, removal: float = 0.999, least_texts: int = 3
-) -> DataFrame:
+def find(docs: DataFrame, threshold: float = 0.9, removal: float = 0.999) -> DataFrame:
     """doc_id, doc_key, text, ``row`` (the other columns), ``base`` spans and all ``spans`` of every document."""
     found = base_spans(docs)
-    near = materialise(contexts(found), "contexts")
-    disclosing = materialise(disclosures(docs, near, threshold, removal, least_texts), "disclosures")
-    extra = materialise(term_spans(found, near, disclosing), "term-spans")
+    holders = materialise(holders_of(found), "holders")
+    extra = materialise(term_spans(holders, document_terms(docs, holders, threshold, removal)), "term-spans")
     joined = found.join(small(extra, 50_000), same_row(found, extra), "left")
     spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.coalesce("terms", F.array()))))
     return joined.select(found["doc_id"], found["doc_key"], "text", "row", "base", spans.alias("spans"))
 
 
-def sanitised(text: Column, spans: Column) -> Column:
-    """The text with entities and words generalised to their kind or removed; overlapping spans become one."""
+def sanitised(text: Column, spans: Column, instead: str | None = None) -> Column:
+    """The text with entities and words generalised to their kind or removed (or all replaced by ``instead``); overlapping spans become one."""
+    name = lambda s: F.when(s["kind"] == "removed", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
     step = F.aggregate(
         spans,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -232,7 +284,7 @@ def sanitised(text: Column, spans: Column) -> Column:
                 F.concat(
                     acc["out"],
                     F.substring(text, acc["at"] + 1, s["start"] - acc["at"]),
-                    F.when(s["kind"] == "removed", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))),
+                    name(s) if instead is None else F.lit(instead),
                 ).alias("out"),
             )
         ),

@@ -105,6 +105,23 @@ def written(spark, tmp_path, rows) -> str:
     return str(tmp_path)
 
 
+def test_query_finds_words_of_entities_in_one_text_each(spark, tmp_path):
+    rows = [(i, f"Some prose says frobmail user{i}@example.org and goes on") for i in range(12)]
+    rows += [(100 + i, f"some prose says that it goes on for {i} lines and more") for i in range(200)]
+    got = {r.doc_id: r.spans for r in queries.op2_sanitise(spark, written(spark, tmp_path, rows)).collect()}
+    for i in range(12):
+        assert got[i].startswith("removed:16:24,email:25:")
+    assert not any(got[100 + i] for i in range(200))
+
+
+def test_words_by_chance_are_kept(spark, tmp_path):
+    # each of these words is seen once and only with an entity
+    rows = [(i, f"once{i} twice{i} user{i}@example.org") for i in range(5)] + [(100 + i, f"other{i} text") for i in range(300)]
+    got = queries.op2_sanitise(spark, written(spark, tmp_path, rows)).collect()
+    assert sorted(r.spans[:6] for r in got if r.spans) == ["email:"] * 5
+    assert not any("term" in r.spans or "removed" in r.spans for r in got)
+
+
 def test_words_far_from_the_entity_count(spark, tmp_path):
     filler = "plain words go on and on " * 20
     rows = [(i, f"frobmail {filler} {i} agent@example.org") for i in range(12)] + [(100 + i, f"{filler} {i}") for i in range(200)]
