@@ -90,6 +90,9 @@ FEATURED = T.StructType(
 #: Words whose strength a worker remembers; beyond them the memory starts anew.
 WORDS_KEPT = 100_000
 
+#: Beginnings that a worker counts before it hands their counts on.
+BEGINNINGS_KEPT = 100_000
+
 
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id as text, mod 5; rows of fold 0 are held out."""
@@ -119,58 +122,55 @@ def beginnings(text: str) -> set[str]:
     return {w[:k] for w in set(WORD.findall(text.lower())) for k in range(SHORTEST, min(LONGEST, len(w)) + 1)}
 
 
-def counted(texts: DataFrame, count_of: Callable[[str], set[str]]) -> DataFrame:
+def counted(texts: DataFrame) -> DataFrame:
     """beginning, n: in how many of the texts each occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            count: Counter[str] = Counter()
-            for text in batch["text"].to_pylist():
-                count.update(count_of(text))
-            yield pa.RecordBatch.from_arrays(
+        count: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
                 [pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["beginning", "n"]
             )
 
+        for batch in sliced(batches):
+            for text in batch["text"].to_pylist():
+                count.update(beginnings(text))
+                if len(count) > BEGINNINGS_KEPT:
+                    yield out()
+                    count.clear()
+        yield out()
+
     return texts.select("text").mapInArrow(run, "beginning string, n long").groupBy("beginning").agg(F.sum("n").alias("n"))
 
 
-def learn_lexicon(sample: DataFrame, least: int = 4, most_entries: int = 20_000) -> dict[str, float]:
+def learn_lexicon(sample: DataFrame, least: int = 4) -> dict[str, float]:
     """beginning -> strength (log odds ratio), from the distinct texts of the bounded sample.
 
-    At most ``most_entries`` beginnings, those of most toxic texts, are tried; the sample is bounded,
-    and so is its vocabulary.
+    Every beginning in at least ``least`` toxic texts is tried; only the significant ones are collected,
+    and the sample bounds them.
     """
     texts = sample.groupBy("text_key").agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
     size = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     if not toxic or not clean:
         return {}
-    tried = (
-        counted(texts.where("toxic = 1"), beginnings)
-        .where(F.col("n") >= least)
-        .orderBy(F.desc("n"), "beginning")
-        .limit(most_entries)
-        .collect()
-    )
-    inside = {r["beginning"]: r["n"] for r in tried}
-    names = frozenset(inside)
-    outside = {
-        r["beginning"]: r["n"] for r in counted(texts.where("toxic = 0"), lambda text: names & beginnings(text)).collect()
-    }
+    inside = materialise(counted(texts.where("toxic = 1")).where(F.col("n") >= least), "beginnings")
+    outside = counted(texts.where("toxic = 0")).withColumnRenamed("n", "against")
     base = toxic / (toxic + clean)
-    demand = math.log(max(1, len(inside))) + 2
-    out = {}
-    for name, n in inside.items():
-        against = outside.get(name, 0)
-        share = n / (n + against)
-        if share <= base:
-            continue
-        # Chernoff's bound on so large a share by chance
-        evidence = share * math.log(share / base) + ((1 - share) * math.log((1 - share) / (1 - base)) if against else 0)
-        strength = math.log((n + 0.5) / toxic) - math.log((against + 0.5) / clean)
-        if (n + against) * evidence > demand and strength > 1.5:
-            out[name] = strength
-    return out
+    demand = math.log(max(1, inside.count())) + 2
+    n, against = F.col("n"), F.coalesce("against", F.lit(0))
+    share = n / (n + against)
+    # Chernoff's bound on so large a share by chance
+    beside = F.when(against > 0, (1 - share) * F.ln((1 - share) / (1 - base))).otherwise(0.0)
+    evidence = share * F.ln(share / base) + beside
+    strength = F.ln((n + 0.5) / toxic) - F.ln((against + 0.5) / clean)
+    listed = (
+        inside.join(outside, "beginning", "left")
+        .where((share > base) & ((n + against) * evidence > demand) & (strength > 1.5))
+        .select("beginning", strength.alias("strength"))
+    )
+    return {r["beginning"]: r["strength"] for r in listed.collect()}
 
 
 class Meter:

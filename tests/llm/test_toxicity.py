@@ -6,6 +6,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from migcheck.llm import toxicity
 
@@ -67,3 +68,12 @@ def test_obfuscation():
     assert meter.plain("Z0rk") == "zork" and meter.plain("z.o_r-k") == "zork" and meter.plain("zooork") == "zork"
     features = dict(zip(toxicity.FEATURES, meter.measure("you z0rk, zork and zoooork")))
     assert features["log_hits"] == pytest.approx(1.3862943611) and features["near_second_person"] > 0
+
+
+def test_rare_words_are_tried_beside_many_frequent_ones(spark):
+    rng = random.Random(3)
+    neutral = " ".join("".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(8000))
+    rows = [(i, int(i < 30), f" {'zorkable' if i < 10 else 'plain'} {i}") for i in range(130)]
+    sample = spark.createDataFrame(rows, "text_key long, toxic int, tail string").withColumn("text", F.concat(F.lit(neutral), "tail"))
+    assert len(toxicity.beginnings(neutral)) > 20_000
+    assert set(toxicity.learn_lexicon(sample)) == {"zorkable"[:k] for k in range(3, 9)}
