@@ -38,6 +38,15 @@ def test_checksums_ignore_order_but_not_values(spark):
         checksum.ordered_md5(one, "k", most_rows=2)
 
 
+def test_streamed_md5_takes_any_number_of_rows(spark):
+    import hashlib
+
+    text = "".join(str(i // 2) for i in range(1_000_100))
+    many = spark.range(1_000_100).selectExpr("id div 2 AS k").orderBy(F.rand(1))
+    assert checksum.streamed_md5(many, "k").first().checksum == hashlib.md5(text.encode()).hexdigest()
+    assert checksum.streamed_md5(many.limit(0), "k").first().checksum == checksum.ordered_md5(many.limit(0), "k").first().checksum
+
+
 def test_schema_names(spark):
     df = spark.sql("SELECT 1 AS a, cast(1 AS decimal(5,2)) AS b, 'x' AS c, array(1) AS d, date'2020-01-01' AS e")
     assert [r.data_type for r in schema.schema_of(spark, df).orderBy("position").collect()] == ["integer", "numeric(5,2)", "varchar", "array<int>", "date"]
