@@ -2,13 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Vectors in a block; a task holds two blocks and their products at a time.
+BLOCK = 1_000
+
+BLOCKED = "size int, ids binary, values binary"
+FOUND = "query_id long, vec_id long, score double"
+
+
+def blocks(vectors: DataFrame) -> DataFrame:
+    """The vectors as rows of up to :data:`BLOCK` ids and their values, each as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                ids = np.array(part["vec_id"].to_pylist(), dtype=np.int64)
+                values = np.array(part["embedding"].to_pylist(), dtype=np.float64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([len(ids)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())],
+                    names=["size", "ids", "values"],
+                )
+
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.where("vec_id IS NOT NULL AND embedding IS NOT NULL").mapInArrow(run, BLOCKED)
+
+
+def top_similar(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score, rank of the ``k`` vectors with the largest dot products with each row of ``queries``.
+
+    Scores are rounded to four places, ties go by id.  Blocks of queries meet blocks of vectors; each
+    pair gives at most ``k`` rows a query.  Rows without an id or an embedding are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                q_size, q_ids, q_values, size, ids, values = (c[at].as_py() for c in batch.columns)
+                names, others = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
+                dot = np.frombuffer(q_values).reshape(q_size, -1) @ np.frombuffer(values).reshape(size, -1).T
+                score = np.copysign(np.floor(np.abs(dot) * 1e4 + 0.5) / 1e4, dot)
+                best = np.array([np.lexsort((others, -row))[:k] for row in score])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(names, best.shape[1])), pa.array(others[best].ravel()), pa.array(np.take_along_axis(score, best, 1).ravel())],
+                    names=["query_id", "vec_id", "score"],
+                )
 
-def top_similar(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
-    """vec_id and score of the ``k`` vectors with the largest dot product with the one-row ``query``."""
-    one = query.select(F.col("embedding").alias("_query")).limit(1)
-    dot = F.aggregate(F.zip_with("embedding", "_query", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-    scored = vectors.join(F.broadcast(one)).select("vec_id", F.round(dot, 4).alias("score"))
-    return scored.orderBy(F.desc("score"), "vec_id").limit(k)
+    asked = blocks(queries).select(*(F.col(c).alias(f"query_{c}") for c in ("size", "ids", "values")))
+    found = asked.crossJoin(blocks(vectors)).mapInArrow(run, FOUND)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

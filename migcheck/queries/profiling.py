@@ -302,7 +302,18 @@ def freshness(spark, sf_dir):
 )
 def vector_topk(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    return vector.top_similar(vectors, vectors.where("vec_id = 0"), 10)
+    return vector.top_similar(vectors, vectors.where("vec_id = 0"), 10).select("vec_id", "score")
+
+
+@R.add(
+    "vector_topk_many",
+    """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS score
+    FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) SELECT * FROM r WHERE rank <= 10""",
+)
+def vector_topk_many(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return vector.top_similar(vectors, vectors.where("vec_id % 50 = 0"), 10)
 
 
 @R.add("normalize_groups", """WITH c AS (SELECT unnest(['c_custkey', 'c_name', 'c_acctbal', 'o_orderkey', 'o_custkey', 'o_status', 'ps_qty', 'plain']) AS column_name),
