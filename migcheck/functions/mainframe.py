@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,28 +35,58 @@ def decode_packed(raw: Column, decimals: int = 0) -> Column:
     return F.when(F.length(text) == 0, "0").otherwise(F.concat(F.when(F.right(text, F.lit(1)) == "D", "-").otherwise(""), whole))
 
 
-def expand_pic(pic: str) -> str:
-    """X(3)V9(2) as XXXV99."""
-    return re.sub(r"([A-Z9])\((\d+)\)", lambda m: m[1] * int(m[2]), pic.upper())
+# Digits up to which a binary field takes so many bytes, and a whole number fits a SQL type.
+BINARY_BYTES = {4: 2, 9: 4, 18: 8}
+WHOLE_TYPES = {4: "SMALLINT", 9: "INTEGER", 18: "BIGINT"}
+
+
+@dataclass(frozen=True)
+class Picture:
+    """A PIC clause by its symbols: characters (X, A), digits before and behind the point (9 around V or .)."""
+
+    characters: int
+    whole: int
+    scale: int
+    pointed: bool
+
+    @classmethod
+    def of(cls, clause: str) -> Picture:
+        counts = {"text": 0, "whole": 0, "scale": 0}
+        pointed = False
+        for symbol, times in re.findall(r"([A-Z9.])(?:\((\d+)\))?", clause.upper()):
+            if symbol in "V.":
+                pointed = True
+            elif symbol in "AX":
+                counts["text"] += int(times or 1)
+            elif symbol == "9":
+                counts["scale" if pointed else "whole"] += int(times or 1)
+        return cls(counts["text"], counts["whole"], counts["scale"], pointed)
+
+    @property
+    def digits(self) -> int:
+        return self.whole + self.scale
+
+
+def fitting(digits: int, steps: dict[int, int | str]) -> int | str | None:
+    """The entry of the smallest step that holds so many digits."""
+    return next((steps[most] for most in sorted(steps) if digits <= most), None)
 
 
 def pic_bytes(pic: str, usage: str = "") -> int:
-    digits = len(re.sub(r"[SV.]", "", expand_pic(pic)))
+    picture = Picture.of(pic)
     if usage in ("COMP-3", "PACKED-DECIMAL"):
-        return (digits + 2) // 2
+        return picture.digits // 2 + 1  # a half byte for each digit and one for the sign
     if usage in ("COMP", "BINARY"):
-        return next(size for most, size in ((4, 2), (9, 4), (99, 8)) if digits <= most)
-    return digits
+        return fitting(picture.digits, BINARY_BYTES) or 8
+    return picture.characters + picture.digits
 
 
 def pic_type(pic: str) -> str:
-    """The SQL type of a PIC clause."""
-    long = expand_pic(pic)
-    size, nines = pic_bytes(pic), long.count("9")
-    if long.lstrip("S")[:1] in ("X", "A"):
-        return "CHAR(1)" if size <= 1 else f"VARCHAR({size})"
-    if "V" in long or "." in long:
-        return f"NUMERIC({nines},{len(long.partition('V')[2])})"
-    if long.lstrip("S").startswith("9"):
-        return next((name for most, name in ((4, "SMALLINT"), (9, "INTEGER"), (18, "BIGINT")) if nines <= most), f"NUMERIC({nines})")
-    return f"VARCHAR({size or 50})"
+    """The SQL type of a PIC clause: text if it has characters, else a number of its digits."""
+    picture = Picture.of(pic)
+    if picture.characters:
+        size = pic_bytes(pic)
+        return f"VARCHAR({size})" if size > 1 else "CHAR(1)"
+    if picture.pointed:
+        return f"NUMERIC({picture.digits},{picture.scale})"
+    return fitting(picture.digits, WHOLE_TYPES) or f"NUMERIC({picture.digits})"

@@ -7,19 +7,22 @@ from pyspark.sql import functions as F
 
 # Spark type -> names that legacy systems give it.
 NAMES = {
-    "smallint": "smallint tinyint".split(),
-    "int": "integer int serial".split(),
-    "bigint": "bigint bigserial".split(),
-    "decimal": "numeric decimal number".split(),
-    "float": "real binary_float".split(),
+    "smallint": ["smallint", "tinyint"],
+    "int": ["integer", "int", "serial"],
+    "bigint": ["bigint", "bigserial"],
+    "decimal": ["numeric", "decimal", "number"],
+    "float": ["real", "binary_float"],
     "double": ["double precision", "double", "float", "binary_double"],
-    "string": ["character varying", *"varchar varchar2 nvarchar nvarchar2 character char nchar text clob nclob long string time interval uuid json jsonb rowid".split(), "time with time zone"],
-    "boolean": "boolean bool".split(),
+    "string": [
+        "character varying", "varchar", "varchar2", "nvarchar", "nvarchar2", "character", "char", "nchar", "text", "clob", "nclob", "long", "string",
+        "time", "time with time zone", "interval", "uuid", "json", "jsonb", "rowid",
+    ],
+    "boolean": ["boolean", "bool"],
     "date": ["date"],
     "timestamp_ntz": ["timestamp without time zone"],
     "timestamp": ["timestamp with time zone", "timestamp", "timestamptz"],
     "binary": ["bytea", "blob", "raw", "long raw"],
-}
+}
 BY_NAME = {name: kind for kind, names in NAMES.items() for name in names}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from migcheck.functions.mainframe import pic_bytes, pic_type
+from migcheck.functions.mainframe import Picture, pic_bytes, pic_type
 
 ENTRY = re.compile(r"^(\d{1,2})\s+([\w-]+)\s*(.*)$", re.S)
 CLAUSES = {
@@ -59,9 +59,7 @@ def parse(text: str) -> list[Field]:
         if not found["pic"]:
             continue
         length = pic_bytes(found["pic"], found["usage"]) * int(found["occurs"] or 1)
-        point = found["pic"].find("V")
-        decimals = 0 if point < 0 else pic_bytes(found["pic"][point + 1 :])
-        fields.append(Field(entry[2].upper(), found["pic"], found["usage"], start, length, decimals, pic_type(found["pic"])))
+        fields.append(Field(entry[2].upper(), found["pic"], found["usage"], start, length, Picture.of(found["pic"]).scale, pic_type(found["pic"])))
         offset += 0 if found["redefines"] else length
     return fields
 

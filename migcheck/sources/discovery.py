@@ -18,8 +18,11 @@ KINDS = {
     "program": "cbl cobol".split(),
 }
 
-# Short record names -> words.
-WORDS = {"cust": "customer", "acct": "account", "tran": "transaction", "trans": "transaction", "xref": "cross_reference", "usr": "user", "grp": "group"}
+# Words of record and file names that say what they are, not what they are about.
+RECORD_WORDS = ("record", "rec", "data", "file", "area", "work", "master", "mstr", "detail", "header", "hdr", "ws", "wk", "fd")
+
+# Short names of what a record is about -> words.
+SUBJECTS = {"cust": "customer", "acct": "account", "tran": "transaction", "trans": "transaction", "card": "card", "xref": "cross_reference", "usr": "user", "grp": "group"}
 
 
 def scan_folder(spark: SparkSession, path: str) -> DataFrame:
@@ -64,13 +67,17 @@ def layout_fit(first_record: DataFrame, fields: list[Field]) -> DataFrame:
 
 
 def table_name(name: Column) -> Column:
-    """A plural table name from a record or file name such as CUST-REC or ACCTDATA."""
+    """A plural table name from a record or file name such as CUST-REC or ACCTDATA.
+
+    Record words are dropped wherever they stand between separators, and one that is joined to the
+    end; short words are written out; the last word takes an s.
+    """
+    subjects = F.create_map(*(F.lit(x) for pair in SUBJECTS.items() for x in pair))
     low = F.lower(F.translate(name, "-", "_"))
-    low = F.regexp_replace(low, r"_?(record|rec|data|file|area|work|master|mstr|detail|header|hdr)s?$", "")
-    low = F.regexp_replace(low, r"^(ws|wk|fd)_", "")
-    words = F.create_map(*(F.lit(x) for pair in WORDS.items() for x in pair))
-    base = F.coalesce(F.try_element_at(words, low), low)
-    return F.when(base == "", F.lower(name)).when(base.endswith("s"), base).otherwise(F.concat(base, F.lit("s")))
+    kept = F.filter(F.split(low, "_"), lambda w: (w != "") & ~w.isin(*RECORD_WORDS, *(f"{w}s" for w in RECORD_WORDS)))
+    bare = F.transform(kept, lambda w: F.regexp_replace(w, "(?<=..)(data|record|master)$", ""))
+    base = F.array_join(F.transform(bare, lambda w: F.coalesce(F.try_element_at(subjects, w), w)), "_")
+    return F.when(base == "", low).when(base.endswith("s"), base).otherwise(F.concat(base, F.lit("s")))
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
