@@ -6,8 +6,9 @@ give full sequences, what remains is placed by first-fit decreasing, where a tou
 the bins' free room finds the first bin that fits in logarithmic time.  A group is repeated
 identically when a task is run again.
 
-Defined cases: a null text is an empty one (one end id); repeated ids stay separate documents;
-an empty table gives no pieces; further columns of the input are ignored.
+Defined cases: a null text is an empty one (one end id); a text longer than a sequence gives several
+pieces; repeated ids and rows stay separate documents; equal sizes are placed in hash order; an empty
+table gives no pieces; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from migcheck.llm.shared import sliced
 from migcheck.llm.tokenize import PieceEncoder
 
 PIECE = T.StructType(
@@ -122,7 +124,7 @@ def pack(
         next_id = TaskContext.get().partitionId() << 40
         group: list[tuple[int | None, bytes]] = []
         tokens = 0
-        for batch in batches:
+        for batch in sliced(batches):
             docs_of = batch["doc_id"].to_pylist()
             for first, coded in encoder.runs(batch["text"].to_pylist()):
                 for doc, ids in zip(docs_of[first:], coded):

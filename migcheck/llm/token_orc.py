@@ -6,8 +6,9 @@ Bloom filter on ``doc_id``.  Each row also keeps its partition number and its of
 partition, so the global token offset needs only one total per partition.
 
 Defined cases: a null text is an empty one (it still gets the end id); null ids come first;
-rows with equal ids stay separate rows in input order; an empty table gives an empty result;
-further columns of the input are ignored.
+rows with equal ids (repeated rows too) stay separate rows in input order; an empty table gives an
+empty result; a text of any length is one row, encoded whole; further columns, whatever their names,
+are ignored.  Strings of a tokenizer's special tokens become those tokens, as the library has it.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from migcheck.llm.shared import sliced
 from migcheck.llm.tokenize import PieceEncoder
 
 STORED = T.StructType(
@@ -51,7 +53,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, partitions: int | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = TaskContext.get().partitionId(), 0
         encoder = PieceEncoder.of(tokenizer)
-        for batch in batches:
+        for batch in sliced(batches):
             # small batches out: neither side holds the ids of a whole Arrow batch of texts
             for first, coded in encoder.runs(batch["text"].to_pylist()):
                 coded = [x + end for x in coded]

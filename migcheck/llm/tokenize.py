@@ -1,10 +1,11 @@
 """Exact, cached use of the ``tokenizers`` library inside Spark tasks.
 
-A text is cut before each run of white space; both supported kinds of tokenizer (byte-level BPE, with
-or without word ends) always have a boundary there, so the ids of a text are the ids of its pieces in
-order, and repeated pieces are encoded once per worker.  A piece that is one word of plain letters,
-perhaps with a full stop or comma behind, goes straight to the library's BPE model; all others, and
-texts with white space other than blank, tab and line ends, go to the whole tokenizer.
+A text is cut into units whose ids do not depend on what stands around them, so the ids of a text are
+the ids of its units in order, and repeated units are encoded once per worker.  Both supported kinds
+of tokenizer (byte-level BPE, with or without word ends) always have a boundary before a run of white
+space, and around a word of plain letters that only punctuation marks follow before the next white
+space.  Such words go straight to the library's BPE model; all other units, and texts with white space
+other than blank, tab and line ends, go to the whole tokenizer, which also finds its special tokens.
 """
 
 from __future__ import annotations
@@ -13,13 +14,19 @@ import re
 import struct
 from collections.abc import Iterator
 
-PIECES = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+MARKS = r"!-/:-@\[-`{-~"
+UNITS = re.compile(
+    rf" ?[{LETTERS}]++(?=[{MARKS}]*+(?![^ \n\t\r]))"  # a word, perhaps behind a blank
+    rf"|[{MARKS}]++(?![^ \n\t\r])"  # the marks behind it
+    rf"|\n(?=[{LETTERS}])"
+    r"|[ \n\t\r]*+[^ \n\t\r]++|[ \n\t\r]++"
+)
+WORD = re.compile(rf" ?[{LETTERS}]+")
 OTHER_SPACE = re.compile(r"[^\S \n\t\r]")
-PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
-#: Entries remembered by one worker (about 150 bytes each); beyond them the memory starts anew.
-PIECES_KEPT = 250_000
-WORDS_KEPT = 400_000
+#: Units remembered by one worker (about 200 bytes each); beyond them the memory starts anew.
+UNITS_KEPT = 1_000_000
 
 _encoders: dict[str, "PieceEncoder"] = {}
 
@@ -43,23 +50,18 @@ def packed(ids: list[int]) -> bytes:
     return PACK[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
 
 
-class PieceEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids."""
+class PieceEncoder(dict):
+    """Encodes texts to little-endian unsigned 32-bit ids; as a dict it holds the ids of the units met so far."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.model = self.tokenizer.model
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.fold = self._whole(["Ab"]) == self._whole(["ab"]) == self._whole([" ab"])
-        self.ends = {x: self._whole([x])[0] for x in ("", "\n", ".", ",")}
+        self.fold = self.whole("Ab") == self.whole("ab") == self.whole(" ab")
         # the direct way to the model is taken only if it agrees with the whole tokenizer
-        trial = ["word", " Word", "\nÜber", " naïve.", "état,", " a", "Ñandú."]
-        self.direct = True
-        self.direct = [self._piece(x) for x in trial] == self._whole(trial)
+        trial = ["word", " Word", "Über", " naïve", "état", " a", "Ñandú"]
+        self.direct = [self.word(x) for x in trial] == [self.whole(x) for x in trial]
 
     @classmethod
     def of(cls, path: str) -> "PieceEncoder":
@@ -67,70 +69,43 @@ class PieceEncoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [packed(x.ids) for x in found]
-
-    def _word(self, word: str) -> bytes:
-        """Ids of one word of letters, perhaps behind a blank."""
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) >= WORDS_KEPT:
-                self.words.clear()
-            if word.isascii():
-                written = BLANK + word[1:] if word[0] == " " else word
-            else:
-                written = word.encode().decode("latin-1").translate(BYTE_LETTERS)
-            ids = packed([t.id for t in self.model.tokenize(written)])
-            self.words[word] = ids
-        return ids
+    def whole(self, text: str) -> bytes:
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _piece(self, piece: str) -> bytes | None:
-        """Ids of a piece by way of the model, or None if it must go to the whole tokenizer."""
-        plain = PLAIN.fullmatch(piece) if self.direct else None
-        if plain is None:
-            return None
-        before, word, end = plain.groups()
+    def word(self, word: str) -> bytes:
+        """Ids of one word of letters, perhaps behind a blank, by way of the model."""
         if self.fold:
-            ids = self._word(word.lower())
-        elif before == "\n":
-            ids = self.ends["\n"] + self._word(word)
+            word = word.lower().lstrip(" ")
+        if word.isascii():
+            written = BLANK + word[1:] if word[0] == " " else word
         else:
-            ids = self._word(before + word)
-        return ids + self.ends[end] if end else ids
+            written = word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return packed([t.id for t in self.model.tokenize(written)])
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self[unit] = self.word(unit) if self.direct and WORD.fullmatch(unit) else self.whole(unit)
+        return ids
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text; a null text has none."""
-        cut = [None if t is None or OTHER_SPACE.search(t) else PIECES.findall(t) for t in texts]
-        new: set[str] = set()
-        for pieces in cut:
-            if pieces:
-                new.update(pieces)
-        known = self.pieces
-        if len(known) + len(new) > PIECES_KEPT:
-            known.clear()
-        new.difference_update(known)
-        left = []
-        for piece in new:
-            ids = self._piece(piece)
-            if ids is None:
-                left.append(piece)
+        ids_of, cut, other = self.__getitem__, UNITS.findall, OTHER_SPACE.search
+        for text in texts:
+            if len(self) > UNITS_KEPT:
+                self.clear()
+            if not text:
+                yield b""
+            elif other(text):
+                yield self.whole(text)
             else:
-                known[piece] = ids
-        known.update(zip(left, self._whole(left)))
-        get = known.__getitem__
-        return [
-            b"".join(map(get, pieces)) if pieces is not None else (self._whole([t])[0] if t else b"")
-            for t, pieces in zip(texts, cut)
-        ]
+                yield b"".join(map(ids_of, cut(text)))
 
     def runs(self, texts: list[str | None], most_chars: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
         """(first text, ids of each) in runs of at most ``most_chars`` characters (or one text)."""
         first, size = 0, 0
         for at, text in enumerate(texts):
             if at > first and size + len(text or "") > most_chars:
-                yield first, self.encode(texts[first:at])
+                yield first, list(self.encode(texts[first:at]))
                 first, size = at, 0
             size += len(text or "")
         if first < len(texts):
-            yield first, self.encode(texts[first:])
+            yield first, list(self.encode(texts[first:]))

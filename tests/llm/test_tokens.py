@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import random
 import zlib
 
 import numpy as np
@@ -15,7 +16,7 @@ from migcheck.llm.tokenize import PieceEncoder
 ODD = [
     None, "", " ", "\n", "\n\n", "  two  blanks ", "tab\tand\r\nline", "nb space  em", "it's we'll 'S",
     "a.\x1cb c", "café ́x", "ΟΔΟΣ ΣΑΣ", "<|endoftext|> <|startoftext|>x", "123 4567  89", "x" * 5000,
-    "...,, !?\n !", "word\n next\n\n\nline  \n", "İstanbul Ǆ", "日本語 テキスト", "👍🏽 ok",
+    "...,, !?\n !", "word\n next\n\n\nline  \n", "İstanbul Ǆ", "日本語 テキスト", "👍🏽 ok", "hello <|endoftext|> world", "x<|endoftext|>y", "<|ENDOFTEXT|>", "word### a&&& 'tis x's.",
 ]
 
 
@@ -23,9 +24,7 @@ ODD = [
 def library(name: str):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(queries.tokenizer_path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(queries.tokenizer_path(name))
 
 
 def direct(name: str, text: str | None) -> list[int]:
@@ -40,8 +39,17 @@ def test_pieces_equal_whole_texts(name, spark, sf_dir):
         assert np.frombuffer(ids, "<u4").tolist() == direct(name, text), repr(text)[:80]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_units_of_mixed_signs(name):
+    rng = random.Random(1)
+    parts = [*ODD[3:10], "<|endoftext|>", "<|", "'s", "'", "It's", "é", "é", "e\u0301", "\u0301", "...", ",", "12", "_", "x_y", "\n", " ", "  ", "\t", "Word", "word.", "'ll", "ª", "×", "ﬁ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(5000)]
+    for text, ids in zip(texts, PieceEncoder(queries.tokenizer_path(name)).encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == direct(name, text), repr(text)
+
+
 def odd_docs(spark):
-    rows = [(i * 3 % 40, t, "x") for i, t in enumerate(ODD)] + [(5, "again", "y"), (5, "again", "y"), (None, "no id", "z")]
+    rows = [(i * 3 % 40, t, "x") for i, t in enumerate(ODD)] + [(5, "again", "y"), (5, "again", "y"), (None, "no id", "z"), (77, "long text, " * 100_000, "l")]
     return spark.createDataFrame(rows, "doc_id long, text string, part string")
 
 
