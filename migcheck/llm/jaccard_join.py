@@ -419,11 +419,11 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -
     stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("doc_key") == F.col("class_key"))
     left = without(docs, classes.where(~stays))
     again = classes.where(stays & (F.col("n_shingles") > 0)).groupBy("doc_id", "doc_key").agg(F.count("*").alias("rows"))
-    again = materialise(again.where("rows > 1").select(F.col("doc_id").alias("_again_id"), F.col("doc_key").alias("_again_key")), "again")
+    again = materialise(again.where("rows > 1").select(F.col("doc_id").alias("again_id"), F.col("doc_key").alias("again_key")), "again")
     if not again.limit(1).count():
         return left
     again = small(again)
-    rows = with_key(left, "_own_key")
-    same = (F.col("_own_key") == F.col("_again_key")) & rows["doc_id"].cast("long").eqNullSafe(again["_again_id"])
-    once = rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "_own_key"])
-    return rows.join(again, same, "left_anti").union(once).drop("_own_key")
+    rows = with_key(left)
+    same = (F.col("doc_key") == F.col("again_key")) & F.col("doc_id").eqNullSafe(F.col("again_id"))
+    once = rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "doc_key"])
+    return rows.join(again, same, "left_anti").union(once).select("row.*")

@@ -1,25 +1,33 @@
 """Information-theoretic sanitisation of personal data.
 
 Protected entities are e-mail and IP addresses, payment cards and phone numbers.  Beside the entities
-themselves, words around them may reveal them.  How strongly is estimated from the whole corpus: for
-a word t of texts that hold an entity e, PMI(t; e) = log p(e | t) / p(e), relative to the information
-of the entity, IC(e) = -log p(e).  The ratio is 1 if t only ever occurs together with e.  It is taken
-for each entity by itself, for its kind and for all kinds together, so that entities in a single text
-count as well; p counts distinct texts, and all their words outside of entities.  A pair counts only
-if chance is ruled out by a bound on the binomial tail, corrected for the number of pairs tried.
-Words whose ratio reaches the disclosure threshold are generalised in the documents that hold e (or
-its kind); those whose ratio reaches the removal threshold are removed.
+themselves, other words of a text may reveal them.  How strongly is estimated from the whole corpus,
+for three levels c: any entity, each kind, and each class (mail domain, subnet, number prefix, card
+issuer).  A class stands for its entities, also for those in a single text: a word that points to an
+entity points to its class at least as much.  With n_t distinct texts that hold a word t outside of
+entities, n_tc of them with c, and one text at the base rate for smoothing,
+
+    p(c | t) = (n_tc + p(c)) / (n_t + 1),   PMI(t; c) = log2 p(c | t) / p(c),   IC(c) = -log2 p(c).
+
+A word discloses c where PMI reaches ``least_gain`` bits and at most ``rest`` bits of IC are left.  Both
+are shares of texts, so they mean the same at every size of the corpus; with the defaults a word counts
+from the second distinct text on, if it is in no text without c.  In the documents that hold c,
+
+* a word that discloses a class is removed, as it points to few entities;
+* another is generalised to a broader term, the words that begin with its first half, written as that
+  half with a star, if those do not disclose any entity themselves; else it is removed.
 
 All of it is DataFrame code; positions come from the lengths of the matches and of the gaps between.
 
 Defined cases: a null text is an empty one without spans; matches that fail their check are dropped
-and not tried again; repeated rows are handled alike; an empty table gives an empty result; further
-columns are ignored (kept by :func:`sanitise`).
+and not tried again; overlapping spans of several kinds are all listed, by start, then kind, and
+replaced as one; repeated rows are handled alike and count as one text; a very long text is one text,
+read whole; an empty table gives an empty result; further columns, whatever their names, are ignored
+(kept by :func:`sanitise`).
 """
 
 from __future__ import annotations
 
-import math
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
@@ -115,11 +123,8 @@ def places(text: Column, pattern: Column | str, order: int, kind: str, needs: st
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, doc_key, text, ``row`` (the other columns) and ``base``: the valid matches by start, then kind."""
-    others = [c for c in docs.columns if c != "text"]
-    rows = with_key(docs, "_own_key").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("_own_key").alias("doc_key"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("row")
-    )
+    """doc_id, doc_key, text, ``row`` (all columns) and ``base``: the valid matches by start, then kind."""
+    rows = with_key(docs).withColumn("text", F.col("row.text").cast("string"))
     text = F.coalesce("text", F.lit(""))
     for order, kind in enumerate(KINDS):
         needs = {"email": "@", "phone": "+"}.get(kind, "")
@@ -128,10 +133,17 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "doc_key", "text", "row", F.array_sort(F.concat(*checked)).alias("base"))
 
 
-def entity(span: Column) -> Column:
-    """An entity's name: its kind and its letters or digits without layout."""
-    value = F.when(span["kind"].isin("card", "phone"), digits(span["value"])).otherwise(F.lower(span["value"]))
-    return F.concat_ws(":", span["kind"], value)
+def entity_class(span: Column) -> Column:
+    """The class of an entity: mail domain, first two parts of an address, prefix of a number, first digits of a card."""
+    number = digits(span["value"])
+    return F.concat_ws(
+        ":",
+        span["kind"],
+        F.when(span["kind"] == "email", F.lower(F.substring_index(span["value"], "@", -1)))
+        .when(span["kind"] == "ip", F.substring_index(span["value"], ".", 2))
+        .when(span["kind"] == "card", F.left(number, F.lit(4)))
+        .otherwise(F.left(number, F.length(number) - 7)),
+    )
 
 
 def words_around(text: Column, base: Column) -> Column:
@@ -151,7 +163,7 @@ def number(weight: Column) -> Column:
 
 
 def holders_of(found: DataFrame) -> DataFrame:
-    """The documents that hold an entity, with their ``kinds``, ``entities`` and the ``terms`` around them."""
+    """The documents that hold an entity, with their ``kinds``, ``classes`` and the ``terms`` around the entities."""
     return found.where(F.size("base") > 0).select(
         "doc_id",
         "doc_key",
@@ -159,31 +171,23 @@ def holders_of(found: DataFrame) -> DataFrame:
         "text",
         "base",
         F.array_distinct(F.transform("base", lambda s: s["kind"])).alias("kinds"),
-        F.array_distinct(F.transform("base", entity)).alias("entities"),
+        F.array_distinct(F.transform("base", entity_class)).alias("classes"),
         words_around(F.col("text"), F.col("base")).alias("terms"),
     )
 
 
-def disclosing(pairs: DataFrame, known: DataFrame, tried: float, total: float, threshold: float, removal: float) -> DataFrame:
-    """name, term, ratio, action of the words that disclose an entity or a kind.
+def discloses(both: Column, term_texts: Column, share: Column, least_gain: float, rest: float) -> Column:
+    """Whether a word in ``term_texts`` texts, ``both`` of them with c, discloses c, which a ``share`` of all texts holds."""
+    given = F.least(F.lit(1.0), (both + share) / (term_texts + 1))
+    return (F.log2(given / share) >= least_gain) & (-F.log2(given) <= rest)
 
-    ``pairs`` has name, term, both (texts with both) and term_texts; ``known`` has name and texts.
-    Chance is bounded by Chernoff's bound on the binomial tail, corrected for the pairs tried.
-    """
-    base, share = F.col("texts") / total, F.least(F.lit(1.0), F.col("both") / F.col("term_texts"))
-    beside = F.when(share < 1, (1 - share) * F.ln((1 - share) / (1 - base))).otherwise(0.0)
-    evidence = F.col("term_texts") * (share * F.ln(share / base) + beside)
-    return (
-        pairs.join(small(known), "name")
-        .where((F.col("both") > 0) & (base < 1))
-        .where((share > base) & (evidence > math.log(max(1.0, tried)) + 2))
-        .withColumn("ratio", 1 + F.log2(share) / -F.log2(base))
-        .where(F.col("ratio") >= threshold)
-        .select("name", "term", "ratio", F.when(F.col("ratio") >= removal, "remove").otherwise("generalise").alias("action"))
-    )
+
+def stem(term: Column) -> Column:
+    """The broader term's beginning: the first half of a word."""
+    return F.left(term, F.ceil(F.length(term) / 2).cast("int"))
 
 
-def document_terms(docs: DataFrame, holders: DataFrame, threshold: float, removal: float) -> DataFrame:
+def document_terms(docs: DataFrame, holders: DataFrame, least_gain: float, rest: float) -> DataFrame:
     """doc_id, doc_key, general, gone: the disclosing words that each document with an entity holds.
 
     Words and entities are counted in distinct texts of the whole corpus, outside of entities on both
@@ -192,8 +196,8 @@ def document_terms(docs: DataFrame, holders: DataFrame, threshold: float, remova
     rows = keyed(docs).withColumn("text_key", F.xxhash64("text"))
     sizes = materialise(rows.groupBy("text_key").agg(F.count("*").alias("copies")), "text-sizes")
     copies = materialise(sizes.where("copies > 1"), "copies")
-    total = sizes.count()
-    held = materialise(weighed(holders.select("doc_id", "doc_key", "text_key", "kinds", "entities", "terms"), copies), "held")
+    total = max(1, sizes.count())
+    held = materialise(weighed(holders.select("doc_id", "doc_key", "text_key", "kinds", "classes", "terms"), copies), "held")
 
     # words of the documents with an entity: one row for each text and word, one sum for each kind
     own = held.select("weight", "kinds", F.explode("terms").alias("term"))
@@ -201,38 +205,41 @@ def document_terms(docs: DataFrame, holders: DataFrame, threshold: float, remova
     own = own.groupBy("term").agg(*of_kind, number(F.col("weight")).alias(ANY))
     other = weighed(without(docs, holders).select(F.xxhash64(F.col("text").cast("string")).alias("text_key"), "text"), copies)
     other = other.select("weight", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), NO_TERM))).alias("term"))
-    other = other.groupBy("term").agg(number(F.col("weight")).alias("others"))
+    other = materialise(other.groupBy("term").agg(number(F.col("weight")).alias("others")), "other-terms")
     counts = own.join(other, "term", "left").withColumn("term_texts", F.col(ANY) + F.coalesce("others", F.lit(0.0)))
     counts = materialise(counts.drop("others"), "term-counts")
-    n_terms = counts.count()
 
+    # any entity and the kinds: their shares are five numbers
     levels = [*KINDS, ANY]
-    level_texts = held.agg(*(number(F.when(F.array_contains("kinds", k), F.col("weight")).otherwise(0.0)).alias(k) for k in KINDS), number(F.col("weight")).alias(ANY))
-    by_kind = disclosing(
-        counts.unpivot(["term", "term_texts"], levels, "name", "both"),
-        materialise(level_texts.unpivot([], levels, "name", "texts").where("texts > 0"), "kinds"),
-        n_terms * len(levels),
-        total,
-        threshold,
-        removal,
-    )
-
-    # entities by their own names: only those in so many texts that a word with all of them could pass the bound
-    known = held.select("weight", F.explode("entities").alias("name")).groupBy("name").agg(number(F.col("weight")).alias("texts"))
-    known = materialise(known, "entities")
-    tried = float(n_terms) * known.count()
-    enough = F.col("texts") * F.ln(total / F.col("texts")) > math.log(max(1.0, tried)) + 2
-    known = materialise(known.where(enough), "known")
-    names = held.select("doc_id", "doc_key", "weight", "terms", F.explode("entities").alias("name"))
-    names = names.join(small(known.select("name")), "name", "left_semi")
-    pairs = names.select("doc_id", "doc_key", "weight", "name", F.explode("terms").alias("term"))
+    in_texts = held.agg(*(F.coalesce(number(F.when(F.array_contains("kinds", k), F.col("weight")).otherwise(0.0)), F.lit(0.0)).alias(k) for k in KINDS), F.coalesce(number(F.col("weight")), F.lit(0.0)).alias(ANY)).first()
+    shown = [F.when((F.col(k) > 0) & discloses(F.col(k), F.col("term_texts"), F.lit(in_texts[k] / total), least_gain, rest), F.lit(k)) for k in levels if in_texts[k]]
+    by_kind = counts.select("term", "term_texts", F.array_compact(F.array(*shown, F.lit(None).cast("string"))).alias("levels")).where(F.size("levels") > 0)
+    by_kind = materialise(by_kind, "kind-disclosures")
+
+    # classes
+    known = held.select("weight", F.explode("classes").alias("name")).groupBy("name").agg((number(F.col("weight")) / total).alias("share"))
+    known = materialise(known, "classes")
+    pairs = held.select("weight", "classes", F.explode("terms").alias("term")).select("weight", "term", F.explode("classes").alias("name"))
     both = pairs.groupBy("name", "term").agg(number(F.col("weight")).alias("both"))
-    by_name = disclosing(both.join(counts.select("term", "term_texts"), "term"), known, tried, total, threshold, removal)
-
-    by_kind, by_name = materialise(by_kind, "kind-disclosures"), materialise(by_name, "disclosures")
-    words = held.select("doc_id", "doc_key", "kinds", F.explode("terms").alias("term")).join(small(by_kind), "term")
-    words = words.where((F.col("name") == ANY) | F.array_contains("kinds", F.col("name"))).select("doc_id", "doc_key", "term", "action")
-    named = pairs.join(small(by_name), ["name", "term"]).select("doc_id", "doc_key", "term", "action")
+    by_class = both.join(counts.select("term", "term_texts"), "term").join(small(known), "name")
+    by_class = by_class.where(discloses(F.col("both"), F.col("term_texts"), F.col("share"), least_gain, rest)).select("name", "term")
+    by_class = materialise(by_class, "class-disclosures")
+
+    # broader terms: how often the words with the same first half are with any entity and without one
+    half = stem(F.col("term"))
+    stems = by_kind.select(half.alias("stem")).distinct()
+    inside = counts.select(half.alias("stem"), F.col(ANY).alias("own"), F.lit(0.0).alias("others"))
+    beyond = other.select(half.alias("stem"), F.lit(0.0).alias("own"), "others")
+    broad = inside.union(beyond).join(small(materialise(stems, "stems")), "stem", "left_semi").groupBy("stem").agg(F.sum("own").alias("own"), F.sum("others").alias("others"))
+    open_ = ~discloses(F.col("own"), F.col("own") + F.col("others"), F.lit(max(in_texts[ANY], 1.0) / total), least_gain, rest)
+    broad = materialise(broad.where(open_).select("stem", F.lit(True).alias("broad")), "broader-terms")
+    by_kind = by_kind.withColumn("stem", half).join(small(broad), "stem", "left").select("term", "levels", F.coalesce("broad", F.lit(False)).alias("broad"))
+    by_kind = materialise(by_kind, "kind-actions")
+
+    words = held.select("doc_id", "doc_key", F.concat("kinds", F.array(F.lit(ANY))).alias("own_levels"), F.explode("terms").alias("term")).join(small(by_kind), "term")
+    words = words.where(F.arrays_overlap("levels", "own_levels")).select("doc_id", "doc_key", "term", F.when(F.col("broad"), "generalise").otherwise("remove").alias("action"))
+    named = held.select("doc_id", "doc_key", "classes", F.explode("terms").alias("term")).join(small(by_class), "term")
+    named = named.where(F.array_contains("classes", F.col("name"))).select("doc_id", "doc_key", "term", F.lit("remove").alias("action"))
     return (
         words.union(named)
         .groupBy("doc_id", "doc_key")
@@ -243,38 +250,44 @@ def document_terms(docs: DataFrame, holders: DataFrame, threshold: float, remova
     )
 
 
-def term_spans(holders: DataFrame, own: DataFrame, removal_kind: str = "removed") -> DataFrame:
+def term_spans(holders: DataFrame, own: DataFrame) -> DataFrame:
     """doc_id, doc_key and ``terms``: the places of disclosing words in documents that hold the entity."""
     own = small(materialise(own, "document-terms"), 50_000)
     texts = holders.join(own, same_row(holders, own)).select(holders["doc_id"], holders["doc_key"], "text", "base", "general", "gone")
+    # a word marked for removal is removed, whatever another entity asks for
+    texts = texts.withColumn("general", F.array_except("general", "gone"))
 
-    def spans(words: str, order: int, kind: str) -> Column:
-        pattern = F.concat(
-            F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}])")
+    def marked(words: str, order: int, kind: str) -> Column:
+        """The words of the text that are listed, from all of its words."""
+        return F.transform(
+            F.filter("words", lambda w: F.array_contains(words, F.lower(w["value"]))),
+            lambda w: F.struct(w["start"].alias("start"), F.lit(order).alias("order"), w["end"].alias("end"), F.lit(kind).alias("kind"), w["value"].alias("value")),
         )
-        # no words: a pattern that matches nowhere
-        return places(F.col("text"), F.when(F.size(words) > 0, pattern).otherwise(F.lit(r"(?!)")), order, kind)
 
-    # a word marked for removal is removed, whatever another entity asks for
-    texts = texts.withColumn("general", F.array_except("general", "gone"))
-    both = F.array_sort(F.concat(spans("general", len(KINDS), "term"), spans("gone", len(KINDS) + 1, removal_kind)))
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.concat("general", "gone"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    texts = texts.withColumn("words", places(F.col("text"), pattern, 0, "word"))
+    both = F.array_sort(F.concat(marked("general", len(KINDS), "term"), marked("gone", len(KINDS) + 1, "removed")))
     clear = F.filter(both, lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
     return texts.select("doc_id", "doc_key", clear.alias("terms")).dropDuplicates(["doc_id", "doc_key"])
 
 
-def find(docs: DataFrame, threshold: float = 0.9, removal: float = 0.999) -> DataFrame:
-    """doc_id, doc_key, text, ``row`` (the other columns), ``base`` spans and all ``spans`` of every document."""
+def find(docs: DataFrame, least_gain: float = 2.0, rest: float = 0.6) -> DataFrame:
+    """doc_id, doc_key, text, ``row`` (all columns), ``base`` spans and all ``spans`` of every document."""
     found = base_spans(docs)
     holders = materialise(holders_of(found), "holders")
-    extra = materialise(term_spans(holders, document_terms(docs, holders, threshold, removal)), "term-spans")
+    extra = materialise(term_spans(holders, document_terms(docs, holders, least_gain, rest)), "term-spans")
     joined = found.join(small(extra, 50_000), same_row(found, extra), "left")
     spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.coalesce("terms", F.array()))))
     return joined.select(found["doc_id"], found["doc_key"], "text", "row", "base", spans.alias("spans"))
 
 
 def sanitised(text: Column, spans: Column, instead: str | None = None) -> Column:
-    """The text with entities and words generalised to their kind or removed (or all replaced by ``instead``); overlapping spans become one."""
-    name = lambda s: F.when(s["kind"] == "removed", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    """The text with entities replaced by their kind, words by a broader term or nothing (or all by ``instead``); overlapping spans become one."""
+
+    def name(s: Column) -> Column:
+        kind = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        return F.when(s["kind"] == "removed", "").when(s["kind"] == "term", F.concat(stem(s["value"]), F.lit("*"))).otherwise(kind)
+
     step = F.aggregate(
         spans,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),

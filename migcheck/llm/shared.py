@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session does not name a shared folder (local runs, tests).
+#: Used only where all runs in one local process and the session names no shared folder.
 LOCAL_DEFAULT = "/tmp/checkpoints"
 
 #: Lower-case words of a text: letters a-z, digits and everything beyond ASCII.
@@ -20,7 +20,11 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = LOCAL_DEFAULT
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -77,27 +81,35 @@ def same_row(left: DataFrame, right: DataFrame) -> Column:
     return (left["doc_key"] == right["doc_key"]) & left["doc_id"].eqNullSafe(right["doc_id"])
 
 
-#: Rows up to which a measured table is broadcast; larger ones are joined by a shuffle.
+#: Rows and bytes up to which a stored table is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (a stored table of short rows), marked for broadcast only if it has at most ``most`` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (a stored table), marked for broadcast only if it has at most ``most`` rows and ``most_bytes`` bytes.
+
+    The bytes are Spark's own estimate from the files; the rows of stored files are counted in their footers.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= most_bytes and df.count() <= most else df
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` with all columns, but without the rows whose (doc_id, doc_key) is in the stored table ``gone``."""
-    names = gone.select(F.col("doc_id").alias("_gone_id"), F.col("doc_key").alias("_gone_key")).distinct()
+    names = gone.select(F.col("doc_id").alias("gone_id"), F.col("doc_key").alias("gone_key")).distinct()
     names = small(materialise(names, "gone"))
-    rows = with_key(docs, "_own_key")
-    same = (F.col("_own_key") == F.col("_gone_key")) & rows["doc_id"].cast("long").eqNullSafe(names["_gone_id"])
-    return rows.join(names, same, "left_anti").drop("_own_key")
+    rows = with_key(docs)
+    return rows.join(names, (rows["doc_key"] == names["gone_key"]) & rows["doc_id"].eqNullSafe(names["gone_id"]), "left_anti").select("row.*")
 
 
-def with_key(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with the ``doc_key`` of :func:`keyed` under the given name."""
-    return docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+def with_key(docs: DataFrame) -> DataFrame:
+    """doc_id, doc_key of :func:`keyed` and ``row``, which holds all columns, so that no name can clash."""
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("doc_key"),
+        F.struct("*").alias("row"),
+    )
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:

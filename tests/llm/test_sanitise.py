@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 
@@ -74,6 +75,78 @@ def test_query_keeps_base_spans(spark, sf_dir):
         assert set(filter(None, listed(brute(texts[r.doc_id])).split(","))) <= set(r.spans.split(","))
 
 
+def classes_of(text: str, spans) -> set[str]:
+    out = set()
+    for start, _, kind, end in spans:
+        value, number = text[start:end], re.sub(r"\D", "", text[start:end])
+        out.add(kind + ":" + {"email": value.rpartition("@")[2].lower(), "ip": ".".join(value.split(".")[:2]), "card": number[:4], "phone": number[:-7]}[kind])
+    return out
+
+
+def words_in(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in re.finditer(r"[^\W_]+", text)]
+
+
+def brute_all(texts: dict) -> dict:
+    """All spans of every text, by the definition of disclosure, from plain counting."""
+    distinct = {t: None for t in texts.values()}
+    for t in distinct:
+        spans = brute(t)
+        outside = list(t or "")
+        for start, _, _, end in spans:
+            outside[start:end] = " " * (end - start)
+        terms = {w for a, b in words_in("".join(outside)) if len(w := "".join(outside)[a:b].lower()) > 1}
+        distinct[t] = (spans, terms, {s[2] for s in spans} | ({"any"} if spans else set()), classes_of(t or "", spans))
+    total = len(distinct)
+    texts_of, with_level, of_level = {}, {}, {}
+    for _, terms, levels, classes in distinct.values():
+        for c in levels | classes:
+            of_level[c] = of_level.get(c, 0) + 1
+        for w in terms:
+            texts_of[w] = texts_of.get(w, 0) + 1
+            for c in levels | classes:
+                with_level[w, c] = with_level.get((w, c), 0) + 1
+
+    def shows(both, n, c):
+        share = of_level[c] / total
+        given = min(1.0, (both + share) / (n + 1))
+        return math.log2(given / share) >= 2 and -math.log2(given) <= 0.6
+
+    stems: dict = {}
+    for w, n in texts_of.items():
+        own = stems.setdefault(w[: math.ceil(len(w) / 2)], [0, 0])
+        own[0] += with_level.get((w, "any"), 0)
+        own[1] += n
+    out = {}
+    for i, t in texts.items():
+        spans, terms, levels, classes = distinct[t]
+        found = []
+        for start, end in words_in(t or "") if spans else []:
+            w = t[start:end].lower()
+            if w not in terms or any(start < b[3] and b[0] < end for b in spans):
+                continue
+            half = stems[w[: math.ceil(len(w) / 2)]]
+            if any(shows(with_level[w, c], texts_of[w], c) for c in classes):
+                found.append((start, 5, "removed", end))
+            elif any(shows(with_level[w, c], texts_of[w], c) for c in levels):
+                found.append((start, 5, "removed", end) if shows(half[0], half[1], "any") else (start, 4, "term", end))
+        out[i] = listed(sorted(spans + found))
+    return out
+
+
+def test_all_spans_equal_plain_counting(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    want = brute_all(texts)
+    assert sum("term:" in x or "removed:" in x for x in want.values()) > 0
+    assert {r.doc_id: r.spans for r in queries.op2_sanitise(spark, sf_dir).collect()} == want
+
+
+def test_very_long_text(spark):
+    text = "plain words and agent@example.org, " * 3_000
+    row = sanitise.digest(sanitise.find(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert row.n_email == 3_000 and row.spans == listed(brute(text))
+
+
 def disclosing_docs(spark):
     rows = [(i, f"The zorblat of unit{i} can be reached at agent@example.org for orders {i}") for i in range(6)]
     rows += [(100 + i, f"the orders of unit{i} can be reached for any reason at all") for i in range(60)]
