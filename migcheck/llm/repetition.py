@@ -1,15 +1,18 @@
 """Quality rules on repetition inside a document.
 
-For each document the operator builds the suffix array of its words and the longest common
-prefixes of neighbours in it.  A word that starts a common prefix of at least ``min_words`` words
-starts a repeated substring; those that cannot be extended to the left are the maximal ones.  Their
-spans are united, and a document fails where the united spans cover too much of it or one of them
+For each document the operator builds the suffix array of its words, the longest common prefixes of
+neighbours in it and their intervals.  An interval of the suffix array whose suffixes share a prefix
+of at least ``min_words`` words, no more and no less, is a substring that cannot be extended to the
+right; those whose occurrences follow different words cannot be extended to the left either and are
+the maximal repeated substrings.  Their spans are united (for each occurrence the longest counts, it
+covers the others), and a document fails where the united spans cover too much of it or one of them
 is too long.  Many documents are handled in one array pass: a separator that occurs only once ends
 each document, so no common prefix crosses it.
 
-Defined cases: a null or blank text has no words (all counts 0, not kept); repeated rows are
-measured alike; an empty table gives an empty result; further columns are ignored.  A batch holds at most ``batch_words``
-words or one document, whatever its length; texts are never cut.
+Defined cases: a null or blank text has no words (all counts 0, not kept); repeated rows are measured
+alike; an empty table gives an empty result; equal suffixes do not exist, as each ends at its own place;
+further columns, whatever their names, are ignored.  A batch holds at most ``batch_words`` words or one
+document, whatever its length; texts are never cut.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from migcheck.llm.shared import sliced
+
 WORD = re.compile(r"[^ \t-\r]+")
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -74,17 +79,38 @@ def common_prefix(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.
     return out
 
 
-def repeat_lengths(codes: np.ndarray) -> np.ndarray:
-    """For each position the length of the longest substring from there that occurs elsewhere too.
+def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in order, and the lengths of the common prefixes of neighbours.
 
     ``codes`` holds symbols numbered densely from 0, each document ended by a symbol of its own.
     """
-    if not len(codes):
-        return np.zeros(0, dtype=np.int64)
     levels = suffix_levels(codes)
     order = np.argsort(levels[-1], kind="stable")
-    shared = common_prefix(levels, order[:-1], order[1:])
-    best = np.zeros(len(codes), dtype=np.int64)
+    return order, common_prefix(levels, order[:-1], order[1:])
+
+
+def intervals(shared: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+    """(length, first, last): the intervals of the suffix array whose suffixes share exactly ``length`` >= ``least`` symbols."""
+    open_: list[tuple[int, int]] = []
+    for at, length in enumerate([*shared.tolist(), 0]):
+        left = at
+        while open_ and open_[-1][0] > length:
+            ended, left = open_.pop()
+            yield ended, left, at
+        if length >= least and (not open_ or open_[-1][0] < length):
+            open_.append((length, left))
+
+
+def maximal_repeats(codes: np.ndarray, order: np.ndarray, shared: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """The intervals of :func:`intervals` whose occurrences follow different symbols (the start of the text is one of its own)."""
+    before = np.where(order > 0, codes[order - 1], -1)
+    turns = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])
+    return [(length, first, last) for length, first, last in intervals(shared, least) if turns[last] > turns[first]]
+
+
+def repeat_lengths(order: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """For each position the length of its longest interval: of the longest substring from there that occurs elsewhere too."""
+    best = np.zeros(len(order), dtype=np.int64)
     best[order[:-1]] = shared
     best[order[1:]] = np.maximum(best[order[1:]], shared)
     return best
@@ -139,12 +165,12 @@ def measure_batch(texts: list[str | None], min_words: int) -> list[tuple]:
         # a repeat of at least WINDOW words shows in the windows; only shorter limits need every document
         if sizes[i] > 1 and (n_repeat[i] or min_words < WINDOW):
             own = np.unique(codes[begins[i] : ends[i] + 1], return_inverse=True)[1]
-            best = repeat_lengths(own)[: sizes[i]]
-            starts = np.flatnonzero(best >= min_words)
-            if len(starts):
-                longest = int(best.max())
-                before = np.concatenate([[0], best[:-1]])
-                maximal = int(((best >= min_words) & (before != best + 1)).sum())
+            order, shared = suffix_array(own)
+            found = maximal_repeats(own, order, shared, min_words)
+            if found:
+                best = repeat_lengths(order, shared)[: sizes[i]]
+                starts = np.flatnonzero(best >= min_words)
+                longest, maximal = max(length for length, _, _ in found), len(found)
                 inside = covered(starts, best[starts], int(sizes[i]))
                 cover = int(inside.sum())
                 turns = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
@@ -169,7 +195,7 @@ def measure(docs: DataFrame, min_words: int = WINDOW, batch_words: int = 400_000
     """doc_id and the repetition measures of each text; ``spans`` are [from, to) in words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 5_000):
             ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
             at = 0
             while at < len(texts):
