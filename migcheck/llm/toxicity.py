@@ -2,20 +2,22 @@
 
 1. A bounded sample of labelled rows (``most_labelled`` rows on average, by a hash of the id) is the
    only thing that learning sees; of it only rows whose crc32(id) mod 5 is not 0.
-2. A lexicon is learned from it: beginnings of words that occur in toxic texts far more often than
-   chance allows (a bound on the binomial tail, corrected for the number of beginnings tried), beside
-   a short stated list.
+2. A lexicon is learned from its folds 1 to 3: beginnings of words that occur in toxic texts far more
+   often than chance allows (a bound on the binomial tail, corrected for the number of beginnings that
+   could pass it), beside a short stated list.
 3. Each whole text gives dense features: lexicon densities, hits near the second person, capitals,
    punctuation and obfuscation rates.
-4. Boosted trees are fitted on the folds 1 to 3 of the sample, isotonic regression on fold 4, and both
-   are applied to all documents.
+4. Boosted trees are fitted on the folds 1 to 3 of the sample.  Fold 4, which neither the lexicon nor
+   the trees have seen, calibrates them by isotonic regression; both are applied to all documents.
 
 Labels, language, source and id are never features.
 
-Defined cases: a null text is an empty one and has the features of no words; repeated rows are scored
-alike; null or contradicting labels: nulls are ignored, one toxic label makes an id toxic; with labels
-of one class only (or none) every score is that class' share, 0 without labels; an empty table gives
-an empty result; further columns are ignored.
+Defined cases: a null text is an empty one and has the features of no words; a very long text is measured
+whole; repeated rows are scored alike; equal scores are ties and stay equal; null or contradicting labels:
+nulls are ignored, one toxic label makes an id toxic; with labels of one class only (or none) every score
+is that class' share, 0 without labels; with under five rows of a class in fold 4 or the others, lexicon,
+trees and calibration use all four folds; an empty table gives an empty result; further columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -144,21 +146,35 @@ def counted(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "beginning string, n long").groupBy("beginning").agg(F.sum("n").alias("n"))
 
 
-def learn_lexicon(sample: DataFrame, least: int = 4) -> dict[str, float]:
+def testable(sizes: list[tuple[int, int]], base: float) -> tuple[int, float]:
+    """(least, demand): the fewest toxic texts with which a beginning could pass the bound, and the evidence it needs.
+
+    ``sizes`` are (toxic texts, how many beginnings are in so many).  Only beginnings that could pass count
+    as tried (Tarone's correction), so the rare ones, which cannot, do not weaken the others.
+    """
+    tried = 0
+    for n, rows in sorted(sizes, reverse=True):
+        if n * -math.log(base) <= math.log(tried + rows) + 2:
+            return n + 1, math.log(max(1, tried)) + 2
+        tried += rows
+    return 1, math.log(max(1, tried)) + 2
+
+
+def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     """beginning -> strength (log odds ratio), from the distinct texts of the bounded sample.
 
-    Every beginning in at least ``least`` toxic texts is tried; only the significant ones are collected,
-    and the sample bounds them.
+    Only the significant beginnings are collected, and the sample bounds them.
     """
     texts = sample.groupBy("text_key").agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
     size = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     if not toxic or not clean:
         return {}
-    inside = materialise(counted(texts.where("toxic = 1")).where(F.col("n") >= least), "beginnings")
+    inside = materialise(counted(texts.where("toxic = 1")), "beginnings")
     outside = counted(texts.where("toxic = 0")).withColumnRenamed("n", "against")
     base = toxic / (toxic + clean)
-    demand = math.log(max(1, inside.count())) + 2
+    sizes = [(r["n"], r["rows"]) for r in inside.groupBy("n").agg(F.count("*").alias("rows")).collect()]  # a row for each number of texts
+    least, demand = testable(sizes, base)
     n, against = F.col("n"), F.coalesce("against", F.lit(0))
     share = n / (n + against)
     # Chernoff's bound on so large a share by chance
@@ -166,7 +182,8 @@ def learn_lexicon(sample: DataFrame, least: int = 4) -> dict[str, float]:
     evidence = share * F.ln(share / base) + beside
     strength = F.ln((n + 0.5) / toxic) - F.ln((against + 0.5) / clean)
     listed = (
-        inside.join(outside, "beginning", "left")
+        inside.where(n >= least)
+        .join(outside, "beginning", "left")
         .where((share > base) & ((n + against) * evidence > demand) & (strength > 1.5))
         .select("beginning", strength.alias("strength"))
     )
@@ -215,7 +232,7 @@ class Meter:
                 high += 1
             out.append(text[low:high])
             done = high
-        return out + (APART_RUN.findall(text) if APART.search(text) else [])
+        return out + ([x for x in APART_RUN.findall(text) if x not in out] if APART.search(text) else [])
 
     def measure(self, text: str) -> tuple[float, ...]:
         words = WORD.findall(text.lower())
@@ -263,35 +280,44 @@ def features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     return keyed(docs).mapInArrow(run, FEATURED)
 
 
+#: Rows of each class that fold 4 and the other folds need, to be used apart.
+LEAST_APART = 5
+
+
+def learning_folds(sample: DataFrame) -> Column:
+    """Condition on ``fold``: the folds that lexicon and trees learn from."""
+    seen = {(r["toxic"], r["last"]): r["n"] for r in sample.groupBy("toxic", (F.col("fold") == 4).alias("last")).agg(F.count("*").alias("n")).collect()}
+    apart = all(seen.get((y, last), 0) >= LEAST_APART for y in (0, 1) for last in (False, True))
+    return F.col("fold") < 4 if apart else F.lit(True)
+
+
+def calibrated(held: DataFrame) -> IsotonicRegressionModel:
+    """The isotonic regression of ``label`` on ``raw``."""
+    return IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(held)
+
+
 def fit(train: DataFrame, trees: int = 20, depth: int = 3) -> Callable[[DataFrame], DataFrame] | float:
     """A function that adds ``score`` to rows of features, or the constant score of a single class.
 
     ``train`` has the features, ``toxic`` and ``fold`` (1 to 4).
     """
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
-    rows = assembler.transform(train).select("features", F.col("toxic").cast("double").alias("label"), "fold")
-    seen = {(r["label"], r["last"]): r["n"] for r in rows.groupBy("label", (F.col("fold") == 4).alias("last")).agg(F.count("*").alias("n")).collect()}
-    ones, zeros = (sum(n for (label, _), n in seen.items() if label == y) for y in (1.0, 0.0))
-    if not ones or not zeros:
-        return ones / max(1, ones + zeros)
-    # too few rows for a fold of their own: both steps use all
-    apart = all(seen.get((y, last), 0) >= 5 for y in (0.0, 1.0) for last in (False, True))
+    rows = assembler.transform(train).select("features", F.col("toxic").cast("double").alias("label"), "toxic", "fold")
+    ones, total = rows.agg(F.coalesce(F.sum("label"), F.lit(0.0)), F.count("*")).first()
+    if ones in (0, total):
+        return ones / max(1, total)
+    learning = learning_folds(rows)
     booster = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=64, stepSize=0.3, seed=7)
-    model = booster.fit(rows.where("fold < 4") if apart else rows)
+    model = booster.fit(rows.where(learning))
 
     def raw(df: DataFrame) -> DataFrame:
         return model.transform(df).withColumn("raw", vector_to_array("probability")[1])
 
-    held = raw(rows.where("fold = 4") if apart else rows).select("raw", "label")
-    calibration = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(held)
+    calibration = calibrated(raw(rows.where("fold = 4") if rows.where(~learning).limit(1).count() else rows).select("raw", "label"))
 
     def score(df: DataFrame) -> DataFrame:
         scored = calibration.transform(raw(assembler.transform(df)))
-        # the calibrated score has flat steps; a small share of the raw one keeps the order inside them
-        blended = F.col("score") * 0.98 + F.col("raw") * 0.02
-        return scored.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), blended))).drop(
-            "features", "rawPrediction", "probability", "prediction", "raw"
-        )
+        return scored.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score"))).drop("features", "rawPrediction", "probability", "prediction", "raw")
 
     return score
 
@@ -299,9 +325,10 @@ def fit(train: DataFrame, trees: int = 20, depth: int = 3) -> Callable[[DataFram
 def score(docs: DataFrame, labels: DataFrame, most_labelled: int = 40_000, trees: int = 20, depth: int = 3) -> DataFrame:
     """doc_id, doc_key, the features, held_out, score and predicted of every document."""
     sample = materialise(labelled_sample(docs, labels, most_labelled), "labelled")
-    lexicon = learn_lexicon(sample)
-    own = features(sample, lexicon).join(sample.select("doc_id", "toxic", "fold").distinct(), "doc_id").coalesce(4)
-    fitted = fit(materialise(own, "labelled-features"), trees, depth)
+    lexicon = learn_lexicon(sample.where(learning_folds(sample)))
+    own = materialise(features(sample, lexicon).join(sample.select("doc_id", "toxic", "fold").distinct(), "doc_id"), "labelled-features")
+    # the sample's numbers, bounded by most_labelled, in a few partitions for the many small jobs of boosting
+    fitted = fit(own.coalesce(4), trees, depth)
     measured = features(docs, lexicon)
     scored = fitted(measured) if callable(fitted) else measured.withColumn("score", F.lit(float(fitted)))
     return scored.withColumn("held_out", fold_of(F.col("doc_id")) == 0).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
 import zlib
 
 import pytest
@@ -77,3 +79,79 @@ def test_rare_words_are_tried_beside_many_frequent_ones(spark):
     sample = spark.createDataFrame(rows, "text_key long, toxic int, tail string").withColumn("text", F.concat(F.lit(neutral), "tail"))
     assert len(toxicity.beginnings(neutral)) > 20_000
     assert set(toxicity.learn_lexicon(sample)) == {"zorkable"[:k] for k in range(3, 9)}
+
+
+def plain_features(text: str, lexicon: dict[str, float]) -> dict[str, float]:
+    """The features by their definitions, word by word."""
+    text = text or ""
+    words = re.findall("[a-zß-öø-ɏͰ-ӿ]+", text.lower())
+    short = lambda w: re.sub(r"(.)\1{2,}", r"\1", w)
+
+    def strength(w):
+        found = max([lexicon.get(w[:k], 0.0) for k in range(3, 9) if k <= len(w)] or [0.0])
+        return max(found, 3.0) if w in toxicity.INSULTS else found
+
+    hits = [i for i, w in enumerate(words) if strength(w)]
+    second = [i for i, w in enumerate(words) if w in toxicity.SECOND_PERSON]
+    obscured = toxicity.Meter(lexicon).obscured(text)
+    plain = [re.sub(r"[\W\d_]+", "", "".join({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "+": "t"}.get(c, c) for c in x.lower())) for x in obscured]
+    hidden = [strength(short(x)) for x in plain if strength(short(x))]
+    hidden += [strength(short(w)) for w in words if not strength(w) and short(w) != w and strength(short(w))]
+    per, chars = 100 / max(1, len(words)), max(1, len(text))
+    capital = "[A-ZÀ-ÖØ-Þ]"
+    return {
+        "log_words": math.log(1 + len(words)),
+        "log_hits": math.log(1 + len(hits) + len(hidden)),
+        "hit_density": (len(hits) + len(hidden)) * per,
+        "strength_density": (sum(strength(words[i]) for i in hits) + sum(hidden)) * per,
+        "stated_density": sum(words[i] in toxicity.INSULTS for i in hits) * per,
+        "near_second_person": math.log(1 + sum(any(abs(i - k) <= 4 for k in second) for i in hits)),
+        "second_person_density": len(second) * per,
+        "capital_share": len(re.findall(capital, text)) / chars,
+        "capital_words": sum(len(x) for x in re.findall(capital + "{3,}", text)) / chars,
+        "exclaimed_rate": sum(c in "!?" for c in text) * per,
+        "sign_rate": sum(33 <= ord(c) < 127 and not c.isalnum() for c in text) * per,
+        "obfuscation_rate": len(obscured) * per,
+        "obfuscated_hits": math.log(1 + len(hidden)),
+        "distinct_share": len(set(words)) / max(1, len(words)),
+    }
+
+
+def test_features_equal_their_definitions(spark, sf_dir):
+    lexicon = {"zork": 5.0, "the": 1.6, "ein": 2.0, "enent": 3.0}
+    rng = random.Random(2)
+    parts = ["you", "Zork", "z0rk", "zoooork", "IDIOT", "id1ot", "the", "s.t.u.p.i.d", "b l a r f", "!!", "?", "$tupid", "pla-in", "x_y", "ÉÀÈ", "42", "@", ", ", "du", "word"]
+    texts = [None, "", " "] + [" ".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    texts += [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    meter = toxicity.Meter(lexicon)
+    for text in texts:
+        assert dict(zip(toxicity.FEATURES, meter.measure(text or ""))) == pytest.approx(plain_features(text, lexicon)), text
+
+
+@pytest.mark.parametrize("token, found", [("z-o-r-k", ["z-o-r-k"]), ("so z0rk.", ["z0rk."]), ("$tupid x", ["$tupid"]), ("b l a r f!", ["b l a r f"]), ("plain words, 42 of them", []), ("e.g. this", ["e.g."])])
+def test_obscured_tokens(token, found):
+    assert toxicity.Meter({}).obscured(token) == found
+
+
+def test_calibration_is_isotonic_regression(spark):
+    rng = random.Random(6)
+    points = sorted((round(rng.random(), 3), float(rng.random() < 0.4)) for _ in range(200))
+    points = [(x + i * 1e-9, y) for i, (x, y) in enumerate(points)]  # no ties
+    model = toxicity.calibrated(spark.createDataFrame(points, "raw double, label double"))
+    blocks: list[list[float]] = []  # pool adjacent violators: [sum, count]
+    for _, y in points:
+        blocks.append([y, 1])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            total, n = blocks.pop()
+            blocks[-1][0] += total
+            blocks[-1][1] += n
+    want = [s / n for s, n in blocks for _ in range(n)]
+    got = model.transform(spark.createDataFrame(points, "raw double, label double")).orderBy("raw").collect()
+    assert [r.score for r in got] == pytest.approx(want, abs=1e-9)
+
+
+def test_only_possible_beginnings_are_tried():
+    # 1,000 beginnings in one text each cannot pass at a base rate of a half, so only the 5 frequent ones count
+    least, demand = toxicity.testable([(1, 1000), (2, 300), (20, 5)], 0.5)
+    assert 2 < least <= 20 and demand == pytest.approx(math.log(5) + 2)
+    assert toxicity.testable([], 0.5) == (1, 2.0)
