@@ -91,8 +91,12 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST
 
     The bytes are Spark's own estimate from the files; the rows of stored files are counted in their footers.
     """
+    return F.broadcast(df) if is_small(df, most, most_bytes) else df
+
+
+def is_small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= most_bytes and df.count() <= most else df
+    return size <= most_bytes and df.count() <= most
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
