@@ -2,16 +2,17 @@
 
 Records are hashed into ``slots`` virtual slots, bytes are summed up for each slot, and a small
 versioned table says which shard owns which slot.  The first version deals slots to shards by size
-(largest first, each to the lightest shard); a later version moves slots, never single records, and
-when a shard is added only to that shard.  Records find their shard by joining that table, whose
+(largest first, each to the lightest shard); a later version moves slots, never single records: when a
+shard is added only to that shard, when sizes drift from overfull shards to the others.  Records find their shard by joining that table, whose
 size is the number of slots (a constant), so it may be broadcast.
 
 Positions within a shard come from counts for each cell (slot and part of it, again a constant
 number) and a row number inside the cell, so no task sees a whole shard.
 
-Defined cases: a null text has size 1 and the checksum of nothing; null ids hash like any value;
+Defined cases: a null text has size 1 and the checksum of nothing; null ids hash like any value; a very
+long text is one record and may outweigh its shard's share; slots of one size are dealt by number;
 repeated rows are separate records; an empty table gives an empty result with an even map; further
-columns are ignored.
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -99,14 +100,39 @@ def add_shard(current: DataFrame, shards: int) -> DataFrame:
     )
 
 
+def rebalance(current: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
+    """The next version after the slots grew to ``sizes``: overfull shards give slots to those under the average.
+
+    A shard gives slots in hash order up to what it has above the average; the slots given, laid end to
+    end, fall into the gaps of the others, laid end to end.  No other slot moves.
+    """
+    grown = current.select("version", "virtual_slot", "shard").join(sizes, "virtual_slot")
+    own = F.sum("slot_bytes").over(W.partitionBy("shard"))
+    running = F.sum("slot_bytes").over(W.partitionBy("shard").orderBy(F.xxhash64("virtual_slot"), "virtual_slot"))
+    mean = F.sum("slot_bytes").over(W.partitionBy(F.lit(0))) / shards  # slots are a constant number of rows
+    marked = grown.withColumns({"own": own, "running": running, "mean": mean})
+    given = marked.withColumn("given", (F.col("running") <= F.col("own") - F.col("mean")) & (F.col("slot_bytes") > 0))
+    order = W.partitionBy("given").orderBy("shard", F.xxhash64("virtual_slot"), "virtual_slot")
+    given = given.withColumn("middle", F.sum("slot_bytes").over(order) - F.col("slot_bytes") / 2)
+    loads = current.sparkSession.range(shards).select(F.col("id").cast("int").alias("taker")).join(grown.groupBy("shard").agg(F.sum("slot_bytes").alias("load")), F.col("taker") == F.col("shard"), "left")
+    gap = F.greatest(F.lit(0.0), F.col("mean") - F.coalesce("load", F.lit(0)))
+    gaps = loads.join(F.broadcast(grown.agg((F.sum("slot_bytes") / shards).alias("mean")))).select("taker", gap.alias("gap")).where("gap > 0")
+    until = F.sum("gap").over(W.partitionBy(F.lit(0)).orderBy("taker"))
+    gaps = gaps.withColumn("until", until).select("taker", (F.col("until") - F.col("gap")).alias("since"), "until")
+    # at most one row a shard
+    joined = given.join(F.broadcast(gaps), F.col("given") & (F.col("middle") > F.col("since")) & (F.col("middle") <= F.col("until")), "left")
+    return joined.select((F.col("version") + 1).alias("version"), "virtual_slot", F.coalesce("taker", "shard").cast("int").alias("shard"), "slot_bytes")
+
+
 def save_map(slot_map: DataFrame, path: str) -> None:
-    """Append a version to the stored map."""
-    slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    """Store a version of the map; a version that is there already is an error, so that of two writers one fails."""
+    version = slot_map.agg(F.max("version")).first()[0]
+    slot_map.drop("version").coalesce(1).write.mode("error").parquet(f"{path}/version={version}")
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """A stored version (the newest if none is named)."""
-    stored = spark.read.parquet(path)
+    stored = spark.read.parquet(path).select("version", "virtual_slot", "shard", "slot_bytes")
     if version is None:
         version = stored.agg(F.max("version")).first()[0]
     return stored.where(F.col("version") == version)

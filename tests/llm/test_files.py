@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import zlib
 
+import pytest
+
+from pyspark.sql import functions as F
+
 from migcheck.llm import queries, sharding, warc
 from migcheck.llm.shared import materialise, shared_dir
 
@@ -26,13 +31,21 @@ def expected_records(rows):
     return sorted(out, key=str)
 
 
-def round_trip(spark, pages, **options):
+def round_trip(spark, pages, most_rows=500_000, **options):
     path = shared_dir(spark, "t-warc")
-    warc.write(warc.resolve(pages), path, **options)
+    warc.write(warc.resolve(pages, most_rows=most_rows), path, **options)
     return warc.read(spark, path)
 
 
-def test_warc_odd_pages(spark):
+def test_warc_members_end_with_zero():
+    for parts in ((b"",), (b"a" * 99, b"b"), (bytes(range(256)) * (80 << 10),)):  # the last one over 16 MB
+        data = warc.member(*parts)
+        assert data[-1] == 0 and b"".join(warc.members(memoryview(data + data))) == b"".join(parts) * 2
+        assert gzip.decompress(data) == b"".join(parts)
+
+
+@pytest.mark.parametrize("most_rows", [500_000, 0])
+def test_warc_odd_pages(spark, most_rows):
     long = "<p>äöü 👍 WARC/1.1\r\n\r\n</p>" * 12
     rows = [
         (4, "http://a/ x", long, "c", "h"), (2, None, long, "c", "h"), (9, "http://b\r\n", long + "x", "c", "h"),
@@ -40,7 +53,7 @@ def test_warc_odd_pages(spark):
         (2, "u", long, "c", "h"), (11, "u", "a\x00b\r\n" * 40, "c", "h"), (12, "u", "y" * 300_000, "c", "h"), (13, "u", "y" * 300_000, "c", "h"),
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, record_type string, block string")
-    got = round_trip(spark, pages, records_per_file=3)
+    got = round_trip(spark, pages, most_rows, records_per_file=3)
     out = got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
     assert sorted(map(tuple, out), key=str) == expected_records(pages.collect())
     kept = {r.page_id: bytes(r.payload) for r in got.where("record_type = 'response'").collect()}
@@ -54,6 +67,14 @@ def test_warc_no_pages(spark):
     assert warc.read(spark, path).count() == 0
 
 
+def test_warc_files_are_plain_archives(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i % 2}", "<p>same page</p>" * 10) for i in range(5)], "page_id long, url string, html string")
+    warc.write(warc.resolve(pages), str(tmp_path / "w"))
+    whole = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "w").glob("part-*"))
+    assert whole.count(b"WARC/1.1\r\n") == 5 and whole.count(b"WARC-Refers-To-Target-URI: http://h/0\r\n") == 4
+    assert whole.endswith(b"\r\n\r\n")
+
+
 def test_warc_query(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = queries.op6_warc(spark, sf_dir).collect()
@@ -111,3 +132,21 @@ def test_added_shard_takes_slots_only_into_itself(spark, sf_dir):
     assert all(new[k].shard in (old[k].shard, 16) for k in new)
     loads = [sum(r.slot_bytes for r in new.values() if r.shard == s) for s in range(17)]
     assert max(loads) < 1.1 * sum(loads) / 17 and min(loads) > 0.85 * sum(loads) / 17
+
+
+def test_rebalancing_moves_slots_from_overfull_shards_only(spark):
+    sizes = spark.range(sharding.SLOTS).selectExpr("CAST(id AS int) AS virtual_slot", "1000 + id % 7 AS slot_bytes")
+    path = shared_dir(spark, "t-map")
+    sharding.save_map(sharding.first_map(sizes, 8), path)
+    old = {r.virtual_slot: r.shard for r in sharding.load_map(spark, path).collect()}
+    heavy = [s for s, owner in old.items() if owner in (2, 5)]
+    grown = sizes.withColumn("slot_bytes", F.col("slot_bytes") * F.when(F.col("virtual_slot").isin(heavy), 3).otherwise(1)).cache()
+    sharding.save_map(sharding.rebalance(sharding.load_map(spark, path), grown, 8), path)
+    rows = sharding.load_map(spark, path).collect()
+    assert len(rows) == sharding.SLOTS and {r.version for r in rows} == {2}
+    moved = [r for r in rows if r.shard != old[r.virtual_slot]]
+    assert moved and all(old[r.virtual_slot] in (2, 5) and r.shard not in (2, 5) for r in moved)
+    loads = [sum(r.slot_bytes for r in rows if r.shard == s) for s in range(8)]
+    assert max(loads) < 1.03 * sum(loads) / 8 and min(loads) > 0.97 * sum(loads) / 8
+    with pytest.raises(Exception, match="(?i)exist"):
+        sharding.save_map(sharding.load_map(spark, path, 2), path)
