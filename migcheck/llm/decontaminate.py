@@ -11,14 +11,17 @@
 Only benchmark-sized tables are broadcast, after a check of their size.  Everything is DataFrame
 code.
 
-Defined cases: null and blank texts have no words and no hits; an item of fewer than ``n`` words is
-one window, one without words none; equal item ids count once; repeated documents are judged alike;
-an empty benchmark leaves all documents clean; further columns are ignored.
+Defined cases: null and blank texts have no words and no hits; a very long text is one document, whose
+places are rows of their own; an item of fewer than ``n`` words is one window, one without words none;
+equally rare words are taken by their place in the item; equal item ids count once, a null id is
+written as ``null``; repeated documents are judged alike; an empty benchmark leaves all documents
+clean; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from migcheck.llm.shared import keyed, materialise, n_words_of, same_row, small, split_words, words_of
@@ -127,8 +130,8 @@ def exact_matches(found: DataFrame, rows: DataFrame, items: DataFrame, n: int) -
     )
 
 
-def find(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, rarest: int = 3) -> DataFrame:
-    """All places where a window of an item occurs (see :func:`exact_matches`), from the stored index."""
+def indexed(docs: DataFrame, benchmark: DataFrame, n: int, rarest: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, windows, adjusted): the stored index, its postings adjusted by their words' offsets in the items."""
     rows = keyed(docs)
     items = materialise(items_of(benchmark), "items")
     vocabulary = materialise(items.select(F.explode("item_words").alias("term")).distinct(), "item-terms")
@@ -137,25 +140,33 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, rarest: int = 3
     seeds = materialise(seeds_of(windows), "item-seeds")
     terms = materialise(seeds.select("term").distinct(), "seed-terms")
     postings = materialise(postings_of(rows, small(terms)), "postings")
-    found = materialise(candidates(shifted(postings, small(seeds)), small(windows, 20_000)), "candidates")
-    return exact_matches(found, rows, small(items, 20_000), n)
+    return items, windows, shifted(postings, small(seeds))
+
+
+def find(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, rarest: int = 3) -> DataFrame:
+    """All places where a window of an item occurs (see :func:`exact_matches`), from the stored index."""
+    items, windows, adjusted = indexed(docs, benchmark, n, rarest)
+    found = materialise(candidates(adjusted, small(windows)), "candidates")
+    return exact_matches(found, keyed(docs), small(items), n)
+
+
+def find_near(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, rarest: int = 3, slack: int = 8) -> DataFrame:
+    """(doc_id, doc_key, item_id, first, from_shift): windows whose rarest words stand within ``slack`` words of their places."""
+    items, windows, adjusted = indexed(docs, benchmark, n, rarest)
+    found = near_matches(adjusted, small(windows), slack)
+    return found.join(small(items).select("item_key", "item_id"), "item_key").drop("item_key")
 
 
 def judge(docs: DataFrame, matches: DataFrame, share: int = 20) -> DataFrame:
     """Per document n_words, n_hit, n_items, items_sha256 and ``contaminated`` (a hit in ``share`` words or fewer on average)."""
-    # the matches of one document are at most its words times the items
-    own = matches.groupBy("doc_id", "doc_key").agg(
-        F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("items")
-    )
-    united = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
-        lambda acc, s: F.struct(
-            (acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(acc["to"], s["start"]))).alias("n"),
-            F.greatest(acc["to"], s["end"]).alias("to"),
-        ),
-    )["n"]
-    hits = own.select("doc_id", "doc_key", united.cast("long").alias("hit"), "items")
+    spans = matches.select("doc_id", "doc_key", "start", "end").distinct()
+    before = W.partitionBy("doc_id", "doc_key").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
+    new = F.greatest(F.lit(0), F.col("end") - F.greatest(F.coalesce(F.max("end").over(before), F.lit(0)), F.col("start")))
+    hit = spans.withColumn("new", new).groupBy("doc_id", "doc_key").agg(F.sum("new").cast("long").alias("hit"))
+    # the ids of one document are at most those of the benchmark
+    met = matches.groupBy("doc_id", "doc_key").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    met = met.select(F.col("doc_id").alias("met_id"), F.col("doc_key").alias("met_key"), "items")
+    hits = hit.join(met, (hit["doc_key"] == met["met_key"]) & hit["doc_id"].eqNullSafe(met["met_id"])).select("doc_id", "doc_key", "hit", "items")
     rows = keyed(docs)
     base = rows.select("doc_id", "doc_key", n_words_of(F.col("text")).alias("n_words"))
     n_hit = F.coalesce("hit", F.lit(0))

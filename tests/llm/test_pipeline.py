@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import corpus_pipeline
-from migcheck.llm import sanitise
+from migcheck.llm import sanitise, toxicity
 from migcheck.llm.shared import materialise, table
 from tests.llm.test_decontaminate import brute as brute_hits
 from tests.llm.test_jaccard_join import brute as brute_links
@@ -68,3 +68,29 @@ def test_run_equals_the_stages(spark, sf_dir, stages):
     assert whole.columns == stages["packing"].columns
     assert sum(p.length for p in whole.collect()) == sum(p.length for p in stages["packing"].collect())
     assert {p.doc_id for p in map(lambda r: r, whole.collect())} == {key(p)[0] for p in stages["packing"].collect()}
+
+
+def test_toxicity(spark, stages, sf_dir):
+    before = stages["documents"]
+    rejected = {r.doc_id for r in toxicity.score(before, table(spark, sf_dir, "labels")).where("predicted = 1").collect()}
+    assert sorted(rows(stages["toxicity"])) == sorted(set(rows(before)) - rejected)
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_odd_rows(spark, sf_dir, name):
+    """Nulls, repeated rows and ids, a long text, clashing columns; and an empty table."""
+    text = "some words that stand in a text of more than a few words"
+    odd = [(1, text), (1, text), (2, text), (1, "another text under the same id, quite short"), (None, "a text without any id at all"), (None, None), (3, None), (4, ""), (5, "long words " * 30_000)]
+    odd = [(i, t, None if t is None else len(t), i, "x") for i, t in odd]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, n_chars long, doc_key long, row string")
+    stage = dict(corpus_pipeline.STAGES)[name]
+    got = stage(spark, docs, sf_dir)
+    kept = [tuple(r) for r in got.collect()]
+    assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    if name == "packing":
+        assert {p[0] for p in kept} == {1, 2, 3, 4, 5, None}
+        return
+    assert got.columns == docs.columns
+    once = [odd[0], *odd[3:]]  # copies of one text: the row of the smallest id
+    want = once if name == "near_duplicates" else odd
+    assert sorted(kept, key=str) == sorted(want, key=str)
