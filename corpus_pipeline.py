@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next one's ``docs``.  All but the last keep the columns of ``documents``.
+
+Defined cases, for every stage: a null text is an empty one (nulls stay null); a null or repeated id is
+no error, rows are told apart by id and text; rows that repeat both are judged alike, and one of them
+stays behind the near-duplicate stage; a very long text is handled whole; of equal copies the one with
+the smallest id stays; an empty table gives an empty one; further columns, whatever their names, are kept
+by all stages but the last.
 """
 
 from __future__ import annotations
