@@ -17,9 +17,10 @@ With bands of four values a pair at the threshold of 0.8 is missed by all of 24
 probability of 3e-6, a more similar one less often; the tolerance adds 1e-6.
 
 Defined cases: words are runs of ASCII letters (folded) and digits and of all characters beyond
-ASCII; a text of fewer than five words is one shingle; a null text or one without words has no
-shingles, no links and a class of its own; repeated rows are copies of each other; an empty table
-gives an empty result; further columns are ignored (kept by :func:`keep_one`).
+ASCII; a text of fewer than five words is one shingle, a very long one is a block of its own; a null
+text or one without words has no shingles, no links and a class of its own; repeated rows are copies
+of each other; equal ids are ordered by a hash of their texts; an empty table gives an empty result;
+further columns, whatever their names, are ignored (kept by :func:`keep_one`).
 """
 
 from __future__ import annotations
@@ -277,28 +278,30 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     def measured(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
-        both = pairs.union(pairs.select("b", "a"))
-        if not large:
-            both = both.where(F.col("b") < F.col("a"))
+    def least_of(both: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
-        least = small(materialise(least, f"{name}-least"))
-        met = both.join(least, "a")
-        if large:
-            return met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        return materialise(least, f"{name}-least")
+
+    def both_ways(pairs: DataFrame) -> DataFrame:
+        return pairs.union(pairs.select("b", "a"))
+
+    def small_star(pairs: DataFrame) -> DataFrame:
+        both = both_ways(pairs).where(F.col("b") < F.col("a"))
+        met = both.join(small(least_of(both)), "a")
         own = met.select("a", F.col("least").alias("b"))
         return own.union(met.where(F.col("b") != F.col("least")).select(F.col("b").alias("a"), F.col("least").alias("b"))).distinct()
 
     edges = materialise(edges, name)
-    before = measured(edges)
-    while before[0]:
-        edges = materialise(star(materialise(star(edges, True), name), False), name)
+    now = measured(edges)
+    while True:
+        before, both = now, both_ways(edges)
+        least = least_of(both)
+        met = both.join(small(least), "a").where(F.col("b") > F.col("a"))
+        edges = materialise(small_star(materialise(met.select(F.col("b").alias("a"), F.col("least").alias("b")).distinct(), name)), name)
         now = measured(edges)
         if now == before:
-            break
-        before = now
-    rooted = edges.select(F.col("a").alias("member"), F.col("b").alias("root"))
-    return rooted.union(rooted.select(F.col("root").alias("member"), "root").distinct())
+            # nothing changed: each node's least neighbour, or itself, is its root
+            return least.select(F.col("a").alias("member"), F.col("least").alias("root"))
 
 
 LINKED = "member binary, root binary, links long"
