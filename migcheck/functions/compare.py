@@ -7,21 +7,31 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted date forms, in the order in which they are tried.
-DATE_FORMATS = ("yyyy-M-d", "M/d/yyyy", "M/d/yy", "MMMM d, yyyy", "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s")
+# Names of months in the written form of a date.
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 # Texts read as booleans.
 BOOLEANS = {"y": True, "n": False, "true": True, "false": False, "1": True, "0": False}
 
+#: The accepted forms of a date: year first, perhaps with a time of day; month, day and year by slashes; month written out.
+ISO = r"^(\d{4}-\d{1,2}-\d{1,2})(?:[ T](?:[01]?\d|2[0-3]):[0-5]?\d:(?:[0-5]?\d|6[01]))?$"
+SLASHES = r"^(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})$"
+WRITTEN = r"^([A-Za-z]+) +(\d{1,2}), +(\d{4})$"
+
 
 def parse_date(value: Column) -> Column:
-    """The date of a text in one of :data:`DATE_FORMATS`, else null; two-digit years from 69 on are of the 1900s."""
+    """The date of a text in one of the accepted forms, else null; two-digit years from 69 on are of the 1900s.
+
+    The form is told by its pattern and rewritten year first, so that only one cast is tried.
+    """
     text = F.trim(value.cast("string"))
-    short = F.regexp_extract(text, r"^(\d{1,2}/\d{1,2}/)(\d{2})$", 2)
-    century = F.when(short.try_cast("int") >= 69, F.lit("19")).otherwise(F.lit("20"))
-    full = F.when(short != "", F.regexp_replace(text, r"(\d{2})$", F.concat(century, F.lit("$1")))).otherwise(text)
-    tries = [F.try_to_timestamp(full, F.lit(fmt)) for fmt in DATE_FORMATS if fmt != "M/d/yy"]
-    return F.coalesce(*tries).cast("date")
+    year = F.regexp_extract(text, SLASHES, 3)
+    century = F.when(F.length(year) == 4, "").when(year >= "69", "19").otherwise("20")
+    slashes = F.concat(century, year, F.lit("-"), F.regexp_replace(text, SLASHES, "$1-$2"))
+    month = F.array_position(F.array(*(F.lit(m) for m in MONTHS)), F.lower(F.regexp_extract(text, WRITTEN, 1)))
+    written = F.concat(F.regexp_extract(text, WRITTEN, 3), F.lit("-"), month.cast("string"), F.lit("-"), F.regexp_extract(text, WRITTEN, 2))
+    first = F.when(text.rlike(ISO), F.regexp_extract(text, ISO, 1)).when(text.rlike(SLASHES), slashes).when(text.rlike(WRITTEN), written)
+    return first.try_cast("date")
 
 
 def parse_boolean(value: Column) -> Column:
@@ -33,22 +43,38 @@ def digits_only(value: Column) -> Column:
     return F.regexp_replace(value.cast("string"), r"\D", "")
 
 
-def equivalent(a: Column, b: Column, tolerance: float = 0.001, least_digits: int = 7) -> Column:
-    """Whether two values mean the same; the first rule that applies to both decides.
+def parsed(value: Column) -> Column:
+    """A value's readings: text (trimmed, without case), truth, day, number and digits; null for null."""
+    text = value.cast("string")
+    return F.when(
+        value.isNotNull(),
+        F.struct(
+            F.lower(F.trim(text)).alias("text"),
+            parse_boolean(text).alias("truth"),
+            parse_date(text).alias("day"),
+            text.try_cast("double").alias("number"),
+            digits_only(text).alias("digits"),
+        ),
+    )
+
+
+def same_reading(a: Column, b: Column, tolerance: float = 0.001, least_digits: int = 7) -> Column:
+    """Whether two results of :func:`parsed` mean the same; the first rule that applies to both decides.
 
     Nulls, booleans, dates, the digits of long numbers such as phones, numbers within the tolerance,
     then trimmed text without case.  Never null.
     """
-    bool_a, bool_b = parse_boolean(a), parse_boolean(b)
-    date_a, date_b = parse_date(a), parse_date(b)
-    number_a, number_b = a.cast("string").try_cast("double"), b.cast("string").try_cast("double")
-    digits = digits_only(a)
     return (
         F.when(a.isNull() & b.isNull(), True)
         .when(a.isNull() | b.isNull(), False)
-        .when(bool_a.isNotNull() & bool_b.isNotNull(), bool_a == bool_b)
-        .when(date_a.isNotNull() & date_b.isNotNull(), date_a == date_b)
-        .when((F.length(digits) >= least_digits) & (digits == digits_only(b)), True)
-        .when(number_a.isNotNull() & number_b.isNotNull(), F.abs(number_a - number_b) < tolerance)
-        .otherwise(F.lower(F.trim(a.cast("string"))) == F.lower(F.trim(b.cast("string"))))
+        .when(a["truth"].isNotNull() & b["truth"].isNotNull(), a["truth"] == b["truth"])
+        .when(a["day"].isNotNull() & b["day"].isNotNull(), a["day"] == b["day"])
+        .when((F.length(a["digits"]) >= least_digits) & (a["digits"] == b["digits"]), True)
+        .when(a["number"].isNotNull() & b["number"].isNotNull(), F.abs(a["number"] - b["number"]) < tolerance)
+        .otherwise(a["text"] == b["text"])
     )
+
+
+def equivalent(a: Column, b: Column, tolerance: float = 0.001, least_digits: int = 7) -> Column:
+    """:func:`same_reading` of two values; where many are compared, project :func:`parsed` first, so that each is read once."""
+    return same_reading(parsed(a), parsed(b), tolerance, least_digits)

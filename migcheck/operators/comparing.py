@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from migcheck.functions.compare import equivalent
+from migcheck.functions.compare import parsed, same_reading
 
 
 def row_count(legacy: DataFrame, modern: DataFrame) -> DataFrame:
@@ -31,30 +31,48 @@ def one_per_key(df: DataFrame, key: str, order: list[Column | str]) -> DataFrame
     return df.withColumn("_at", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("_at = 1").drop("_at")
 
 
-def matched(legacy: DataFrame, modern: DataFrame, key: tuple[str, str], pairs: list[tuple[str, str]]) -> DataFrame:
-    """key, one boolean for each pair of columns and ``equal``, of the keys on both sides."""
-    left = legacy.select(F.col(key[0]).alias("key"), *(F.col(a).alias(f"_old_{i}") for i, (a, _) in enumerate(pairs)))
-    right = modern.select(F.col(key[1]).alias("key"), *(F.col(b).alias(f"_new_{i}") for i, (_, b) in enumerate(pairs)))
-    joined = left.join(right, "key")
-    same = [equivalent(F.col(f"_old_{i}"), F.col(f"_new_{i}")).alias(f"same_{b}") for i, (_, b) in enumerate(pairs)]
-    both = joined.select("key", *same)
-    return both.withColumn("equal", reduce(lambda x, y: x & y, (F.col(f"same_{b}") for _, b in pairs)))
+def matched(legacy: DataFrame, modern: DataFrame, key: tuple[str, str], pairs: list[tuple[str, str]], latest: tuple[str, str] | None = None) -> DataFrame:
+    """key, one boolean for each pair of columns, ``equal`` and ``differences`` of the keys on both sides.
+
+    A key is matched once: of rows that repeat it the last counts, by the columns named in ``latest``, else
+    by all values.  Keys meet as trimmed text; each value is read once, before the join.
+    """
+
+    def side(df: DataFrame, own: int) -> DataFrame:
+        names = [p[own] for p in pairs]
+        time = [F.col(latest[own]).alias("_latest")] if latest else []
+        kept = df.select(F.trim(F.col(key[own]).cast("string")).alias("key"), *time, *(F.col(c).cast("string").alias(f"_{own}_{i}") for i, c in enumerate(names)))
+        order = [F.desc_nulls_last("_latest")] if latest else []
+        kept = one_per_key(kept.where("key IS NOT NULL"), "key", [*order, *(F.desc_nulls_last(f"_{own}_{i}") for i in range(len(names)))])
+        return kept.select("key", *(parsed(F.col(f"_{own}_{i}")).alias(f"_{own}_{i}") for i in range(len(names))), *(F.col(f"_{own}_{i}").alias(f"_text_{own}_{i}") for i in range(len(names))))
+
+    joined = side(legacy, 0).join(side(modern, 1), "key")
+    same = [same_reading(F.col(f"_0_{i}"), F.col(f"_1_{i}")).alias(f"same_{b}") for i, (_, b) in enumerate(pairs)]
+    both = joined.select("key", *same, *(F.col(f"_text_{own}_{i}") for own in (0, 1) for i in range(len(pairs))))
+    differences = F.array_compact(F.array(*(
+        F.when(~F.col(f"same_{b}"), F.struct(F.lit(b).alias("column_name"), F.col(f"_text_0_{i}").alias("legacy"), F.col(f"_text_1_{i}").alias("modern")))
+        for i, (_, b) in enumerate(pairs)
+    )))
+    equal = reduce(lambda x, y: x & y, (F.col(f"same_{b}") for _, b in pairs))
+    return both.select("key", *(f"same_{b}" for _, b in pairs), equal.alias("equal"), differences.alias("differences"))
+
+
+def sampled(legacy: DataFrame, modern: DataFrame, key: tuple[str, str], n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(keys, legacy rows, modern rows) of ``n`` sampled keys: both tables are reduced by a semi join before any row is compared."""
+    keys = F.broadcast(sample_keys(legacy.select(key[0]).distinct(), key[0], n))  # n rows
+    return keys, legacy.join(keys, key[0], "left_semi"), modern.join(keys.withColumnRenamed(key[0], key[1]), key[1], "left_semi")
 
 
 def sample_compare(
-    legacy: DataFrame, modern: DataFrame, key: tuple[str, str], pairs: list[tuple[str, str]], n: int = 100
+    legacy: DataFrame, modern: DataFrame, key: tuple[str, str], pairs: list[tuple[str, str]], n: int = 100, latest: tuple[str, str] | None = None
 ) -> DataFrame:
-    """Match rate of ``n`` sampled records, with its penalty and status.
-
-    The sampled keys come first, so both tables are reduced by a semi join before any row is compared.
-    """
-    keys = F.broadcast(sample_keys(legacy, key[0], n))  # n rows
-    old = legacy.join(keys, key[0], "left_semi")
-    found = matched(old, modern.join(keys.withColumnRenamed(key[0], key[1]), key[1], "left_semi"), key, pairs)
+    """Match rate of ``n`` sampled records, with its penalty and status; repeated keys count once (see :func:`matched`)."""
+    keys, old, new = sampled(legacy, modern, key, n)
+    found = matched(old, new, key, pairs, latest)
     rate = F.try_divide(F.count_if(F.col("equal")) * 100.0, F.count("*"))
     total = found.agg(F.count("*").alias("matched_keys"), F.count_if(F.col("equal")).alias("equal_rows"), rate.alias("rate"))
-    sampled = keys.agg(F.count("*").alias("sampled"))
-    return total.join(F.broadcast(sampled)).select(  # one row each
+    asked = keys.agg(F.count("*").alias("sampled"))
+    return total.join(F.broadcast(asked)).select(  # one row each
         "sampled",
         "matched_keys",
         (F.col("sampled") - F.col("matched_keys")).alias("missing_keys"),
@@ -65,6 +83,15 @@ def sample_compare(
     )
 
 
+def sample_differences(
+    legacy: DataFrame, modern: DataFrame, key: tuple[str, str], pairs: list[tuple[str, str]], n: int = 100, rows: int = 10, columns: int = 5, latest: tuple[str, str] | None = None
+) -> DataFrame:
+    """(key, column_name, legacy, modern): the first ``columns`` differences of the first ``rows`` sampled records that differ."""
+    _, old, new = sampled(legacy, modern, key, n)
+    differ = matched(old, new, key, pairs, latest).where(~F.col("equal")).orderBy("key").limit(rows)
+    return differ.select("key", F.explode(F.slice("differences", 1, columns)).alias("d")).select("key", "d.column_name", "d.legacy", "d.modern")
+
+
 def compare_groups(legacy: DataFrame, modern: DataFrame, keys: list[str], values: list[str], tolerance: float = 0) -> DataFrame:
     """Full outer comparison of two aggregates: keys, both values, whether they agree; missing groups count as 0."""
     left = legacy.select(*keys, *(F.col(v).alias(f"legacy_{v}") for v in values))

@@ -59,3 +59,13 @@ def sql_tables(scripts: DataFrame) -> DataFrame:
 
     arrays = [found(use) for use in uses]
     return scripts.select("name", F.explode(F.array_distinct(F.concat(*arrays))).alias("x")).select("name", "x.table", "x.use")
+
+
+# Words that mark a comment for review.
+REVIEW = "TODO|Review|REVIEW|WARNING|FIXME"
+
+
+def review_notes(scripts: DataFrame) -> DataFrame:
+    """(name, kind, note): comment lines of scripts that ask for a review."""
+    lines = scripts.select("name", F.explode(F.split("script", "\n")).alias("line")).where(F.col("line").rlike(f"-- *({REVIEW})"))
+    return lines.select("name", F.regexp_extract("line", f"-- *({REVIEW})", 1).alias("kind"), F.trim(F.regexp_extract("line", "-- *(.*)$", 1)).alias("note"))

@@ -34,8 +34,8 @@ def blocks(vectors: DataFrame) -> DataFrame:
     return rows.where("vec_id IS NOT NULL AND embedding IS NOT NULL").mapInArrow(run, BLOCKED)
 
 
-def top_similar(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score, rank of the ``k`` vectors with the largest dot products with each row of ``queries``.
+def top_similar(vectors: DataFrame, queries: DataFrame, k: int, above: float | None = None) -> DataFrame:
+    """query_id, vec_id, score, rank of the ``k`` vectors with the largest dot products with each row of ``queries``, those ``above`` a score only.
 
     Scores are rounded to four places, ties go by id.  Blocks of queries meet blocks of vectors; each
     pair gives at most ``k`` rows a query.  Rows without an id or an embedding are left out.
@@ -56,5 +56,6 @@ def top_similar(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     asked = blocks(queries).select(*(F.col(c).alias(f"query_{c}") for c in ("size", "ids", "values")))
     found = asked.crossJoin(blocks(vectors)).mapInArrow(run, FOUND)
+    found = found if above is None else found.where(F.col("score") > above)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -33,10 +33,12 @@ def normalization_integrity(flat: DataFrame, primary: DataFrame, children: list[
         lost = orphan_rows(rows, foreign, primary, own).agg(F.count("*").alias("n"))
         empty = bare if empty is None else empty.union(bare)
         orphans = lost if orphans is None else orphans.union(lost)
-    counts = counts.join(F.broadcast(empty.agg(F.sum("n").alias("n_empty_children")))).join(F.broadcast(orphans.agg(F.sum("n").alias("n_orphans"))))
-    high = (F.col("n_flat") != F.col("n_primary")).cast("int") + (F.col("n_orphans") > 0).cast("int")
+    lost = orphans.agg(F.sum("n").alias("n_orphans"), F.count_if(F.col("n") > 0).alias("n_orphaned_children"))
+    counts = counts.join(F.broadcast(empty.agg(F.sum("n").alias("n_empty_children")))).join(F.broadcast(lost))
+    # each child with orphans is a finding of its own
+    high = (F.col("n_flat") != F.col("n_primary")).cast("int") + F.col("n_orphaned_children")
     penalty = F.least(F.lit(30), 5 * high + 2 * F.col("n_empty_children")).cast("long")
-    return counts.withColumn("penalty", penalty).withColumn(
+    return counts.withColumn("penalty", penalty).drop("n_orphaned_children").withColumn(
         "status", F.when(F.col("penalty") == 0, "PASS").when(F.col("penalty") >= 10, "FAIL").otherwise("WARN")
     )
 

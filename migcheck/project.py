@@ -12,6 +12,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from migcheck.operators import checksum, comparing, governance, inference, keys, profile, schema
 from migcheck.plugins import Plugins
@@ -98,7 +99,9 @@ def check_quality(d: Dataset) -> Result:
 
 def check_risk(d: Dataset) -> Result:
     strict = d.spark.createDataFrame([(c,) for c in d.config.get("not_null", [])], "column_name string")
-    risks = listed(inference.profile_risks(profile.column_profile(d.legacy), strict))
+    numbers = [f.name for f in d.legacy.schema.fields if isinstance(f.dataType, T.NumericType)]
+    outliers = inference.outlier_columns(d.legacy, numbers) if numbers else None
+    risks = listed(inference.profile_risks(profile.column_profile(d.legacy), strict, outliers))
     points = min(25, sum({"HIGH": 2, "MEDIUM": 1}.get(r["severity"], 0) for r in risks))
     return Result("profile_risk", "PASS" if not points else "WARN" if points < 10 else "FAIL", points, "MEDIUM", {"risks": risks})
 
@@ -136,7 +139,8 @@ def check_sample(d: Dataset) -> Result:
     if not pairs:
         return Result("sample_compare", "SKIP")
     row = comparing.sample_compare(d.legacy, d.modern, d.key(), pairs, d.config["sample"]).first()
-    return Result("sample_compare", row["status"], row["penalty"], "HIGH", row.asDict())
+    differences = [] if row["match_rate"] == 100 else listed(comparing.sample_differences(d.legacy, d.modern, d.key(), pairs, d.config["sample"]))
+    return Result("sample_compare", row["status"], row["penalty"], "HIGH", row.asDict() | {"differences": differences})
 
 
 def check_aggregates(d: Dataset) -> Result:

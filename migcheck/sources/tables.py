@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from migcheck.operators.comparing import one_per_key
 from migcheck.sources import copybook, flatfiles
 
 DRIVERS = {"postgres": "org.postgresql.Driver", "postgresql": "org.postgresql.Driver", "db2": "com.ibm.db2.jcc.DB2Driver", "oracle": "oracle.jdbc.OracleDriver"}
@@ -70,6 +72,10 @@ def full_load(df: DataFrame, path: str) -> int:
     return df.sparkSession.read.parquet(path).count()
 
 
-def upsert(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """``current`` with the rows of ``changes`` in place of those of the same key."""
-    return current.join(changes.select(key), key, "left_anti").unionByName(changes)
+def upsert(current: DataFrame, changes: DataFrame, key: str, order: list | None = None) -> DataFrame:
+    """``current`` with the rows of ``changes`` in place of those of the same key.
+
+    Of changes that repeat a key one counts: the first by ``order``, else by all columns, largest first.
+    """
+    last = one_per_key(changes, key, order or [F.col(c).desc_nulls_last() for c in changes.columns if c != key] or [F.lit(0)])
+    return current.join(last.select(key), key, "left_anti").unionByName(last)
