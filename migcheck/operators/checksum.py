@@ -82,6 +82,15 @@ def streamed_md5(df: DataFrame, column: str) -> DataFrame:
 
 
 def row_checksum(df: DataFrame, columns: list[str]) -> DataFrame:
-    """n, checksum of whole rows: each row's values (nulls by name) are joined before they are hashed."""
-    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in columns))
+    """n, checksum of whole rows: each row's values are joined before they are hashed.
+
+    Bars and backslashes inside a value are escaped and a null is written as an escape of its own, so that
+    different rows never make the same text.
+    """
+
+    def written(name: str) -> Column:
+        value = F.replace(F.replace(F.col(name).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+        return F.coalesce(value, F.lit("\\N"))
+
+    text = F.concat_ws("|", *map(written, columns))
     return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(short_hash(text)), F.lit(0)).cast("string").alias("checksum"))

@@ -45,19 +45,24 @@ def _checksum_sql(rows: str, column: str) -> str:
     )
 
 
+_MAPPED = [
+    ("o_orderkey", "order_id"), ("o_custkey", "customer_id"), ("o_orderstatus", "order_status"), ("o_totalprice", "total_price"), ("o_orderdate", "ordered_at"),
+]
+
+
 @R.add(
     "column_checksum",
-    f"""WITH {MODERN}, l AS ({_checksum_sql("orders", "o_orderkey")} UNION ALL {_checksum_sql("orders", "o_orderstatus")}),
-    m AS ({_checksum_sql("m_orders", "order_id")} UNION ALL {_checksum_sql("m_orders", "order_status")}),
-    p AS (SELECT * FROM (VALUES ('o_orderkey', 'order_id'), ('o_orderstatus', 'order_status')) AS v(source, target))
+    f"""WITH {MODERN}, l AS ({" UNION ALL ".join(_checksum_sql("orders", a) for a, _ in _MAPPED)}),
+    m AS ({" UNION ALL ".join(_checksum_sql("m_orders", b) for _, b in _MAPPED)}),
+    p AS (SELECT * FROM (VALUES {", ".join(map(str, _MAPPED))}) AS v(source, target))
     SELECT source, target, l.n AS legacy_n, m.n AS modern_n, l.checksum AS legacy_checksum, m.checksum AS modern_checksum,
         l.checksum = m.checksum AS matches FROM p JOIN l ON l.column_name = source JOIN m ON m.column_name = target""",
 )
 def column_checksum(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    pairs = spark.createDataFrame([("o_orderkey", "order_id"), ("o_orderstatus", "order_status")], "source string, target string")
-    old = checksum.column_checksums(orders, ["o_orderkey", "o_orderstatus"]).toDF("source", "legacy_n", "legacy_checksum")
-    new = checksum.column_checksums(modern_orders(orders), ["order_id", "order_status"]).toDF("target", "modern_n", "modern_checksum")
+    pairs = spark.createDataFrame(_MAPPED, "source string, target string")
+    old = checksum.column_checksums(orders, [a for a, _ in _MAPPED]).toDF("source", "legacy_n", "legacy_checksum")
+    new = checksum.column_checksums(modern_orders(orders), [b for _, b in _MAPPED]).toDF("target", "modern_n", "modern_checksum")
     return pairs.join(old, "source").join(new, "target").withColumn("matches", F.col("legacy_checksum") == F.col("modern_checksum"))
 
 
@@ -66,13 +71,13 @@ def column_checksum_md5(spark, sf_dir):
     return checksum.streamed_md5(table(spark, sf_dir, "customer"), "c_custkey")
 
 
-@R.add(
-    "row_checksum",
-    """SELECT count(*) AS n, sum(('0x' || substr(md5(concat_ws('|', coalesce(CAST(o_orderkey AS VARCHAR), 'NULL'), coalesce(o_orderstatus, 'NULL'))), 1, 15))::BIGINT::HUGEINT)::VARCHAR
-    AS checksum FROM orders""",
-)
+_ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+_WRITTEN = ", ".join(f"coalesce(replace(replace(CAST({c} AS VARCHAR), '\\', '\\\\'), '|', '\\|'), '\\N')" for c in _ORDERS)
+
+
+@R.add("row_checksum", f"SELECT count(*) AS n, sum(('0x' || substr(md5(concat_ws('|', {_WRITTEN})), 1, 15))::BIGINT::HUGEINT)::VARCHAR AS checksum FROM orders")
 def row_checksum(spark, sf_dir):
-    return checksum.row_checksum(table(spark, sf_dir, "orders"), ["o_orderkey", "o_orderstatus"])
+    return checksum.row_checksum(table(spark, sf_dir, "orders"), _ORDERS)
 
 
 _GROUPS = f"""WITH {MODERN}, l AS (SELECT upper(o_orderstatus) AS status, count(*) AS n, sum(o_totalprice::DECIMAL(18,2)) AS total FROM orders GROUP BY 1),
@@ -184,14 +189,18 @@ def schema_penalty(spark, sf_dir):
     return schema.schema_penalty(schema.schema_diff(*_schemas(spark, sf_dir)), literal(spark, "mappings"))
 
 
+_STORED = [("c_custkey", "bigint"), ("c_name", "varchar"), ("c_nationkey", "bigint"), ("c_acctbal", "double"), ("c_region", "varchar")]
+
+
 @R.add(
     "schema_drift",
-    """SELECT * FROM (VALUES ('c_mktsegment', CAST(NULL AS VARCHAR), 'varchar', 'added'), ('c_region', 'varchar', NULL, 'dropped'),
-        ('c_nationkey', 'bigint', 'integer', 'type_changed')) AS v(column_name, baseline_type, current_type, change)""",
+    f"""WITH stored AS (SELECT * FROM (VALUES {", ".join(map(str, _STORED))}) AS v(column_name, data_type)), now AS (SELECT column_name, lower(column_type) AS data_type FROM (DESCRIBE customer))
+    SELECT coalesce(s.column_name, n.column_name) AS column_name, s.data_type AS baseline_type, n.data_type AS current_type,
+        CASE WHEN s.data_type IS NULL THEN 'added' WHEN n.data_type IS NULL THEN 'dropped' ELSE 'type_changed' END AS change
+    FROM stored s FULL JOIN now n ON s.column_name = n.column_name WHERE s.data_type IS DISTINCT FROM n.data_type""",
 )
 def schema_drift(spark, sf_dir):
-    stored = [("c_custkey", "bigint"), ("c_name", "varchar"), ("c_nationkey", "bigint"), ("c_acctbal", "double"), ("c_region", "varchar")]
-    return schema.schema_drift(spark.createDataFrame(stored, "column_name string, data_type string"), schema.schema_of(spark, table(spark, sf_dir, "customer")))
+    return schema.schema_drift(spark.createDataFrame(_STORED, "column_name string, data_type string"), schema.schema_of(spark, table(spark, sf_dir, "customer")))
 
 
 @R.add("unmapped_columns", f"WITH {_NEW}, {_MAPS} SELECT column_name FROM new WHERE column_name NOT IN (SELECT target FROM mappings WHERE target IS NOT NULL AND target <> 'total_price')")
@@ -199,7 +208,11 @@ def unmapped_columns(spark, sf_dir):
     return schema.unmapped_columns(_schemas(spark, sf_dir)[1], literal(spark, "mappings").where("target IS NULL OR target <> 'total_price'"))
 
 
-@R.add("archived_leakage", "SELECT 'balance' AS column_name")
+@R.add(
+    "archived_leakage",
+    f"""WITH {_MAPS}, now AS (SELECT column_name FROM (DESCRIBE WITH {MODERN} SELECT * FROM m_customer)), gone AS (SELECT unnest([source, target]) AS column_name FROM mappings WHERE type = 'archived')
+    SELECT column_name FROM now WHERE column_name IN (SELECT column_name FROM gone WHERE column_name IS NOT NULL)""",
+)
 def archived_leakage(spark, sf_dir):
     return schema.archived_leakage(schema.schema_of(spark, modern_customer(table(spark, sf_dir, "customer"))), literal(spark, "mappings"))
 

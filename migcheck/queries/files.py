@@ -68,8 +68,10 @@ def decode_comp3(spark, sf_dir):
 
 @R.add(
     "copybook_schema",
-    """SELECT * FROM (VALUES ('CUST-KEY', 0, 8, 'INTEGER'), ('CUST-NAME', 8, 20, 'VARCHAR(20)'), ('FILLER', 28, 2, 'VARCHAR(2)'), ('CUST-SEGMENT', 30, 12, 'VARCHAR(12)'))
-    AS v(field, "offset", length, sql_type)""",
+    f"""WITH l AS (SELECT generate_subscripts(string_split('{LAYOUT}', chr(10)), 1) AS line_no, unnest(string_split('{LAYOUT}', chr(10))) AS line),
+    p AS (SELECT line_no, regexp_extract(line, '^ +05 +([A-Z-]+) +PIC', 1) AS field, regexp_extract(line, 'PIC ([X9])', 1) AS kind, TRY_CAST(regexp_extract(line, 'PIC [X9][(]([0-9]+)[)]', 1) AS INTEGER) AS length FROM l)
+    SELECT field, coalesce(sum(length) OVER (ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS "offset", length,
+        CASE WHEN kind = 'X' THEN 'VARCHAR(' || length || ')' WHEN length <= 9 THEN 'INTEGER' ELSE 'BIGINT' END AS sql_type FROM p WHERE length IS NOT NULL""",
 )
 def copybook_schema(spark, sf_dir):
     rows = [(f.name, f.offset, f.length, f.sql_type) for f in copybook.parse(LAYOUT)]

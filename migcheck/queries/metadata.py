@@ -264,8 +264,10 @@ def cobol_rules(spark, sf_dir):
 
 @R.add(
     "sql_lineage",
-    """SELECT * FROM (VALUES ('p1', 'mart.claims', 'write'), ('p1', 'legacy.claims', 'read'), ('p1', 'legacy.claimants', 'read'), ('p2', 'claims', 'write'), ('p2', 'audit_log', 'write'))
-    AS v(name, "table", use)""",
+    f"""WITH {ctes("scripts")}, c AS (SELECT name, lower(regexp_replace(regexp_replace(script, '--[^\\n]*', ' ', 'g'), '/[*].*?[*]/', ' ', 'gs')) AS s FROM scripts),
+    w AS (SELECT name, unnest(regexp_extract_all(s, '(insert +into|update|merge +into|delete +from|truncate +table) +([a-z_][a-z0-9_.]*)', 2)) AS "table", 'write' AS use FROM c),
+    r AS (SELECT name, unnest(regexp_extract_all(regexp_replace(s, 'delete +from', '', 'g'), '\\b(from|join) +([a-z_][a-z0-9_.]*)', 2)) AS "table", 'read' AS use FROM c)
+    SELECT DISTINCT * FROM (SELECT * FROM w UNION ALL SELECT * FROM r)""",
 )
 def sql_lineage(spark, sf_dir):
     return legacy_code.sql_tables(literal(spark, "scripts"))

@@ -13,8 +13,8 @@ from migcheck.streaming import events as stream
 
 R = Registry()
 
-_CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
-_ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+_CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+_ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 
 def _profile_sql(name: str, columns: list[str]) -> str:
@@ -114,8 +114,8 @@ def value_frequencies(spark, sf_dir):
 
 @R.add("column_profile", _profile_sql("customer", _CUSTOMER) + " UNION ALL " + _profile_sql("orders", _ORDERS))
 def column_profile(spark, sf_dir):
-    one = profile.column_profile(table(spark, sf_dir, "customer"), _CUSTOMER).withColumn("table", F.lit("customer"))
-    return one.union(profile.column_profile(table(spark, sf_dir, "orders"), _ORDERS).withColumn("table", F.lit("orders")))
+    one = profile.column_profile(table(spark, sf_dir, "customer")).withColumn("table", F.lit("customer"))
+    return one.union(profile.column_profile(table(spark, sf_dir, "orders")).withColumn("table", F.lit("orders")))
 
 
 @R.add("baseline", f"""SELECT "table", column_name, row_count, null_percent, distinct_count FROM ({_profile_sql("customer", _CUSTOMER)} UNION ALL {_profile_sql("orders", _ORDERS)})""")
@@ -210,28 +210,43 @@ def rationalize_flat(spark, sf_dir):
     return found.select("table", "score", monitor.recommendation(F.col("score")).alias("recommendation"))
 
 
-@R.add("pii_columns", "SELECT * FROM (VALUES ('c_phone_no'), ('s_address'), ('zip')) AS v(column_name)")
+def _values(columns) -> str:
+    return "(VALUES " + ", ".join(f"('{c}')" for c in columns) + ") AS v(column_name)"
+
+
+_PERSONAL = f"len(list_filter({list(names.PII_KEYWORDS)}, lambda k: contains(lower(column_name), k))) > 0"
+
+
+@R.add("pii_columns", f"SELECT column_name FROM {_values(['c_custkey', 'c_name', 'c_phone_no', 's_address', 'zip', 'c_tier'])} WHERE {_PERSONAL}")
 def pii_columns(spark, sf_dir):
     key = F.col("c_custkey")
     df = table(spark, sf_dir, "customer").select(key, "c_name", key.alias("c_phone_no"), key.alias("s_address"), key.alias("zip"), key.alias("c_tier"))
     return governance.pii_columns(schema_of(spark, df))
 
 
-@R.add("naming_violations", "SELECT * FROM (VALUES ('BadName'), ('also-bad'), ('has spaces'), ('ALLCAPS')) AS v(column_name)")
+_SPELLED = ["good_name", "BadName", "also-bad", "ALLCAPS", "has spaces", "snake_case_123"]
+
+
+@R.add("naming_violations", f"SELECT column_name FROM {_values(_SPELLED)} WHERE NOT regexp_matches(column_name, '^[a-z][a-z0-9_]*$')")
 def naming_violations(spark, sf_dir):
-    columns = ["good_name", "BadName", "also-bad", "ALLCAPS", "has spaces", "snake_case_123"]
-    return governance.naming_violations(spark.createDataFrame([(c,) for c in columns], "column_name string"))
+    return governance.naming_violations(spark.createDataFrame([(c,) for c in _SPELLED], "column_name string"))
+
+
+_GOVERNED = ["event_id", "event_type", "props", "email", "ssn", "bank_no", "BadName"]
 
 
 @R.add(
     "governance",
     f"""WITH {_NULLED}, n AS (SELECT count(*) FILTER (null_percent > 10) AS nulls FROM ({_null_sql("{c} IS NULL").partition(") SELECT")[1].replace(")", "", 1) + _null_sql("{c} IS NULL").partition(") SELECT")[2]}))
-    SELECT 2::BIGINT AS unhandled, 1::BIGINT AS handled, 1::BIGINT AS naming, nulls, 1::BIGINT AS missing, (100 - (10 + 1 + 2 + 10 + least(3 * nulls, 15)))::BIGINT AS score, 'WARN' AS status FROM n""",
+    , s AS (SELECT count(*) FILTER ({_PERSONAL} AND column_name <> 'ssn') AS unhandled, count(*) FILTER ({_PERSONAL} AND column_name = 'ssn') AS handled,
+        count(*) FILTER (NOT regexp_matches(column_name, '^[a-z][a-z0-9_]*$')) AS naming FROM {_values(_GOVERNED)}),
+    m AS (SELECT count(*) AS missing FROM (VALUES ('event_id'), ('created_at')) AS v(column_name) WHERE column_name NOT IN (SELECT column_name FROM (DESCRIBE SELECT event_id, event_type, props FROM events))),
+    t AS (SELECT *, (100 - least(5 * unhandled, 30) - least(handled, 10) - least(2 * naming, 10) - least(10 * missing, 30) - least(3 * nulls, 15))::BIGINT AS score FROM s, n, m)
+    SELECT *, CASE WHEN score = 100 THEN 'PASS' ELSE 'WARN' END AS status FROM t""",
 )
 def governance_query(spark, sf_dir):
     df = _nulled(spark, sf_dir).select("event_id", "event_type", "props")
-    columns = ["event_id", "event_type", "props", "email", "ssn", "bank_no", "BadName"]
-    schema = spark.createDataFrame([(c,) for c in columns], "column_name string")
+    schema = spark.createDataFrame([(c,) for c in _GOVERNED], "column_name string")
     handled = spark.createDataFrame([("ssn",)], "column_name string")
     return governance.governance(df, schema, handled, ["event_id", "created_at"], 10)
 
@@ -334,7 +349,14 @@ def tumbling_events(spark, sf_dir):
 _NAMES = ctes("names")
 
 
-@R.add("expand_abbrev", None)
+_SHORT = "regexp_replace(lower(source), '^[a-z]{2,3}_(.)', '\\1')"
+
+
+@R.add(
+    "expand_abbrev",
+    f"WITH {_NAMES}, s AS (SELECT source, {_SHORT} AS short FROM names), a AS (SELECT * FROM (VALUES {', '.join(map(str, names.ABBREVIATIONS.items()))}) AS v(short, wide)) "
+    f"SELECT source, CASE WHEN short IN {names.RECORD_IDS} THEN '_record_id' ELSE coalesce(wide, short) END AS expanded FROM s LEFT JOIN a USING (short)",
+)
 def expand_abbrev(spark, sf_dir):
     return literal(spark, "names").select("source", names.expand(F.col("source")).alias("expanded"))
 
