@@ -1,15 +1,18 @@
-"""Command line: python -m migcheck {validate,profile,status} ..."""
+"""Command line: python -m migcheck {validate,profile,status,prove,observe,ingest} ..."""
 
 from __future__ import annotations
 
 import argparse
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from migcheck import project as p
 from migcheck.operators.profile import column_profile
-from migcheck.plans.runs import run_status
+from migcheck.plans import loading, observer
+from migcheck.plans.runs import latest_runs, run_status
+from migcheck.plans.scoring import proof_score
 
 
 def main(args: list[str] | None = None) -> int:
@@ -26,12 +29,38 @@ def main(args: list[str] | None = None) -> int:
     look.add_argument("--side", choices=("legacy", "modern"), default="legacy")
     past = commands.add_parser("status")
     past.add_argument("--runs", default="runs")
+    proof = commands.add_parser("prove", help="the mean of each dataset's latest pre and post scores")
+    proof.add_argument("--runs", default="runs")
+    watch = commands.add_parser("observe", help="the modern tables against a stored baseline, which the first call writes")
+    watch.add_argument("project")
+    watch.add_argument("--baseline", required=True)
+    watch.add_argument("--alerts", required=True)
+    watch.add_argument("--now", required=True, help="time of the observation, such as '2026-01-01 00:00:00'")
+    load = commands.add_parser("ingest", help="load the legacy side of every dataset that is not loaded yet")
+    load.add_argument("project")
+    load.add_argument("--target", required=True)
     own = parser.parse_args(args)
     spark = SparkSession.builder.appName("migcheck").getOrCreate()
     if own.command == "status":
         run_status(p.read_runs(spark, own.runs)).show(truncate=False)
         return 0
+    if own.command == "prove":
+        proof_score(latest_runs(p.read_runs(spark, own.runs))).show(1000, truncate=False)
+        return 0
     config = p.load_config(own.project)
+    if own.command == "observe":
+        tables = {name: p.Dataset.open(spark, config, name).modern for name in config["datasets"]}
+        try:
+            before = observer.load_baseline(spark, own.baseline)
+        except AnalysisException:  # the first observation
+            observer.save_baseline(tables, own.baseline)
+            return 0
+        return int(observer.dispatch(observer.observe(tables, before, own.now), own.alerts) > 0)
+    if own.command == "ingest":
+        steps = [(name, p.Dataset.open(spark, config, name).legacy, f"{own.target}/{name}") for name in config["datasets"]]
+        state = loading.resume_loads(steps, f"{own.target}/_state")
+        print(state)
+        return int("failed" in state.values())
     if own.command == "profile":
         column_profile(getattr(p.Dataset.open(spark, config, own.dataset), own.side)).show(1000, truncate=False)
         return 0

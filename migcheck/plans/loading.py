@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from migcheck.operators.keys import orphan_rows
@@ -55,3 +56,41 @@ def run_loads(steps: list[tuple[str, DataFrame, str]], done: set[str]) -> dict[s
             except Exception as error:  # noqa: BLE001 - the state table carries the reason
                 state[name] = f"failed: {str(error)[:200]}"
     return state
+
+
+STATE = "table string, status string, rows long, error string, at timestamp"
+
+
+def load_state(spark: SparkSession, path: str) -> DataFrame:
+    """The latest state of each table (none where nothing was written yet)."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.schema(STATE).json(path)
+    except AnalysisException:  # no state was written yet
+        rows = spark.createDataFrame([], STATE)
+    last = W.partitionBy("table").orderBy(F.desc("at"), "status")
+    return rows.withColumn("nth", F.row_number().over(last)).where("nth = 1").drop("nth")
+
+
+def resume_loads(steps: list[tuple[str, DataFrame, str]], path: str) -> dict[str, str]:
+    """Load (table, frame, path) in order, without those that the state below ``path`` calls completed; each step is noted there.
+
+    A failure is noted and does not stop the others; the next call tries it again.
+    """
+    from migcheck.sources.tables import full_load
+
+    if not steps:
+        return {}
+    spark = steps[0][1].sparkSession
+    out = {r["table"]: "completed" for r in load_state(spark, path).where("status = 'completed'").collect()}  # tables of a schema
+    for name, frame, target in steps:
+        if name in out:
+            continue
+        try:
+            row = (name, "completed", full_load(frame, target), None)
+        except Exception as error:  # noqa: BLE001 - the state carries the reason
+            row = (name, "failed", None, str(error)[:200])
+        spark.createDataFrame([row], "table string, status string, rows long, error string").withColumn("at", F.current_timestamp()).write.mode("append").json(path)
+        out[name] = row[1]
+    return out

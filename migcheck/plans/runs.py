@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,15 +39,41 @@ def pii_handling(glossary: DataFrame, mappings: DataFrame) -> DataFrame:
     return own.groupBy("table").agg(F.count("*").alias("n_pii"), F.count_if("handled").alias("n_handled"), F.every("handled").alias("all_handled"))
 
 
-def compliance_checklist(pii: DataFrame, naming_violations: DataFrame, statuses: DataFrame, runs: DataFrame) -> DataFrame:
-    """(check, passed), one row each."""
-    return (
+def detection_methods(glossary: DataFrame, tags: DataFrame) -> DataFrame:
+    """(table, name, method) of the personal columns: their tags in order, else that a keyword matched."""
+    tagged = tags.groupBy("table", "name").agg(F.array_join(F.array_sort(F.collect_set("tag")), ", ").alias("method"))  # tags of one column
+    return glossary.where("pii").join(tagged, ["table", "name"], "left").select("table", "name", F.coalesce("method", F.lit("keyword match")).alias("method"))
+
+
+def signoff_gate(runs: DataFrame, signoffs: DataFrame) -> DataFrame:
+    """(dataset, may_run_post): a dataset's post phase waits for an approved sign-off of its pre phase."""
+    approved = signoffs.where("phase = 'pre' AND approved").select("dataset", F.lit(True).alias("signed")).distinct()
+    return runs.select("dataset").distinct().join(approved, "dataset", "left").select("dataset", F.coalesce("signed", F.lit(False)).alias("may_run_post"))
+
+
+def read_signoffs(lines: DataFrame) -> DataFrame:
+    """signed_on, dataset, phase, who, approved from lines of five parts with bars between them."""
+    part = F.split("line", r"\|")
+    return lines.select(part[0].alias("signed_on"), part[1].alias("dataset"), part[2].alias("phase"), part[3].alias("who"), (part[4] == "approved").alias("approved"))
+
+
+def append_signoff(spark: SparkSession, path: str, signed_on: str, dataset: str, phase: str, who: str, approved: bool) -> None:
+    """Add a line to the sign-off log; bars in a part become blanks."""
+    parts = [str(p).replace("|", " ") for p in (signed_on, dataset, phase, who)] + ["approved" if approved else "rejected"]
+    spark.createDataFrame([("|".join(parts),)], "line string").write.mode("append").text(path)
+
+
+def compliance_checklist(pii: DataFrame, naming_violations: DataFrame, statuses: DataFrame, runs: DataFrame, generated: DataFrame) -> DataFrame:
+    """(check, passed), one row each, and a last one for all of them; ``generated`` has the lines of the generated schema."""
+    checks = (
         pii.agg(F.coalesce(F.every("all_handled"), F.lit(True)).alias("passed")).select(F.lit("pii_handled").alias("check"), "passed")
         .union(naming_violations.agg((F.count("*") == 0).alias("passed")).select(F.lit("naming"), "passed"))
         .union(statuses.agg((F.count_if(F.col("status") == "VIOLATION") == 0).alias("passed")).select(F.lit("no_violations"), "passed"))
         .union(runs.where("phase = 'pre'").agg(F.coalesce(F.min("score") >= 70, F.lit(False)).alias("passed")).select(F.lit("pre_at_least_70"), "passed"))
         .union(runs.where("phase = 'post'").agg(F.coalesce(F.min("score") >= 90, F.lit(False)).alias("passed")).select(F.lit("post_at_least_90"), "passed"))
+        .union(generated.agg((F.count("*") > 0).alias("passed")).select(F.lit("schema_generated"), "passed"))
     )
+    return checks.union(checks.agg(F.every("passed").alias("passed")).select(F.lit("all_passed"), "passed"))
 
 
 def field_io(uses: DataFrame) -> DataFrame:

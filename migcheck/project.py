@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from migcheck.operators import checksum, comparing, governance, inference, keys, profile, schema
+from migcheck.operators import checksum, comparing, governance, inference, keys, profile, schema, transforms
+from migcheck.plans import loading
 from migcheck.plugins import Plugins
 from migcheck.sources.tables import read_source
 
@@ -48,17 +49,22 @@ class Dataset:
     legacy: DataFrame
     modern: DataFrame
     plugins: Plugins
+    connections: dict = field(default_factory=dict)
 
     @classmethod
     def open(cls, spark: SparkSession, project: dict, name: str, plugins: Plugins | None = None) -> Dataset:
         plugins, own = plugins or Plugins(), project["datasets"][name]
         sides = (read_source(spark, project["connections"][own[s]["connection"]] | own[s], own[s].get("query", ""), plugins.readers) for s in ("legacy", "modern"))
-        return cls(spark, name, DEFAULTS | project.get("validation", {}) | own, *sides, plugins)
+        return cls(spark, name, DEFAULTS | project.get("validation", {}) | own, *sides, plugins, project["connections"])
 
     def mappings(self) -> DataFrame:
         changed = self.plugins.column_overrides.get(self.name, {})
-        rows = [(m["source"], changed.get(m["source"], m.get("target")), m.get("type", "rename")) for m in self.config.get("mappings", [])]
-        return self.spark.createDataFrame(rows, "source string, target string, type string")
+        rows = [(m["source"], changed.get(m["source"], m.get("target")), m.get("type", "rename"), m.get("rationale")) for m in self.config.get("mappings", [])]
+        return self.spark.createDataFrame(rows, "source string, target string, type string, rationale string")
+
+    def other(self, source: dict) -> DataFrame:
+        """Another table that the dataset's settings name by its connection."""
+        return read_source(self.spark, self.connections[source["connection"]] | source, source.get("query", ""), self.plugins.readers)
 
     def schemas(self) -> tuple[DataFrame, DataFrame]:
         return schema.schema_of(self.spark, self.legacy), schema.schema_of(self.spark, self.modern)
@@ -106,6 +112,41 @@ def check_risk(d: Dataset) -> Result:
     return Result("profile_risk", "PASS" if not points else "WARN" if points < 10 else "FAIL", points, "MEDIUM", {"risks": risks})
 
 
+def check_frame(d: Dataset) -> Result:
+    """Values of the legacy side that do not cast to the stated ``types``, are null in ``not_null`` or repeat in ``unique`` columns."""
+    types, required, unique = d.config.get("types", {}), d.config.get("not_null", []), d.config.get("unique", [])
+    if not (types or required or unique):
+        return Result("frame_schema", "SKIP")
+    failures = listed(governance.schema_failures(d.legacy, types, required, unique).where("n > 0"))
+    points = min(20, sum(f["n"] for f in failures))
+    return Result("frame_schema", "FAIL" if points else "PASS", points, "MEDIUM", {"failures": failures})
+
+
+def check_transforms(d: Dataset) -> Result:
+    """The transform script of the dataset, a text or a file, against its mappings."""
+    script = d.config.get("transform_script")
+    if "transform_file" in d.config:
+        with open(d.config["transform_file"]) as file:
+            script = file.read()
+    if script is None:
+        return Result("etl_tests", "SKIP")
+    scripts = d.spark.createDataFrame([(d.name, script)], "table string, script string")
+    booleans = transforms.boolean_columns(d.legacy).withColumn("table", F.lit(d.name))
+    issues = transforms.transform_issues(scripts, d.mappings().withColumn("table", F.lit(d.name)), booleans)
+    total = transforms.transform_penalty(issues).first()
+    severity = "HIGH" if total["penalty"] >= 10 else "MEDIUM" if total["n_issues"] else "INFO"
+    return Result("etl_tests", total["status"], total["penalty"], severity, {"issues": listed(issues)})
+
+
+def check_normalization(d: Dataset) -> Result:
+    """A flat legacy table against the modern primary table and its ``children`` (a source, its column, the primary's key)."""
+    children = [(d.other(c), c["column"], c.get("key", d.key()[1])) for c in d.config.get("children", [])]
+    if not children:
+        return Result("normalization_integrity", "SKIP")
+    row = loading.normalization_integrity(d.legacy, d.modern, children).first()
+    return Result("normalization_integrity", row["status"], row["penalty"], "HIGH", row.asDict())
+
+
 def check_rows(d: Dataset) -> Result:
     row = comparing.row_count(d.legacy, d.modern).first()
     return Result("row_count", row["status"], row["penalty"], "HIGH", row.asDict())
@@ -121,17 +162,27 @@ def check_checksums(d: Dataset) -> Result:
     return Result("checksums", "WARN" if differ else "PASS", 0.0, "MEDIUM", {"differ": differ})
 
 
-def check_references(d: Dataset, project: dict) -> Result:
-    rules = d.config.get("references", [])
+def check_references(d: Dataset) -> Result:
+    """Keys of the modern table that its parents lack; without stated references, keys of its children that it lacks.
+
+    A reference that cannot be checked is a finding and does not stop the others.
+    """
+    rules = [(d.modern, r["column"], r["parent"], r["parent"]["column"], True) for r in d.config.get("references", [])]
+    rules = rules or [(d.modern, c["column"], c, c.get("key", d.key()[1]), False) for c in d.config.get("children", [])]
     if not rules:
         return Result("referential_integrity", "SKIP")
-    found, points = [], 0
-    for rule in rules:
-        parent = read_source(d.spark, project["connections"][rule["parent"]["connection"]] | rule["parent"], "", d.plugins.readers)
-        n = keys.orphan_keys(d.modern, rule["column"], parent, rule["parent"]["column"]).count()
-        found.append({"column": rule["column"], "orphans": n})
+    found, points, failed = [], 0, False
+    for own, column, source, key, is_parent in rules:
+        try:
+            other = d.other(source)
+            n = (keys.orphan_keys(own, column, other, key) if is_parent else keys.orphan_keys(other, column, own, key)).count()
+        except Exception as error:  # noqa: BLE001 - a reference that fails is a finding
+            found.append({"column": column, "error": str(error)[:200]})
+            failed = True
+            continue
+        found.append({"column": column, "orphans": n})
         points += min(n, 20)
-    return Result("referential_integrity", "FAIL" if points else "PASS", points, "CRITICAL", {"checks": found})
+    return Result("referential_integrity", "FAIL" if points else "WARN" if failed else "PASS", points, "CRITICAL", {"checks": found})
 
 
 def check_sample(d: Dataset) -> Result:
@@ -183,16 +234,16 @@ def check_encoding(d: Dataset) -> Result:
     return Result("encoding", "PASS" if not points else "FAIL" if points >= 10 else "WARN", points, "HIGH", {"issues": found})
 
 
-PRE: list[Callable[[Dataset], Result]] = [check_schema, check_governance, check_quality, check_risk]
-POST: list[Callable[[Dataset], Result]] = [check_rows, check_checksums, check_sample, check_aggregates, check_leakage, check_unmapped, check_encoding]
+PRE: list[Callable[[Dataset], Result]] = [check_schema, check_governance, check_quality, check_risk, check_frame, check_transforms]
+POST: list[Callable[[Dataset], Result]] = [
+    check_rows, check_checksums, check_sample, check_aggregates, check_leakage, check_unmapped, check_encoding, check_normalization, check_references,
+]
 
 
 def validate(spark: SparkSession, project: dict, name: str, phase: str, plugins: Plugins | None = None) -> dict:
     """Run a phase: {dataset, phase, score, status, results}."""
     d = Dataset.open(spark, project, name, plugins)
     results = [check(d) for check in (PRE if phase == "pre" else POST)]
-    if phase == "post":
-        results.append(check_references(d, project))
     results += [f(spark, d.legacy, d.modern, d.config) for f in d.plugins.validators[phase]]
     score = max(0.0, 100.0 - sum(r.penalty for r in results))
     if phase == "pre":

@@ -188,6 +188,23 @@ LITERALS: dict[str, tuple[str, list[tuple]]] = {
         "data_type string",
         [("VARCHAR2(30)",), ("NUMBER(10, 2)",), ("number",), ("Integer",), ("TIMESTAMP WITH TIME ZONE",), ("double precision",), ("BLOB",), ("xml",), ("CHAR(1)",), ("bool",)],
     ),
+    "pii_tags": ("table string, name string, tag string", [("supplier", "s_ssn", "PII.Sensitive"), ("supplier", "s_ssn", "PII.NationalId"), ("customer", "c_phone", "PII.Contact")]),
+    "terms": (
+        "source string, term string, modern string",
+        [("cl_fnam", "Claimant First Name", None), ("cl_dob", "Birth Date", None), ("cl_stat", "Status", None), ("cm_recid", "Claim Key Id", "claim_id"), ("bp_EventCode", "Payment Event-Code (old)", "")],
+    ),
+    "transform_scripts": (
+        "table string, script string",
+        [("orders", "SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderdate AS ordered_at, old_price FROM legacy"), ("customer", "  "), ("supplier", "SELECT sha256(s_name), CASE WHEN f = 'Y' THEN 1 END FROM legacy")],
+    ),
+    "transform_mappings": (
+        "table string, source string, target string, type string, rationale string",
+        [
+            ("orders", "o_orderkey", "order_id", "rename", None), ("orders", "o_orderdate", "ordered_at", "transform", "date"), ("orders", "o_clerk", "clerk_hash", "transform", "SHA-256 hash"),
+            ("orders", "o_price", "old_price", "archived", None), ("orders", "o_note", None, "removed", None), ("customer", "c_name", "name", "transform", None),
+            ("supplier", "s_name", "name_hash", "transform", "hashed"), ("part", "p_name", "name", "transform", "hash"),
+        ],
+    ),
     "signoffs": (
         "line string",
         [("2026-02-14|orders|pre|alice|approved",), ("2026-02-20|customer|pre|bob|rejected",), ("2026-02-21|orders|post|carol|approved",)],

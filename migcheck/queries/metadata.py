@@ -143,14 +143,25 @@ def pii_violations(spark, sf_dir):
 @R.add(
     "compliance_checklist",
     _PII
-    + f""", {ctes("governance_rows")}, {ctes("runs")}, v AS (SELECT count(*) AS n FROM mappings WHERE target IS NOT NULL AND NOT regexp_matches(target, '^[a-z][a-z0-9_]*$'))
-    SELECT 'pii_handled' AS "check", bool_and(all_handled) AS passed FROM p UNION ALL SELECT 'naming', n = 0 FROM v
+    + f""", {ctes("governance_rows", "runs", "ddl_new")}, v AS (SELECT count(*) AS n FROM mappings WHERE target IS NOT NULL AND NOT regexp_matches(target, '^[a-z][a-z0-9_]*$')),
+    checks AS (SELECT 'pii_handled' AS "check", bool_and(all_handled) AS passed FROM p UNION ALL SELECT 'naming', n = 0 FROM v
     UNION ALL SELECT 'no_violations', count(*) FILTER (status = 'VIOLATION') = 0 FROM governance_rows
-    UNION ALL SELECT 'pre_at_least_70', min(score) >= 70 FROM runs WHERE phase = 'pre' UNION ALL SELECT 'post_at_least_90', min(score) >= 90 FROM runs WHERE phase = 'post'""",
+    UNION ALL SELECT 'pre_at_least_70', min(score) >= 70 FROM runs WHERE phase = 'pre' UNION ALL SELECT 'post_at_least_90', min(score) >= 90 FROM runs WHERE phase = 'post'
+    UNION ALL SELECT 'schema_generated', count(*) > 0 FROM ddl_new)
+    SELECT * FROM checks UNION ALL SELECT 'all_passed', bool_and(passed) FROM checks""",
 )
 def compliance_checklist(spark, sf_dir):
     bad = governance.naming_violations(literal(spark, "mappings").where("target IS NOT NULL").select(F.col("target").alias("column_name")))
-    return runs.compliance_checklist(pii_handling(spark, sf_dir), bad, literal(spark, "governance_rows"), literal(spark, "runs"))
+    return runs.compliance_checklist(pii_handling(spark, sf_dir), bad, literal(spark, "governance_rows"), literal(spark, "runs"), literal(spark, "ddl_new"))
+
+
+@R.add(
+    "pii_detection",
+    f"""WITH {ctes("glossary", "pii_tags")}, t AS (SELECT "table", name, string_agg(DISTINCT tag, ', ' ORDER BY tag) AS method FROM pii_tags GROUP BY 1, 2)
+    SELECT g."table", g.name, coalesce(method, 'keyword match') AS method FROM glossary g LEFT JOIN t ON t."table" = g."table" AND t.name = g.name WHERE pii""",
+)
+def pii_detection(spark, sf_dir):
+    return runs.detection_methods(literal(spark, "glossary"), literal(spark, "pii_tags"))
 
 
 @R.add("sql_migration_rollup", f"WITH {ctes('sql_objects')} SELECT type, count(*) AS n, sum(changes)::BIGINT AS changes FROM sql_objects GROUP BY type")
@@ -195,10 +206,16 @@ def ddl_diff(spark, sf_dir):
 
 @R.add("signoffs", f"WITH {ctes('signoffs')}, s AS (SELECT string_split(line, '|') AS p FROM signoffs) SELECT p[1] AS signed_on, p[2] AS dataset, p[3] AS phase, p[4] AS who, p[5] = 'approved' AS approved FROM s")
 def signoffs(spark, sf_dir):
-    part = F.split("line", r"\|")
-    return literal(spark, "signoffs").select(
-        part[0].alias("signed_on"), part[1].alias("dataset"), part[2].alias("phase"), part[3].alias("who"), (part[4] == "approved").alias("approved")
-    )
+    return runs.read_signoffs(literal(spark, "signoffs"))
+
+
+@R.add(
+    "signoff_gate",
+    f"""WITH {ctes("signoffs", "runs")}, s AS (SELECT string_split(line, '|') AS p FROM signoffs)
+    SELECT DISTINCT dataset, dataset IN (SELECT p[2] FROM s WHERE p[3] = 'pre' AND p[5] = 'approved') AS may_run_post FROM runs""",
+)
+def signoff_gate(spark, sf_dir):
+    return runs.signoff_gate(literal(spark, "runs"), signoffs(spark, sf_dir))
 
 
 @R.add(

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from migcheck.operators import comparing, inference, legacy_code, normalize, profile, vector
+from migcheck.functions import names
+from migcheck.operators import comparing, inference, legacy_code, normalize, profile, transforms, vector
 from migcheck.plans import observer
 from migcheck.queries.common import MODERN, Registry, ctes, literal, modern_orders, table
 
@@ -54,6 +55,72 @@ def entity_keys(spark, sf_dir):
     return normalize.entity_keys(sub_entities(spark, sf_dir), profiled)
 
 
+@R.add(
+    "normalization_plan",
+    _PARTS
+    + f""", e AS (SELECT "table", prefix, part, count(*) AS n_columns,
+        coalesce(min(column_name) FILTER (part = 'main' AND contains(column_name, 'recid')), min(column_name) FILTER (part = 'main' AND regexp_matches(lower(column_name), '({"|".join(normalize.KEY_ENDINGS)})$'))) AS key_column FROM p GROUP BY 1, 2, 3),
+    based AS (SELECT *, regexp_replace(CASE WHEN prefix <> '' THEN prefix ELSE "table" END, 's+$', '') AS base FROM e),
+    r AS (SELECT *, CASE WHEN part = 'main' THEN base ELSE base || '_' || part END AS entity, row_number() OVER (PARTITION BY "table" ORDER BY part <> 'main', n_columns DESC, prefix, part) AS nth FROM based),
+    o AS (SELECT r."table", r.entity, CASE WHEN r.nth = 1 THEN 'primary' ELSE 'child' END AS role, coalesce(r.key_column, r.entity || '_id') AS key_column,
+        CASE WHEN r.nth > 1 THEN f.entity END AS parent, CASE WHEN r.nth > 1 THEN f.base || '_id' END AS foreign_key FROM r JOIN r f ON f."table" = r."table" AND f.nth = 1
+        UNION ALL SELECT 'flat', 'lu_' || regexp_replace(lower(source), '^[a-z]{{2,4}}_', ''), 'lookup', 'code', NULL, NULL FROM names WHERE contains(source, '_stat'))
+    SELECT *, row_number() OVER (PARTITION BY "table" ORDER BY CASE role WHEN 'lookup' THEN 1 WHEN 'primary' THEN 2 ELSE 3 END, entity)::INTEGER AS position FROM o""",
+)
+def normalization_plan(spark, sf_dir):
+    return normalize.normalization_plan(entity_keys(spark, sf_dir), _flat(spark).where("contains(column_name, '_stat')"))
+
+
+_SCHEMA_NAMES = ", ".join(map(str, names.SCHEMA_NAMES.items()))
+
+
+@R.add(
+    "modern_column_names",
+    f"""WITH {ctes("names", "terms")}, known AS (SELECT * FROM (VALUES {_SCHEMA_NAMES}) AS v(short, wide)),
+    a AS (SELECT source, modern, list_filter(regexp_split_to_array(lower(term), '\\s+'), lambda w: w <> '') AS w, regexp_replace(lower(source), '^[a-z]{{2,4}}_', '') AS short,
+        regexp_replace(source, '^[a-zA-Z]{{2,4}}_', '') AS bare FROM names LEFT JOIN terms USING (source)),
+    b AS (SELECT *, nullif(regexp_replace(array_to_string(CASE WHEN len(w) > 2 THEN w[2:] WHEN len(w) = 2 THEN w END, '_'), '[^a-z0-9_]', '', 'g'), '') AS said,
+        lower(trim(regexp_replace(regexp_replace(regexp_replace(bare, '([A-Z])', '_\\1', 'g'), '[^a-zA-Z0-9]', '_', 'g'), '_+', '_', 'g'), '_')) AS snake FROM a)
+    SELECT source, coalesce(nullif(modern, ''), said, wide, nullif(snake, ''), 'column') AS name FROM b LEFT JOIN known USING (short)""",
+)
+def modern_column_names(spark, sf_dir):
+    rows = literal(spark, "names").join(literal(spark, "terms"), "source", "left")
+    return rows.select("source", names.modernized(F.col("source"), F.col("term"), F.col("modern")).alias("name"))
+
+
+_FLAGS = """flags AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'y' ELSE 'N' END AS f1, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'TRUE' END AS f2, o_orderstatus AS f3 FROM orders),
+    truths AS (SELECT unnest([1, 2, 3]) AS i, unnest([bool_and(upper(f1) IN ('Y', 'N')), bool_and(upper(f2) IN ('TRUE', 'FALSE')), bool_and(upper(f3) IN ('Y', 'N', 'T', 'F'))]) AS fits FROM flags)"""
+
+
+def _issues(spark, sf_dir):
+    key = F.col("o_orderkey")
+    flags = table(spark, sf_dir, "orders").select(F.when(key % 2 == 0, "y").otherwise("N").alias("f1"), F.when(key % 3 != 0, "TRUE").alias("f2"), F.col("o_orderstatus").alias("f3"))
+    booleans = transforms.boolean_columns(flags).withColumn("table", F.lit("orders"))
+    return transforms.transform_issues(literal(spark, "transform_scripts"), literal(spark, "transform_mappings"), booleans)
+
+
+_ISSUES = f"""WITH {ctes("transform_scripts", "transform_mappings")}, {_FLAGS}, j AS (SELECT * FROM transform_mappings JOIN transform_scripts USING ("table")),
+    i AS (SELECT "table", 'archived_column_in_transform' AS test, 'HIGH' AS severity, source AS subject FROM j WHERE type IN ('archived', 'removed') AND target <> '' AND contains(script, target)
+    UNION ALL SELECT "table", 'transform_source_missing', 'MEDIUM', source FROM j WHERE type = 'transform' AND target <> '' AND NOT contains(script, source)
+    UNION ALL SELECT "table", 'pii_hash_missing', 'HIGH', source FROM j WHERE type = 'transform' AND regexp_matches(lower(rationale), 'sha|hash') AND NOT regexp_matches(lower(script), 'sha256|encode')
+    UNION ALL SELECT "table", 'transform_not_empty', 'HIGH', "table" FROM transform_scripts WHERE trim(script) = ''
+    UNION ALL SELECT "table", 'boolean_conversion_missing', 'LOW', 'f' || t.i FROM truths t, transform_scripts WHERE fits AND "table" = 'orders' AND NOT regexp_matches(upper(script), 'CASE WHEN|BOOLEAN'))"""
+
+
+@R.add("transform_issues", _ISSUES + " SELECT * FROM i")
+def transform_issues(spark, sf_dir):
+    return _issues(spark, sf_dir)
+
+
+@R.add(
+    "transform_penalty",
+    _ISSUES + """, t AS (SELECT count(*) AS n_issues, least(20, sum(CASE severity WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 1 ELSE 0 END))::BIGINT AS penalty FROM i)
+    SELECT *, CASE WHEN n_issues = 0 THEN 'PASS' WHEN penalty >= 10 THEN 'FAIL' ELSE 'WARN' END AS status FROM t""",
+)
+def transform_penalty(spark, sf_dir):
+    return transforms.transform_penalty(_issues(spark, sf_dir))
+
+
 _LEGACY = {"o_orderkey": "NUMERIC(18)", "o_totalprice": "NUMBER(12,2)", "o_orderdate": "TIMESTAMP", "o_orderstatus": "varchar(40)", "o_custkey": "bigint", "big": "decimal", "flag": "char(1)", "seen_dt": "timestamp"}
 
 

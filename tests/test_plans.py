@@ -38,6 +38,12 @@ def test_checksums_ignore_order_but_not_values(spark):
         checksum.ordered_md5(one, "k", most_rows=2)
 
 
+def test_row_checksums_tell_separators_and_null_texts_apart(spark):
+    rows = [("a|b", "c"), ("a", "b|c"), ("a\\", "|c"), ("a\\|", "c"), (None, "c"), ("NULL", "c"), ("\\N", "c"), ("", "c")]
+    found = {checksum.row_checksum(spark.createDataFrame([r], "a string, b string"), ["a", "b"]).first().checksum for r in rows}
+    assert len(found) == len(rows)
+
+
 def test_streamed_md5_takes_any_number_of_rows(spark):
     import hashlib
 

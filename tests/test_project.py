@@ -67,3 +67,69 @@ def test_command_line_and_history(spark, config):
     assert [(r.dataset, r.phase) for r in runs] == [("orders", "pre")]
     assert main(["status", "--runs", str(folder / "runs")]) == 0
     assert main(["profile", path, "orders"]) == 0
+
+
+def test_further_checks(spark, config):
+    own = project.load_config(config[0])
+    files = own["datasets"]["orders"]
+    files |= {"types": {"o_orderkey": "int"}, "unique": ["o_orderkey"], "transform_script": "SELECT o_orderkey AS order_id FROM legacy"}
+    files["mappings"].append({"source": "o_clerk", "target": "clerk_hash", "type": "transform", "rationale": "hash"})
+    by = {r["name"]: r for r in project.validate(spark, own, "orders", "pre")["results"]}
+    assert by["frame_schema"]["status"] == "PASS" and by["frame_schema"]["penalty"] == 0
+    assert by["etl_tests"]["penalty"] == 4 and {i["test"] for i in by["etl_tests"]["details"]["issues"]} == {"transform_source_missing", "pii_hash_missing"}
+
+
+def test_children_and_references_that_fail(spark, config, sf_dir):
+    own = project.load_config(config[0])
+    lines = {"connection": "files", "path": f"{sf_dir}/lineitem.parquet", "column": "l_orderkey"}
+    lost = {"connection": "files", "path": "/nowhere.parquet", "column": "x"}
+    own["datasets"]["orders"] |= {"children": [lines], "references": []}
+    d = project.Dataset.open(spark, own, "orders")
+    orphans = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 97 = 0").select("l_orderkey").distinct().count()
+    assert orphans and project.check_references(d).details["checks"] == [{"column": "l_orderkey", "orphans": orphans}]
+    assert project.check_normalization(d).penalty == 10
+    d.config["references"] = [{"column": "customer_id", "parent": lost}]
+    bad = project.check_references(d)
+    assert bad.status == "WARN" and bad.penalty == 0 and "error" in bad.details["checks"][0]
+
+
+def test_loads_resume_where_they_failed(spark, tmp_path):
+    from migcheck.plans import loading
+
+    good, bad = spark.range(3), spark.range(2).selectExpr("raise_error('broken') AS id")
+    state = str(tmp_path / "state")
+    assert loading.load_state(spark, state).count() == 0
+    first = loading.resume_loads([("a", good, str(tmp_path / "a")), ("b", bad, str(tmp_path / "b"))], state)
+    assert first == {"a": "completed", "b": "failed"}
+    # a is not loaded again: its frame would fail now
+    assert loading.resume_loads([("a", bad, str(tmp_path / "a")), ("b", good, str(tmp_path / "b"))], state) == {"a": "completed", "b": "completed"}
+    assert {(r["table"], r["status"], r["rows"]) for r in loading.load_state(spark, state).collect()} == {("a", "completed", 3), ("b", "completed", 3)}
+
+
+def test_observation_and_ingestion_by_command(spark, config):
+    path, folder = config
+    assert main(["ingest", path, "--target", str(folder / "loaded")]) == 0
+    assert spark.read.parquet(str(folder / "loaded" / "orders")).count() > 0
+    watch = ["observe", path, "--baseline", str(folder / "base"), "--alerts", str(folder / "alerts"), "--now", "2026-01-01 00:00:00"]
+    assert main(watch) == 0 and main(watch) == 0  # nothing changed since the baseline
+    assert main(["prove", "--runs", str(folder / "runs")]) == 0
+
+
+def test_signoffs_are_kept(spark, tmp_path):
+    from migcheck.plans import runs
+
+    path = str(tmp_path / "log")
+    runs.append_signoff(spark, path, "2026-01-01", "orders", "pre", "a|b", True)
+    runs.append_signoff(spark, path, "2026-01-02", "parts", "pre", "c", False)
+    signed = runs.read_signoffs(spark.read.text(path).toDF("line"))
+    assert {(r.dataset, r.who, r.approved) for r in signed.collect()} == {("orders", "a b", True), ("parts", "c", False)}
+    known = spark.createDataFrame([("orders",), ("parts",), ("orders",)], "dataset string")
+    assert {tuple(r) for r in runs.signoff_gate(known, signed).collect()} == {("orders", True), ("parts", False)}
+
+
+def test_boolean_columns(spark):
+    from migcheck.operators import transforms
+
+    df = spark.createDataFrame([("y", "a", None, True), ("N", "T", None, False), (None, "F", None, None)], "a string, b string, c string, d boolean")
+    assert {r.column_name for r in transforms.boolean_columns(df).collect()} == {"a", "c", "d"}
+    assert transforms.boolean_columns(df.limit(0)).count() == 0
