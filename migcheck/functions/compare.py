@@ -19,6 +19,12 @@ SLASHES = r"^(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})$"
 WRITTEN = r"^([A-Za-z]+) +(\d{1,2}), +(\d{4})$"
 
 
+def shortened(value: Column, most: int, mark: str = "") -> Column:
+    """A text cut to ``most`` characters, with ``mark`` behind it where something was cut."""
+    text = value.cast("string")
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(mark))).otherwise(text)
+
+
 def parse_date(value: Column) -> Column:
     """The date of a text in one of the accepted forms, else null; two-digit years from 69 on are of the 1900s.
 

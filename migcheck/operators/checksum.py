@@ -30,7 +30,7 @@ def ordered_md5(df: DataFrame, column: str, most_rows: int = 1_000_000) -> DataF
 
     The text is built in one row, so larger columns are refused: use :func:`streamed_md5` or :func:`column_checksums`.
     """
-    if df.limit(most_rows + 1).count() > most_rows:
+    if df.count() > most_rows:
         raise ValueError(f"{column} has over {most_rows} rows; use column_checksums")
     ordered = F.transform(F.array_sort(F.collect_list(column)), lambda x: x.cast("string"))
     return df.agg(F.md5(F.array_join(ordered, "").cast("binary")).alias("checksum"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from migcheck.functions.compare import parsed, same_reading
+from migcheck.functions.compare import parsed, same_reading, shortened
 
 
 def row_count(legacy: DataFrame, modern: DataFrame) -> DataFrame:
@@ -86,10 +86,13 @@ def sample_compare(
 def sample_differences(
     legacy: DataFrame, modern: DataFrame, key: tuple[str, str], pairs: list[tuple[str, str]], n: int = 100, rows: int = 10, columns: int = 5, latest: tuple[str, str] | None = None
 ) -> DataFrame:
-    """(key, column_name, legacy, modern): the first ``columns`` differences of the first ``rows`` sampled records that differ."""
+    """(key, column_name, legacy, modern): the first ``columns`` differences of the first ``rows`` sampled records that differ.
+
+    Values are shown by their first 50 characters.
+    """
     _, old, new = sampled(legacy, modern, key, n)
     differ = matched(old, new, key, pairs, latest).where(~F.col("equal")).orderBy("key").limit(rows)
-    return differ.select("key", F.explode(F.slice("differences", 1, columns)).alias("d")).select("key", "d.column_name", "d.legacy", "d.modern")
+    return differ.select("key", F.explode(F.slice("differences", 1, columns)).alias("d")).select("key", "d.column_name", shortened(F.col("d.legacy"), 50).alias("legacy"), shortened(F.col("d.modern"), 50).alias("modern"))
 
 
 def compare_groups(legacy: DataFrame, modern: DataFrame, keys: list[str], values: list[str], tolerance: float = 0) -> DataFrame:

@@ -47,6 +47,43 @@ def cobol_rules(programs: DataFrame) -> DataFrame:
     return found.select("program", "line", F.coalesce("paragraph", F.lit("")).alias("paragraph"), "verb", kinds[F.col("verb")].alias("rule_type"), grave.alias("severity"))
 
 
+NAME = "[A-Z][A-Z0-9-]*"
+
+
+def program_layouts(programs: DataFrame, least: int = 2) -> DataFrame:
+    """program, record, n_fields, fields of the level-01 records with at least ``least`` fields that have a picture.
+
+    Fields are listed in their order; FILLER counts as one.  A record ends at the next level 01.
+    """
+    item = r"^\s*([0-9]{2})\s+(" + NAME + ")"
+    lines = program_lines(programs).where(F.col("text").rlike(item)).withColumns({"level": F.regexp_extract("text", item, 1), "name": F.regexp_extract("text", item, 2)})
+    before = W.partitionBy("program").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
+    placed = lines.withColumn("record", F.last(F.when(F.col("level") == "01", F.struct("line", "name")), ignorenulls=True).over(before))
+    inner = placed.where(F.col("record").isNotNull() & (F.col("level") != "01") & F.col("text").rlike(r"\bPIC(TURE)?\b"))
+    fields = F.transform(F.array_sort(F.collect_list(F.struct("line", "name"))), lambda x: x["name"])  # lines of one record
+    found = inner.groupBy("program", "record").agg(F.count("*").alias("n_fields"), F.array_join(fields, ",").alias("fields")).where(F.col("n_fields") >= least)
+    return found.select("program", F.col("record.name").alias("record"), "n_fields", "fields")
+
+
+def field_uses(programs: DataFrame) -> DataFrame:
+    """(program, field, mode): fields that MOVE, ADD, COMPUTE and IF statements of a procedure division read (r) or write (w)."""
+    lines = program_lines(programs)
+    start = F.min(F.when(F.contains("text", F.lit("PROCEDURE DIVISION")), F.col("line"))).over(W.partitionBy("program"))
+    text = F.regexp_replace("text", "'[^']*'", "0")
+    # Statement -> the fields it reads and those it writes, by the words around them.
+    forms = {
+        f"MOVE +({NAME}) +TO ": "r", f"MOVE +[^ ]+ +TO +({NAME})": "w", f"ADD +({NAME}) +TO ": "r", f"ADD +[^ ]+ +TO +({NAME})": "w",
+        f"COMPUTE +({NAME}) *=": "w", f"(?:=|[-+*/]) +({NAME})": "r", f"IF +({NAME})": "r",
+    }
+
+    def used(form: str, mode: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(form), F.lit(1)), lambda f: F.struct(f.alias("field"), F.lit(mode).alias("mode")))
+
+    found = [used(form, mode) for form, mode in forms.items()]
+    inside = lines.withColumn("start", start).where(F.col("line") > F.col("start"))
+    return inside.select("program", F.explode(F.concat(*found)).alias("x")).select("program", "x.field", "x.mode").distinct()
+
+
 def sql_tables(scripts: DataFrame) -> DataFrame:
     """(name, table, use): tables that a script reads or writes, by the words before them; comments are taken out first."""
     plain = F.lower(F.regexp_replace(F.regexp_replace("script", r"--[^\n]*", " "), r"(?s)/\*.*?\*/", " "))

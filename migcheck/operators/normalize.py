@@ -69,9 +69,10 @@ def normalization_plan(entities: DataFrame, lookups: DataFrame) -> DataFrame:
     """table, position, entity, role, key_column, parent, foreign_key of each entity, in the order of their making.
 
     Of a table's entities the main one with most columns (ties by prefix) is primary and the others are its
-    children; ``lookups`` (table, column_name) become tables of codes.
+    children; ``lookups`` (table, prefix, column_name) become tables of codes, named by the group and what they list.
     """
     base = F.regexp_replace(F.when(F.col("prefix") != "", F.col("prefix")).otherwise(F.col("table")), "s+$", "")
+    listed = F.when(F.col("bare").rlike("(stat|status)$"), "status").when(F.col("bare").rlike("(type|typ)$"), "type").when(F.col("bare").rlike("(code|cd)$"), "code")
     named = entities.withColumns({"base": base, "entity": F.when(F.col("part") == "main", base).otherwise(F.concat_ws("_", base, "part"))})
     first = W.partitionBy("table").orderBy(F.col("part") != "main", F.desc("n_columns"), "prefix", "part")  # entities of one table
     ranked = named.withColumns({"at": F.row_number().over(first), "parent": F.first("entity").over(first), "parent_base": F.first("base").over(first)})
@@ -81,6 +82,7 @@ def normalization_plan(entities: DataFrame, lookups: DataFrame) -> DataFrame:
         F.when(child, F.col("parent")).alias("parent"), F.when(child, F.concat("parent_base", F.lit("_id"))).alias("foreign_key"),
     )
     bare = F.regexp_replace(F.lower("column_name"), "^[a-z]{2,4}_", "")
-    codes = lookups.select("table", F.concat(F.lit("lu_"), bare).alias("entity"), F.lit("lookup").alias("role"), F.lit("code").alias("key_column"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    called = F.coalesce(F.concat("base", F.lit("_"), listed), F.concat("bare", F.lit("_lookup")))
+    codes = lookups.withColumns({"base": base, "bare": bare}).select("table", called.alias("entity"), F.lit("lookup").alias("role"), F.lit("code").alias("key_column"), F.lit(None).cast("string"), F.lit(None).cast("string"))
     rank = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role"))
     return own.union(codes).withColumn("position", F.row_number().over(W.partitionBy("table").orderBy(rank, "entity")))

@@ -39,17 +39,13 @@ def schema_diff(legacy: DataFrame, modern: DataFrame) -> DataFrame:
 def schema_penalty(diff: DataFrame, mappings: DataFrame) -> DataFrame:
     """Penalty and status: 4 for each column lost without a reason, 1 for archived, 5 for each type mismatch."""
     known = mappings.select(F.col("source").alias("column_name"), "type")
-    found = diff.join(F.broadcast(known), "column_name", "left") if _few(known) else diff.join(known, "column_name", "left")
+    found = diff.join(known, "column_name", "left")
     lost = F.when(F.col("type").isin("rename", "transform"), 0).when(F.col("type") == "archived", 1).otherwise(4)
     points = F.when(F.col("change") == "missing_in_modern", lost).when(F.col("change") == "type_mismatch", 5).otherwise(0)
     total = found.agg(F.sum(points).cast("long").alias("penalty"))
     return total.withColumn("status", F.when(F.col("penalty") == 0, "PASS").when(F.col("penalty") < 20, "WARN").otherwise("FAIL"))
 
 
-def _few(df: DataFrame, most: int = 100_000) -> bool:
-    return df.limit(most + 1).count() <= most
-
-
 def schema_drift(baseline: DataFrame, current: DataFrame) -> DataFrame:
     """column_name and change against a baseline: added, dropped or type_changed; no rows without drift."""
     renamed = {"missing_in_modern": "dropped", "missing_in_legacy": "added", "type_mismatch": "type_changed"}

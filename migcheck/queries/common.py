@@ -174,6 +174,12 @@ LITERALS: dict[str, tuple[str, list[tuple]]] = {
             ),
             ("PAYRUN", "       PROCEDURE DIVISION.\n           CALL 'SUB' USING X.\n       A-1.\n           EVALUATE KIND\n           ADD 1 TO N.\n           IF N > 3"),
             ("EMPTY", ""),
+            (
+                "LAYOUT",
+                "       DATA DIVISION.\n       01  CLAIM-REC.\n           05  CLAIM-ID    PIC 9(8).\n           05  CLAIM-DATES.\n               10  FROM-DT PIC X(8).\n               10  TO-DT   PIC X(8).\n"
+                "       01  FLAG-REC.\n           05  FLAG        PIC X.\n       01  PAY-REC.\n           05  AMT         PIC S9(7)V99 COMP-3.\n           05  FILLER      PIC X(3).\n"
+                "       PROCEDURE DIVISION.\n       MAIN.\n           MOVE CLAIM-ID TO PAY-ID.\n           MOVE 'X' TO FLAG.\n           COMPUTE AMT = RATE * WEEKS.\n           IF AMT > LIMIT\n           ADD AMT TO TOTAL.",
+            ),
         ],
     ),
     "scripts": (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from migcheck.functions import compare
 from migcheck.operators import checksum, comparing, governance, keys, reshape, schema
 from migcheck.plans import loading
 from migcheck.queries.common import MODERN, Registry, ctes, literal, modern_customer, modern_orders, table
@@ -311,6 +312,11 @@ def unpivot_groups(spark, sf_dir):
     return reshape.unpivot_groups(df, "c_custkey", {"primary": {"value": "c_name", "note": "c_mktsegment"}, "other": {"value": "other", "note": "none"}})
 
 
+@R.add("shorten", "SELECT p_partkey, CASE WHEN length(p_name) > 12 THEN p_name[:12] || '...' ELSE p_name END AS name, CAST(p_partkey AS VARCHAR)[:2] AS head FROM part")
+def shorten(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", compare.shortened(F.col("p_name"), 12, "...").alias("name"), compare.shortened(F.col("p_partkey"), 2).alias("head"))
+
+
 @R.add("rownum", "SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey)::INTEGER AS row_number FROM orders ORDER BY o_orderkey LIMIT 100")
 def rownum(spark, sf_dir):
     return reshape.numbered(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], 100)

@@ -279,6 +279,40 @@ def cobol_rules(spark, sf_dir):
     return legacy_code.cobol_rules(literal(spark, "programs"))
 
 
+_LINES = f"""WITH {ctes("programs")}, l AS (SELECT program, generate_subscripts(string_split(source, chr(10)), 1) AS line, unnest(string_split(source, chr(10))) AS raw FROM programs),
+    t AS (SELECT program, line, upper(rtrim(CASE WHEN length(raw) > 6 THEN substr(raw, 7, 66) ELSE raw END)) AS text FROM l WHERE substr(raw, 7, 1) <> '*')"""
+
+
+@R.add(
+    "program_layouts",
+    _LINES
+    + """, i AS (SELECT program, line, text, regexp_extract(text, '^ *([0-9][0-9]) +([A-Z][A-Z0-9-]*)', 1) AS level, regexp_extract(text, '^ *([0-9][0-9]) +([A-Z][A-Z0-9-]*)', 2) AS name FROM t),
+    h AS (SELECT *, last_value(CASE WHEN level = '01' THEN line END IGNORE NULLS) OVER (PARTITION BY program ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS head FROM i WHERE level <> '')
+    SELECT f.program, r.name AS record, count(*) AS n_fields, string_agg(f.name, ',' ORDER BY f.line) AS fields FROM h f JOIN h r ON r.program = f.program AND r.line = f.head
+    WHERE f.level <> '01' AND contains(f.text, ' PIC ') GROUP BY f.program, r.name, f.head HAVING count(*) >= 2""",
+)
+def program_layouts(spark, sf_dir):
+    return legacy_code.program_layouts(literal(spark, "programs"))
+
+
+_FIELD = "[A-Z][A-Z0-9-]*"
+
+
+@R.add(
+    "field_uses",
+    _LINES
+    + f""", s AS (SELECT program, min(line) AS start FROM t WHERE contains(text, 'PROCEDURE DIVISION') GROUP BY 1),
+    b AS (SELECT program, regexp_replace(text, chr(39) || '[^' || chr(39) || ']*' || chr(39), '0', 'g') AS x FROM t JOIN s USING (program) WHERE line > start),
+    u AS (SELECT program, unnest(regexp_extract_all(x, 'MOVE +({_FIELD}) +TO ', 1)) AS field, 'r' AS mode FROM b
+    UNION ALL SELECT program, unnest(regexp_extract_all(x, '(MOVE|ADD) +[^ ]+ +TO +({_FIELD})', 2)), 'w' FROM b UNION ALL SELECT program, unnest(regexp_extract_all(x, 'ADD +({_FIELD}) +TO ', 1)), 'r' FROM b
+    UNION ALL SELECT program, unnest(regexp_extract_all(x, 'COMPUTE +({_FIELD}) *=', 1)), 'w' FROM b UNION ALL SELECT program, unnest(regexp_extract_all(x, '[=*/+-] +({_FIELD})', 1)), 'r' FROM b
+    UNION ALL SELECT program, unnest(regexp_extract_all(x, 'IF +({_FIELD})', 1)), 'r' FROM b)
+    SELECT DISTINCT * FROM u""",
+)
+def field_uses(spark, sf_dir):
+    return legacy_code.field_uses(literal(spark, "programs"))
+
+
 @R.add(
     "sql_lineage",
     f"""WITH {ctes("scripts")}, c AS (SELECT name, lower(regexp_replace(regexp_replace(script, '--[^\\n]*', ' ', 'g'), '/[*].*?[*]/', ' ', 'gs')) AS s FROM scripts),

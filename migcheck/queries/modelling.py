@@ -64,11 +64,12 @@ def entity_keys(spark, sf_dir):
     r AS (SELECT *, CASE WHEN part = 'main' THEN base ELSE base || '_' || part END AS entity, row_number() OVER (PARTITION BY "table" ORDER BY part <> 'main', n_columns DESC, prefix, part) AS nth FROM based),
     o AS (SELECT r."table", r.entity, CASE WHEN r.nth = 1 THEN 'primary' ELSE 'child' END AS role, coalesce(r.key_column, r.entity || '_id') AS key_column,
         CASE WHEN r.nth > 1 THEN f.entity END AS parent, CASE WHEN r.nth > 1 THEN f.base || '_id' END AS foreign_key FROM r JOIN r f ON f."table" = r."table" AND f.nth = 1
-        UNION ALL SELECT 'flat', 'lu_' || regexp_replace(lower(source), '^[a-z]{{2,4}}_', ''), 'lookup', 'code', NULL, NULL FROM names WHERE contains(source, '_stat'))
+        UNION ALL SELECT "table", CASE WHEN contains(column_name, '_stat') THEN regexp_replace(CASE WHEN prefix <> '' THEN prefix ELSE "table" END, 's+$', '') || '_status'
+            ELSE regexp_replace(lower(column_name), '^[a-z]{{2,4}}_', '') || '_lookup' END, 'lookup', 'code', NULL, NULL FROM p WHERE regexp_matches(column_name, '_(stat|zip)'))
     SELECT *, row_number() OVER (PARTITION BY "table" ORDER BY CASE role WHEN 'lookup' THEN 1 WHEN 'primary' THEN 2 ELSE 3 END, entity)::INTEGER AS position FROM o""",
 )
 def normalization_plan(spark, sf_dir):
-    return normalize.normalization_plan(entity_keys(spark, sf_dir), _flat(spark).where("contains(column_name, '_stat')"))
+    return normalize.normalization_plan(entity_keys(spark, sf_dir), sub_entities(spark, sf_dir).where("column_name RLIKE '_(stat|zip)'"))
 
 
 _SCHEMA_NAMES = ", ".join(map(str, names.SCHEMA_NAMES.items()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,24 @@ def deduplicated(events: DataFrame, keys: list[str], watermark: str = "2 hours")
     return events.dropDuplicates(keys)
 
 
+def observe_stream(rows: DataFrame, name: str, baseline: DataFrame, now: str, path: str, checkpoint: str, every: str | None = None, callbacks: list[Callable] = ()):
+    """Start a query that holds every batch against a stored baseline (schema, volume, freshness at ``now``).
+
+    Alerts go to ``path`` and to the callbacks.  With ``every`` (such as "5 minutes") it goes on, else it ends with the data at hand.
+    """
+    from migcheck.plans import observer
+
+    def check(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            observer.dispatch(observer.observe({name: batch}, baseline, now), path, callbacks)
+        finally:
+            batch.unpersist()
+
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return rows.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def watch(events: DataFrame, baseline_rows: int, path: str, checkpoint: str, threshold: float = 0.3):
     """Start a query that appends a volume check of every batch to ``path``."""
     from migcheck.plans.monitor import volume_anomaly

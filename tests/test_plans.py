@@ -92,3 +92,19 @@ def test_stream_equals_batch(spark, sf_dir):
     checks = spark.read.parquet(out)
     assert checks.agg(F.sum("n_rows")).first()[0] == batch.count() and checks.first().is_anomaly
     assert events.deduplicated(batch.union(batch), ["event_id"]).count() == batch.select("event_id").distinct().count()
+
+
+def test_stream_is_held_against_its_baseline(spark, tmp_path):
+    from migcheck.plans import observer
+
+    before = spark.range(100).selectExpr("id", "id % 3 AS kind", "'x' AS gone")
+    observer.save_baseline({"rows": before}, str(tmp_path / "base"))
+    spark.range(10).selectExpr("id", "id % 3 AS kind", "timestamp'2025-12-31 12:00:00' AS updated_at").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, kind long, updated_at timestamp").parquet(str(tmp_path / "in"))
+    seen = []
+    query = events.observe_stream(
+        stream, "rows", observer.load_baseline(spark, str(tmp_path / "base")), "2026-01-01 00:00:00", str(tmp_path / "alerts"), str(tmp_path / "state"), callbacks=[lambda check, row: seen.append((check, row["detail"]))]
+    )
+    query.awaitTermination(120)
+    assert seen == [("schema_drift", "added:updated_at,dropped:gone"), ("volume_anomaly", "90.0")]
+    assert spark.read.json(str(tmp_path / "alerts")).count() == 2
