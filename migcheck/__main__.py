@@ -5,12 +5,10 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from migcheck import project as p
 from migcheck.operators.profile import column_profile
-from migcheck.plans import loading, observer
 from migcheck.plans.runs import latest_runs, run_status
 from migcheck.plans.scoring import proof_score
 
@@ -49,16 +47,9 @@ def main(args: list[str] | None = None) -> int:
         return 0
     config = p.load_config(own.project)
     if own.command == "observe":
-        tables = {name: p.Dataset.open(spark, config, name).modern for name in config["datasets"]}
-        try:
-            before = observer.load_baseline(spark, own.baseline)
-        except AnalysisException:  # the first observation
-            observer.save_baseline(tables, own.baseline)
-            return 0
-        return int(observer.dispatch(observer.observe(tables, before, own.now), own.alerts) > 0)
+        return int(p.observe(spark, config, own.baseline, own.now, own.alerts) > 0)
     if own.command == "ingest":
-        steps = [(name, p.Dataset.open(spark, config, name).legacy, f"{own.target}/{name}") for name in config["datasets"]]
-        state = loading.resume_loads(steps, f"{own.target}/_state")
+        state = p.ingest(spark, config, own.target)
         print(state)
         return int("failed" in state.values())
     if own.command == "profile":

@@ -8,10 +8,12 @@ from dataclasses import dataclass, field
 
 @dataclass
 class Plugins:
-    """Readers by source type, data-quality rules and aggregates by dataset, validators by phase, score adjusters, drift callbacks.
+    """Readers by source type, data-quality rules and aggregates by dataset, validators by phase, score adjusters, callbacks.
 
     A rule is a SQL predicate that no row should meet; a validator takes (spark, legacy, modern, config)
-    and returns a result; an adjuster takes (phase, score, results) and returns a score or None.
+    and returns a result; an adjuster takes (phase, score, results) and returns a score or None.  An observer check
+    takes (spark, name, table) and returns findings as those of the observer; a drift callback takes (check, finding),
+    a load callback (table, status), and a report section the run, for which it returns lines.
     """
 
     readers: dict[str, Callable] = field(default_factory=dict)
@@ -21,6 +23,9 @@ class Plugins:
     validators: dict[str, list[Callable]] = field(default_factory=lambda: {"pre": [], "post": []})
     score_adjusters: list[Callable] = field(default_factory=list)
     on_drift: list[Callable] = field(default_factory=list)
+    observer_checks: list[Callable] = field(default_factory=list)
+    post_ingest: list[Callable] = field(default_factory=list)
+    report_sections: list[Callable] = field(default_factory=list)
 
     def adjusted(self, phase: str, score: float, results: list) -> float:
         """The score after all adjusters; the last that returns a number counts."""

@@ -10,12 +10,13 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from migcheck.operators import checksum, comparing, governance, inference, keys, profile, schema, transforms
-from migcheck.plans import loading
+from migcheck.plans import loading, observer
 from migcheck.plugins import Plugins
 from migcheck.sources.tables import read_source
 
@@ -254,7 +255,37 @@ def validate(spark: SparkSession, project: dict, name: str, phase: str, plugins:
     return {"dataset": name, "phase": phase, "score": score, "status": status, "results": [asdict(r) for r in results]}
 
 
-def write_report(run: dict, folder: str) -> str:
+def observe(spark: SparkSession, project: dict, baseline: str, now: str, alerts: str, plugins: Plugins | None = None) -> int:
+    """Hold every dataset's modern table against the stored baseline and hand on the alerts; how many there were.
+
+    Without a stored baseline it is written, and nothing is observed.
+    """
+    plugins = plugins or Plugins()
+    tables = {name: Dataset.open(spark, project, name, plugins).modern for name in project["datasets"]}
+    try:
+        before = observer.load_baseline(spark, baseline)
+    except AnalysisException:  # the first observation
+        observer.save_baseline(tables, baseline)
+        return 0
+    findings = observer.observe(tables, before, now)
+    for check in plugins.observer_checks:
+        for name, df in tables.items():
+            findings = findings.unionByName(check(spark, name, df))
+    return observer.dispatch(findings, alerts, plugins.on_drift)
+
+
+def ingest(spark: SparkSession, project: dict, target: str, plugins: Plugins | None = None) -> dict[str, str]:
+    """Load the legacy side of every dataset that is not loaded yet below ``target``; status by dataset."""
+    plugins = plugins or Plugins()
+    steps = [(name, Dataset.open(spark, project, name, plugins).legacy, f"{target}/{name}") for name in project["datasets"]]
+    state = loading.resume_loads(steps, f"{target}/_state")
+    for callback in plugins.post_ingest:
+        for name, status in state.items():
+            callback(name, status)
+    return state
+
+
+def write_report(run: dict, folder: str, plugins: Plugins | None = None) -> str:
     """Write a run's metadata, findings and a readable report into a folder of its own."""
     path = os.path.join(folder, f"run_{datetime.now(timezone.utc):%Y-%m-%d_%H-%M-%S}_{uuid.uuid4().hex[:6]}")
     os.makedirs(path)
@@ -262,6 +293,7 @@ def write_report(run: dict, folder: str) -> str:
         json.dump(run | {"timestamp": datetime.now(timezone.utc).isoformat()}, file, indent=1, default=str)
     lines = [f"# {run['dataset']}, {run['phase']}: {run['score']} {run['status']}", "", "| Check | Status | Penalty | Severity |", "|---|---|---|---|"]
     lines += [f"| {r['name']} | {r['status']} | {r['penalty']} | {r['severity']} |" for r in run["results"]]
+    lines += [line for section in (plugins or Plugins()).report_sections for line in section(run)]
     with open(os.path.join(path, "report.md"), "w") as file:
         file.write("\n".join(lines) + "\n")
     return path

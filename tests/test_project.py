@@ -133,3 +133,21 @@ def test_boolean_columns(spark):
     df = spark.createDataFrame([("y", "a", None, True), ("N", "T", None, False), (None, "F", None, None)], "a string, b string, c string, d boolean")
     assert {r.column_name for r in transforms.boolean_columns(df).collect()} == {"a", "c", "d"}
     assert transforms.boolean_columns(df.limit(0)).count() == 0
+
+
+def test_extension_points(spark, config, tmp_path):
+    from pyspark.sql import functions as F
+
+    own, drifted, loaded = project.load_config(config[0]), [], []
+
+    def too_many(spark, name, df):
+        n = df.agg(F.count("*").alias("n"))
+        return n.select(F.lit("too_many").alias("check"), F.lit(name).alias("table"), F.lit("LOW").alias("severity"), (F.col("n") > 1).alias("alert"), F.col("n").cast("string").alias("detail"))
+
+    plugins = Plugins(on_drift=[lambda check, row: drifted.append(check)], observer_checks=[too_many], post_ingest=[lambda *a: loaded.append(a)], report_sections=[lambda run: ["## Own", run["dataset"]]])
+    args = (spark, own, str(tmp_path / "base"), "2026-01-01 00:00:00", str(tmp_path / "alerts"), plugins)
+    assert project.observe(*args) == 0 and project.observe(*args) == 1 and drifted == ["too_many"]
+    assert project.ingest(spark, own, str(tmp_path / "loaded"), plugins) == {"orders": "completed"} and loaded == [("orders", "completed")]
+    path = project.write_report({"dataset": "orders", "phase": "pre", "score": 1.0, "status": "RED", "results": []}, str(tmp_path), plugins)
+    with open(f"{path}/report.md") as file:
+        assert file.read().endswith("## Own\norders\n")
