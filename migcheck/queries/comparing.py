@@ -46,25 +46,41 @@ def _checksum_sql(rows: str, column: str) -> str:
     )
 
 
+@R.add(
+    "column_checksum",
+    f"""WITH {MODERN}, l AS ({_checksum_sql("orders", "o_orderkey")} UNION ALL {_checksum_sql("orders", "o_orderstatus")}),
+    m AS ({_checksum_sql("m_orders", "order_id")} UNION ALL {_checksum_sql("m_orders", "order_status")}),
+    p AS (SELECT * FROM (VALUES ('o_orderkey', 'order_id'), ('o_orderstatus', 'order_status')) AS v(source, target))
+    SELECT source, target, l.n AS legacy_n, m.n AS modern_n, l.checksum AS legacy_checksum, m.checksum AS modern_checksum,
+        l.checksum = m.checksum AS matches FROM p JOIN l ON l.column_name = source JOIN m ON m.column_name = target""",
+)
+def column_checksum(spark, sf_dir):
+    return _compare_checksums(spark, sf_dir, [("o_orderkey", "order_id"), ("o_orderstatus", "order_status")])
+
+
+def _compare_checksums(spark, sf_dir, mapped):
+    orders = table(spark, sf_dir, "orders")
+    pairs = spark.createDataFrame(mapped, "source string, target string")
+    old = checksum.column_checksums(orders, [a for a, _ in mapped]).toDF("source", "legacy_n", "legacy_checksum")
+    new = checksum.column_checksums(modern_orders(orders), [b for _, b in mapped]).toDF("target", "modern_n", "modern_checksum")
+    return pairs.join(old, "source").join(new, "target").withColumn("matches", F.col("legacy_checksum") == F.col("modern_checksum"))
+
+
 _MAPPED = [
     ("o_orderkey", "order_id"), ("o_custkey", "customer_id"), ("o_orderstatus", "order_status"), ("o_totalprice", "total_price"), ("o_orderdate", "ordered_at"),
 ]
 
 
 @R.add(
-    "column_checksum",
+    "column_checksum_all",
     f"""WITH {MODERN}, l AS ({" UNION ALL ".join(_checksum_sql("orders", a) for a, _ in _MAPPED)}),
     m AS ({" UNION ALL ".join(_checksum_sql("m_orders", b) for _, b in _MAPPED)}),
     p AS (SELECT * FROM (VALUES {", ".join(map(str, _MAPPED))}) AS v(source, target))
     SELECT source, target, l.n AS legacy_n, m.n AS modern_n, l.checksum AS legacy_checksum, m.checksum AS modern_checksum,
         l.checksum = m.checksum AS matches FROM p JOIN l ON l.column_name = source JOIN m ON m.column_name = target""",
 )
-def column_checksum(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    pairs = spark.createDataFrame(_MAPPED, "source string, target string")
-    old = checksum.column_checksums(orders, [a for a, _ in _MAPPED]).toDF("source", "legacy_n", "legacy_checksum")
-    new = checksum.column_checksums(modern_orders(orders), [b for _, b in _MAPPED]).toDF("target", "modern_n", "modern_checksum")
-    return pairs.join(old, "source").join(new, "target").withColumn("matches", F.col("legacy_checksum") == F.col("modern_checksum"))
+def column_checksum_all(spark, sf_dir):
+    return _compare_checksums(spark, sf_dir, _MAPPED)
 
 
 @R.add("column_checksum_md5", "SELECT md5(string_agg(CAST(c_custkey AS VARCHAR), '' ORDER BY c_custkey)) AS checksum FROM customer")
