@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from migcheck.llm import decontaminate, jaccard_join, license_scan, oracles, packing, repetition, sanitise, sharding, token_orc, toxicity, warc
+from migcheck.llm import best_fit, collocations, decontaminate, jaccard_join, license_scan, oracles, packing, repetition, sanitise, sharding, spelling, token_orc, toxicity, warc
 from migcheck.llm.shared import materialise, shared_dir, table
 
 
@@ -103,6 +103,22 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge(repetition.measure(table(spark, sf_dir, "documents"))).drop("spans")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their spelling variants."""
+    return spelling.group(table(spark, sf_dir, "documents"))
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in as few sequences of at most 2048 tokens as best fit gives."""
+    pieces = best_fit.encode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=0)
+    return best_fit.place(binary_crc32(pieces, "ids", "ids_crc32")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language in all documents."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
     "op2_sanitise": op2_sanitise,
@@ -114,10 +130,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_decontaminate": op9_decontaminate,
     "op10_repetition": op10_repetition,
+    "op11_spelling": op11_spelling,
+    "op12_best_fit": op12_best_fit,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
     "op3_jaccard_join": oracles.JACCARD,
     "op6_warc": oracles.WARC,
     "op9_decontaminate": oracles.DECONTAMINATE,
+    "op11_spelling": oracles.SPELLING,
+    "op13_collocations": oracles.COLLOCATIONS,
 }
