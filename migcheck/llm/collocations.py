@@ -1,11 +1,11 @@
 """Phrases that stand together more often than their parts let expect, mined from position bitmaps.
 
-A shard is a run of pieces of text of one task.  For each of its words it holds a compressed bitmap of
-the positions where the word stands: the numbers of the 64-position blocks that are not empty, and their
-bits.  A phrase's bitmap (of the positions of its last word) is shifted by one position, cleared where a
-piece begins, and ANDed with the bitmap of a word that may follow; the bits left over are the longer
-phrase's occurrences in the shard.  Phrases are extended depth-first and their popcounts summed over
-all shards.
+A shard is a run of documents of one task.  For each of its words it holds a compressed bitmap of the
+positions where the word stands: the numbers of the 64-position blocks that are not empty, and their bits
+(sets of few positions are plain lists, as in other compressed bitmaps).  A phrase's bitmap (of the
+positions of its last word) is shifted by one position, cleared where a piece begins, and ANDed with the
+bitmap of a word that may follow; the bits left over are the longer phrase's occurrences in the shard.
+Phrases are extended depth-first and their popcounts summed over all shards.
 
 A phrase can be frequent only if its words and word pairs are.  Three passes over the texts use that:
 words are counted, then pairs of frequent words, then phrases out of frequent pairs.  What is frequent
@@ -13,7 +13,7 @@ reaches the shards as a bit table of a fixed size, indexed by hashes: it lets ev
 through and some others, whose counts are then found too small, so results never depend on its size.
 
 Defined cases: a null text has no words, a null language is ``und``; a document's id plays no part, so
-repeated rows count each; texts of any length are cut at piece ends only; ties are broken as stated by
+repeated rows count each; texts of any length are read whole; ties are broken as stated by
 :func:`rank`; an empty table gives no phrases; further columns are ignored.
 """
 
@@ -36,9 +36,12 @@ WRITTEN = bytes(
     ord("\n") if c in b".,;:!?\x0a\x0b\x0c\x0d" else ord(" ") if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256)
 )
 
-#: Words of a shard, more or less; it ends with the piece that reaches it.
+#: Words of a shard, more or less; it ends with the document that reaches it.
 SHARD_WORDS = 2_000_000
 
+#: Up to so many positions are held as a list.
+FEW = 64
+
 #: The bit tables have 2 ** FILTER_BITS bits (16 MB), whatever the size of the corpus.
 FILTER_BITS = 27
 
@@ -56,20 +59,21 @@ def bitmap(positions: np.ndarray) -> Bitmap:
     return block[first], np.bitwise_or.reduceat(bit, first) if len(first) else bit
 
 
-def shifted(bits: Bitmap) -> Bitmap:
-    """Every position moved on by one, over the ends of blocks."""
+def following(bits: Bitmap, marks: np.ndarray) -> Bitmap:
+    """Every position moved on by one, over the ends of blocks, where the dense ``marks`` allow the new one."""
     block, word = bits
-    over = np.flatnonzero(word >> LAST)
-    word = word << ONE
+    over = block[(word >> LAST) != 0] + 1
+    over = over[(marks[over] & ONE) != 0]
+    word = (word << ONE) & marks[block]
+    some = np.flatnonzero(word)
+    block, word = block[some], word[some]
     if len(over):
-        into = block[over] + 1
-        at = np.searchsorted(block, into)
-        known = (at < len(block)) & (block[np.minimum(at, len(block) - 1)] == into)
-        word[at[known]] |= ONE
-        if not known.all():
-            block, word = np.insert(block, at[~known], into[~known]), np.insert(word, at[~known], ONE)
-    some = word != 0
-    return (block, word) if some.all() else (block[some], word[some])
+        block, word = np.concatenate([block, over]), np.concatenate([word, np.ones(len(over), np.uint64)])
+        order = np.argsort(block, kind="stable")
+        block, word = block[order], word[order]
+        first = np.flatnonzero(np.diff(block, prepend=-1))
+        block, word = block[first], np.bitwise_or.reduceat(word, first)
+    return block, word
 
 
 def both(left: Bitmap, right: Bitmap) -> Bitmap:
@@ -103,63 +107,63 @@ def dense(marks: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """The words of a run of pieces by position: numbers into ``names`` (of (language, word))."""
+    """The words of a run of documents by position: numbers into ``names`` (of (language, word))."""
 
-    def __init__(self, names: list[tuple[str, bytes]], words: np.ndarray, starts: np.ndarray):
+    def __init__(self, names: list[tuple[str, bytes]], words: np.ndarray, goes_on: np.ndarray):
         self.names, self.words = names, words
+        self.goes_on = goes_on  # the word before stands in the same piece
         self.crc = np.array([zlib.crc32(word, zlib.crc32(lang.encode() + b"\0")) for lang, word in names], dtype=np.int64)
-        self.goes_on = np.ones(len(words), dtype=bool)  # the word before stands in the same piece
-        self.goes_on[starts] = False
 
-    def bitmaps(self, wanted: np.ndarray) -> dict[int, Bitmap]:
-        """The bitmaps of the words that ``wanted`` marks."""
+    def occurrences(self, wanted: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """The words that ``wanted`` marks, with their rising positions."""
         at = np.flatnonzero(wanted[self.words])
         at = at[np.argsort(self.words[at], kind="stable")]
-        ends = np.flatnonzero(np.diff(self.words[at], append=-1)) + 1
-        return {int(self.words[run[0]]): bitmap(run) for run in np.split(at, ends[:-1]) if len(run)}
+        first = np.flatnonzero(np.diff(self.words[at], prepend=-1))
+        return zip(self.words[at[first]].tolist(), np.split(at, first[1:]))
 
 
-def following(bits: Bitmap, marks: np.ndarray) -> Bitmap:
-    """The positions behind those of ``bits`` that the dense ``marks`` allow."""
-    block, word = shifted(bits)
-    word = word & marks[block]
-    some = np.flatnonzero(word)
-    return block[some], word[some]
+class Numbers(dict):
+    """Numbers of the words of one language; new words are added to ``names``."""
+
+    def __init__(self, lang: str, names: list[tuple[str, bytes]]):
+        super().__init__({b"": NOTHING, b"\n": PIECE_END})
+        self.lang, self.names = lang, names
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self.names)
+        self.names.append((self.lang, word))
+        return number
+
+
+NOTHING, PIECE_END = -2, -1
 
 
 def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
     """The texts of ``batches`` (lang, text) as shards."""
-    numbers: dict[str, dict[bytes, int]] = {}
+    numbers: dict[str, Numbers] = {}
     names: list[tuple[str, bytes]] = []
     parts: list[np.ndarray] = []
-    starts: list[int] = []
     n = 0
 
     def done() -> Shard:
-        return Shard(names, np.concatenate(parts), np.array(starts, dtype=np.int64))
+        found = np.concatenate(parts)
+        piece = np.cumsum(found == PIECE_END)
+        is_word = found >= 0
+        return Shard(names, found[is_word], np.diff(piece[is_word], prepend=-1) == 0)
 
     for batch in sliced(batches):
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"]):
             if not text.is_valid:
                 continue
-            for piece in text.as_buffer().to_pybytes().translate(WRITTEN).split(b"\n"):
-                words = piece.split(b" ")
-                if b"" in words:
-                    words = [w for w in words if w]
-                if not words:
-                    continue
-                known = numbers.setdefault(lang, {})
-                for word in words:
-                    if word not in known:
-                        known[word] = len(names)
-                        names.append((lang, word))
-                parts.append(np.array([known[word] for word in words], dtype=np.int32))
-                starts.append(n)
-                n += len(words)
-                if n >= SHARD_WORDS:
-                    yield done()
-                    numbers, names, parts, starts, n = {}, [], [], [], 0
-    if n:
+            words = text.as_buffer().to_pybytes().translate(WRITTEN).replace(b"\n", b" \n ").split(b" ")
+            if lang not in numbers:
+                numbers[lang] = Numbers(lang, names)
+            parts += [np.fromiter(map(numbers[lang].__getitem__, words), np.int32, len(words)), np.array([PIECE_END], np.int32)]
+            n += len(words)
+            if n >= SHARD_WORDS:
+                yield done()
+                numbers, names, parts, n = {}, [], [], 0
+    if names:
         yield done()
 
 
@@ -225,73 +229,89 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def frequent_pairs(docs: DataFrame, words: np.ndarray, least: int) -> DataFrame:
-    """key: the pairs of words (by hash) that stand side by side at least ``least`` times.
+    """key: the pairs of words (by hash) of the bit table ``words`` that stand side by side at least ``least`` times.
 
-    All words that may follow are ANDed at once: their bitmaps do not overlap, so the popcounts of all
-    ANDs are the counts of the words at the bits of the shifted bitmap.
+    This only prunes the search: all pairs of a shard are counted at once from its positions.
     """
     held = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches):
-            wanted = is_in(held.value, shard.crc)
-            marks = dense(shard.goes_on & wanted[shard.words])
-            keys, counts, size = [], [], 0
-            for word, bits in shard.bitmaps(wanted).items():
-                after, n = np.unique(shard.words[positions(following(bits, marks))], return_counts=True)
-                keys.append(pair_key(shard.crc[word], shard.crc[after]))
-                counts.append(n)
-                size += len(n)
-                if size >= 50_000:
-                    yield pairs(keys, counts)
-                    keys, counts, size = [], [], 0
-            if size:
-                yield pairs(keys, counts)
-
-    def pairs(keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(counts).astype(np.int32))], names=["key", "n"])
+            at = np.flatnonzero(of_pairs(shard, is_in(held.value, shard.crc)))
+            keys, n = np.unique(pair_key(shard.crc[shard.words[at - 1]], shard.crc[shard.words[at]]), return_counts=True)
+            yield from pa.table([pa.array(keys), pa.array(n.astype(np.int32))], names=["key", "n"]).to_batches(max_chunksize=50_000)
 
     found = texts_of(docs).mapInArrow(run, "key long, n int")
     return found.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
 
 
-def phrases_of(shard: Shard, words: np.ndarray, pairs: np.ndarray, longest: int) -> Iterator[tuple[tuple[str, bytes], int]]:
+def of_pairs(shard: Shard, wanted: np.ndarray) -> np.ndarray:
+    """Marks of the positions where a wanted word stands behind another one in the same piece."""
+    out = shard.goes_on & wanted[shard.words]
+    out[1:] &= wanted[shard.words[:-1]]
+    return out
+
+
+Found = tuple[tuple[str, bytes], int]
+
+
+def phrases_of(shard: Shard, words: np.ndarray, pairs: np.ndarray, longest: int) -> Iterator[Found]:
     """((language, phrase), popcount) of the phrases of 2 to ``longest`` words out of the pairs in the table ``pairs``."""
-    wanted = is_in(words, shard.crc)
-    of_pairs = shard.goes_on & wanted[shard.words]
-    of_pairs[1:] &= wanted[shard.words[:-1]]
-    at = np.flatnonzero(of_pairs)
-    of_pairs[at] = is_in(pairs, pair_key(shard.crc[shard.words[at - 1]], shard.crc[shard.words[at]]))
-    marks, goes_on = dense(of_pairs), of_pairs.tobytes()
-    wanted[:] = False
-    wanted[shard.words[np.flatnonzero(of_pairs)]] = wanted[shard.words[np.flatnonzero(of_pairs) - 1]] = True
-    maps, names = shard.bitmaps(wanted), shard.names
-
-    def extend(bits: Bitmap, phrase: bytes, size: int) -> Iterator[tuple[tuple[str, bytes], int]]:
+    second = of_pairs(shard, is_in(words, shard.crc))
+    at = np.flatnonzero(second)
+    second[at] = is_in(pairs, pair_key(shard.crc[shard.words[at - 1]], shard.crc[shard.words[at]]))
+    at = np.flatnonzero(second)
+    wanted = np.zeros(len(shard.names), dtype=bool)
+    wanted[shard.words[at]] = wanted[shard.words[at - 1]] = True
+    marks, is_second = dense(second), second.tobytes() + b"\0"
+    names, number = shard.names, memoryview(shard.words)
+    maps: dict[int, Bitmap] = {}
+
+    def extend(bits: Bitmap, phrase: bytes, size: int) -> Iterator[Found]:
         follow = following(bits, marks)
-        if not len(follow[0]):
-            return
         behind = positions(follow)
-        found, first, n = np.unique(shard.words[behind], return_index=True, return_counts=True)
-        for word, at, count in zip(found.tolist(), behind[first].tolist(), n.tolist()):
+        if len(behind) <= FEW:
+            yield from grouped(behind.tolist(), phrase, size)
+            return
+        order = np.argsort(shard.words[behind], kind="stable")
+        behind = behind[order]
+        first = np.flatnonzero(np.diff(shard.words[behind], prepend=-1))
+        for word, n, run in zip(shard.words[behind[first]].tolist(), np.diff(first, append=len(behind)).tolist(), np.split(behind, first[1:])):
             lang, text = names[word]
             longer = phrase + b" " + text
-            if size + 1 == longest:  # nothing extends it, so the count of the AND of all words at once is enough
-                yield (lang, longer), count
-            elif count == 1:  # a bitmap of one bit: the words behind it are read off
-                yield (lang, longer), 1
-                for at in range(at + 1, min(at + longest - size, len(goes_on))):
-                    if not goes_on[at]:
-                        break
-                    longer += b" " + names[shard.words[at]][1]
-                    yield (lang, longer), 1
-            else:
+            if n > FEW and size + 1 < longest:
                 child = both(follow, maps[word])
                 yield (lang, longer), n_set(child)
                 yield from extend(child, longer, size + 1)
-
+            else:  # the words' bitmaps do not overlap, so the AND with each of them leaves its own run of positions
+                yield (lang, longer), n
+                if size + 1 < longest:
+                    yield from extend_few(run.tolist(), longer, size + 1)
+
+    def extend_few(at: list[int], phrase: bytes, size: int) -> Iterator[Found]:
+        return grouped([p + 1 for p in at if is_second[p + 1]], phrase, size)
+
+    def grouped(behind: list[int], phrase: bytes, size: int) -> Iterator[Found]:
+        runs: dict[int, list[int]] = {}
+        for p in behind:
+            runs.setdefault(number[p], []).append(p)
+        for word, run in runs.items():
+            lang, text = names[word]
+            longer = phrase + b" " + text
+            yield (lang, longer), len(run)
+            if size + 1 < longest:
+                yield from extend_few(run, longer, size + 1)
+
+    few = []
+    for word, run in shard.occurrences(wanted):
+        if len(run) > FEW:
+            maps[word] = bitmap(run)
+        else:
+            few.append((word, run))
     for word, bits in maps.items():
         yield from extend(bits, names[word][1], 1)
+    for word, run in few:
+        yield from extend_few(run.tolist(), names[word][1], 1)
 
 
 def phrase_counts(docs: DataFrame, words: np.ndarray, pairs: np.ndarray, longest: int = LONGEST) -> DataFrame:
