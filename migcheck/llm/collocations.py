@@ -1,16 +1,16 @@
 """Phrases that stand together more often than their parts let expect, mined from position bitmaps.
 
-A shard is a run of documents of one task.  For each of its words it holds a compressed bitmap of the
+A shard is a run of documents of one language and task.  For each of its words it holds a compressed bitmap of the
 positions where the word stands: the numbers of the 64-position blocks that are not empty, and their bits
 (sets of few positions are plain lists, as in other compressed bitmaps).  A phrase's bitmap (of the
 positions of its last word) is shifted by one position, cleared where a piece begins, and ANDed with the
 bitmap of a word that may follow; the bits left over are the longer phrase's occurrences in the shard.
 Phrases are extended depth-first and their popcounts summed over all shards.
 
-A phrase can be frequent only if its words and word pairs are.  Three passes over the texts use that:
-words are counted, then pairs of frequent words, then phrases out of frequent pairs.  What is frequent
-reaches the shards as a bit table of a fixed size, indexed by hashes: it lets every frequent word or pair
-through and some others, whose counts are then found too small, so results never depend on its size.
+A phrase can be frequent only if its words, pairs and triples of words are.  Three passes over the texts
+find those and prune the search, which is the fourth.  What is frequent reaches the shards as a bit table
+of a fixed size, indexed by hashes: it lets every frequent run through and some others, whose counts are
+then found too small, so results never depend on its size.
 
 Defined cases: a null text has no words, a null language is ``und``; a document's id plays no part, so
 repeated rows count each; texts of any length are read whole; ties are broken as stated by
@@ -20,12 +20,12 @@ repeated rows count each; texts of any length are read whole; ties are broken as
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +36,8 @@ WRITTEN = bytes(
     ord("\n") if c in b".,;:!?\x0a\x0b\x0c\x0d" else ord(" ") if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256)
 )
 
-#: Words of a shard, more or less; it ends with the document that reaches it.
-SHARD_WORDS = 2_000_000
+#: Bytes of text that a task cuts into shards (one a language), more or less; they end with the document that reaches it.
+SHARD_BYTES = 16 << 20
 
 #: Up to so many positions are held as a list.
 FEW = 64
@@ -46,7 +46,7 @@ FEW = 64
 FILTER_BITS = 27
 
 LONGEST = 4
-SPREAD = np.uint64(0x9E3779B97F4A7C15)
+SPREAD, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 ONE, LAST = np.uint64(1), np.uint64(63)
 
 Bitmap = tuple[np.ndarray, np.ndarray]  # numbers of the non-empty blocks, rising; their bits
@@ -107,12 +107,17 @@ def dense(marks: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """The words of a run of documents by position: numbers into ``names`` (of (language, word))."""
-
-    def __init__(self, names: list[tuple[str, bytes]], words: np.ndarray, goes_on: np.ndarray):
-        self.names, self.words = names, words
-        self.goes_on = goes_on  # the word before stands in the same piece
-        self.crc = np.array([zlib.crc32(word, zlib.crc32(lang.encode() + b"\0")) for lang, word in names], dtype=np.int64)
+    """The words of a run of documents of one language by position: numbers into ``names``."""
+
+    def __init__(self, lang: str, texts: list[bytes]):
+        found = pc.split_pattern(pa.array(texts, pa.binary()), pattern=b" ").flatten().dictionary_encode()
+        self.lang, self.names = lang, found.dictionary.to_pylist()
+        self.crc = np.array([zlib.crc32(word, zlib.crc32(lang.encode() + b"\0")) for word in self.names], dtype=np.int64)
+        numbers = found.indices.to_numpy()
+        end, nothing = (pc.index(found.dictionary, pa.scalar(x, pa.binary())).as_py() for x in (b"\n", b""))
+        is_word = (numbers != end) & (numbers != nothing)
+        self.words = numbers[is_word]
+        self.goes_on = np.diff(np.cumsum(numbers == end)[is_word], prepend=-1) == 0  # the word before stands in the same piece
 
     def occurrences(self, wanted: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """The words that ``wanted`` marks, with their rising positions."""
@@ -122,49 +127,20 @@ class Shard:
         return zip(self.words[at[first]].tolist(), np.split(at, first[1:]))
 
 
-class Numbers(dict):
-    """Numbers of the words of one language; new words are added to ``names``."""
-
-    def __init__(self, lang: str, names: list[tuple[str, bytes]]):
-        super().__init__({b"": NOTHING, b"\n": PIECE_END})
-        self.lang, self.names = lang, names
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self.names)
-        self.names.append((self.lang, word))
-        return number
-
-
-NOTHING, PIECE_END = -2, -1
-
-
 def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
     """The texts of ``batches`` (lang, text) as shards."""
-    numbers: dict[str, Numbers] = {}
-    names: list[tuple[str, bytes]] = []
-    parts: list[np.ndarray] = []
-    n = 0
-
-    def done() -> Shard:
-        found = np.concatenate(parts)
-        piece = np.cumsum(found == PIECE_END)
-        is_word = found >= 0
-        return Shard(names, found[is_word], np.diff(piece[is_word], prepend=-1) == 0)
-
+    held: dict[str, list[bytes]] = {}
+    size = 0
     for batch in sliced(batches):
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"]):
-            if not text.is_valid:
-                continue
-            words = text.as_buffer().to_pybytes().translate(WRITTEN).replace(b"\n", b" \n ").split(b" ")
-            if lang not in numbers:
-                numbers[lang] = Numbers(lang, names)
-            parts += [np.fromiter(map(numbers[lang].__getitem__, words), np.int32, len(words)), np.array([PIECE_END], np.int32)]
-            n += len(words)
-            if n >= SHARD_WORDS:
-                yield done()
-                numbers, names, parts, n = {}, [], [], 0
-    if names:
-        yield done()
+            if text.is_valid:
+                written = text.as_buffer().to_pybytes().translate(WRITTEN)
+                held.setdefault(lang, []).append(written.replace(b"\n", b" \n ") + b" \n")
+                size += len(written)
+                if size >= SHARD_BYTES:
+                    yield from (Shard(*item) for item in held.items())
+                    held, size = {}, 0
+    yield from (Shard(*item) for item in held.items())
 
 
 def index_of(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -191,22 +167,16 @@ def is_in(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (table[at >> 6] >> (at & 63).astype(np.uint64) & ONE).astype(bool)
 
 
-def pair_key(first: np.ndarray | int, second: np.ndarray) -> np.ndarray:
-    return (first << 32) | second
-
-
 def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
 
 
-def count_rows(names: Sequence[tuple[str, bytes | None]], counts: Sequence[int]) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(names), 20_000):
-        langs, phrases = zip(*names[at : at + 20_000])
-        columns = [pa.array(langs), pa.array(phrases, pa.binary()), pa.array(counts[at : at + 20_000], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n"])
+COUNTS = "lang string, phrase binary, n long"
 
 
-COUNTS = "lang string, phrase binary, n long"
+def count_rows(lang: str, phrases: Sequence[bytes | None], counts: Sequence[int]) -> Iterator[pa.RecordBatch]:
+    columns = [pa.array([lang]).take(pa.array(np.zeros(len(phrases), np.int32))), pa.array(phrases, pa.binary()), pa.array(counts, pa.int64())]
+    yield from pa.table(columns, names=["lang", "phrase", "n"]).to_batches(max_chunksize=20_000)
 
 
 def summed(counts: DataFrame) -> DataFrame:
@@ -220,55 +190,68 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches):
             n = np.bincount(shard.words, minlength=len(shard.names)).tolist()
-            total: Counter[str] = Counter()
-            for (lang, _), count in zip(shard.names, n):
-                total[lang] += count
-            yield from count_rows([(lang, None) for lang in total] + shard.names, [*total.values(), *n])
+            found = [(word, count) for word, count in zip(shard.names, n) if count]
+            if found:
+                yield from count_rows(shard.lang, *zip((None, len(shard.words)), *found))
 
     return summed(texts_of(docs).mapInArrow(run, COUNTS))
 
 
-def frequent_pairs(docs: DataFrame, words: np.ndarray, least: int) -> DataFrame:
-    """key: the pairs of words (by hash) of the bit table ``words`` that stand side by side at least ``least`` times.
+def run_keys(shard: Shard, at: np.ndarray, size: int) -> np.ndarray:
+    """A number for each run of ``size`` words that ends at one of the positions ``at``."""
+    key = np.zeros(len(at), dtype=np.uint64)
+    for back in range(size - 1, -1, -1):
+        key = key * STEP + shard.crc[shard.words[at - back]].astype(np.uint64)
+    return key.view(np.int64)
+
+
+def ends(shard: Shard, tables: list[np.ndarray]) -> list[np.ndarray]:
+    """Marks of the positions where runs of 2, 3, ... words end whose shorter runs are all in ``tables`` (of words, pairs, ...)."""
+    wanted = is_in(tables[0], shard.crc)[shard.words]
+    marks = shard.goes_on & wanted
+    marks[1:] &= wanted[:-1]
+    out = [marks]
+    for size, table in enumerate(tables[1:], 2):
+        at = np.flatnonzero(marks)
+        marks[at] = is_in(table, run_keys(shard, at, size))
+        longer = marks.copy()
+        longer[1:] &= marks[:-1]
+        longer[:1] = False
+        marks = longer
+        out.append(marks)
+    return out
+
+
+def frequent_runs(docs: DataFrame, tables: list[np.ndarray], least: int) -> DataFrame:
+    """key: the runs of one word more than ``tables`` has levels that stand at least ``least`` times.
 
-    This only prunes the search: all pairs of a shard are counted at once from its positions.
+    This only prunes the search: all runs of a shard are counted at once from its positions.
     """
-    held = docs.sparkSession.sparkContext.broadcast(words)
+    held = docs.sparkSession.sparkContext.broadcast(tables)
+    size = len(tables) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches):
-            at = np.flatnonzero(of_pairs(shard, is_in(held.value, shard.crc)))
-            keys, n = np.unique(pair_key(shard.crc[shard.words[at - 1]], shard.crc[shard.words[at]]), return_counts=True)
+            keys, n = np.unique(run_keys(shard, np.flatnonzero(ends(shard, held.value)[-1]), size), return_counts=True)
             yield from pa.table([pa.array(keys), pa.array(n.astype(np.int32))], names=["key", "n"]).to_batches(max_chunksize=50_000)
 
     found = texts_of(docs).mapInArrow(run, "key long, n int")
     return found.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
 
 
-def of_pairs(shard: Shard, wanted: np.ndarray) -> np.ndarray:
-    """Marks of the positions where a wanted word stands behind another one in the same piece."""
-    out = shard.goes_on & wanted[shard.words]
-    out[1:] &= wanted[shard.words[:-1]]
-    return out
-
-
-Found = tuple[tuple[str, bytes], int]
-
-
-def phrases_of(shard: Shard, words: np.ndarray, pairs: np.ndarray, longest: int) -> Iterator[Found]:
-    """((language, phrase), popcount) of the phrases of 2 to ``longest`` words out of the pairs in the table ``pairs``."""
-    second = of_pairs(shard, is_in(words, shard.crc))
-    at = np.flatnonzero(second)
-    second[at] = is_in(pairs, pair_key(shard.crc[shard.words[at - 1]], shard.crc[shard.words[at]]))
+def phrases_of(shard: Shard, tables: list[np.ndarray], longest: int) -> Iterator[tuple[bytes, int]]:
+    """(phrase, popcount) of the phrases of 2 to ``longest`` words whose runs of 1, 2 and 3 words are all in ``tables``."""
+    second, third, _ = ends(shard, tables)
     at = np.flatnonzero(second)
     wanted = np.zeros(len(shard.names), dtype=bool)
     wanted[shard.words[at]] = wanted[shard.words[at - 1]] = True
-    marks, is_second = dense(second), second.tobytes() + b"\0"
-    names, number = shard.names, memoryview(shard.words)
+    # what may follow a phrase of one word, and of more: a word that ends a frequent pair, and triple
+    marks, is_next = (dense(second), dense(third)), (second.tobytes() + b"\0", third.tobytes() + b"\0")
+    names, number = shard.names, memoryview(np.ascontiguousarray(shard.words))
     maps: dict[int, Bitmap] = {}
 
-    def extend(bits: Bitmap, phrase: bytes, size: int) -> Iterator[Found]:
-        follow = following(bits, marks)
+    def extend(bits: Bitmap, phrase: bytes, size: int) -> Iterator[tuple[bytes, int]]:
+        follow = following(bits, marks[size > 1])
         behind = positions(follow)
         if len(behind) <= FEW:
             yield from grouped(behind.tolist(), phrase, size)
@@ -277,28 +260,27 @@ def phrases_of(shard: Shard, words: np.ndarray, pairs: np.ndarray, longest: int)
         behind = behind[order]
         first = np.flatnonzero(np.diff(shard.words[behind], prepend=-1))
         for word, n, run in zip(shard.words[behind[first]].tolist(), np.diff(first, append=len(behind)).tolist(), np.split(behind, first[1:])):
-            lang, text = names[word]
-            longer = phrase + b" " + text
+            longer = phrase + b" " + names[word]
             if n > FEW and size + 1 < longest:
                 child = both(follow, maps[word])
-                yield (lang, longer), n_set(child)
+                yield longer, n_set(child)
                 yield from extend(child, longer, size + 1)
             else:  # the words' bitmaps do not overlap, so the AND with each of them leaves its own run of positions
-                yield (lang, longer), n
+                yield longer, n
                 if size + 1 < longest:
                     yield from extend_few(run.tolist(), longer, size + 1)
 
-    def extend_few(at: list[int], phrase: bytes, size: int) -> Iterator[Found]:
-        return grouped([p + 1 for p in at if is_second[p + 1]], phrase, size)
+    def extend_few(at: list[int], phrase: bytes, size: int) -> Iterator[tuple[bytes, int]]:
+        may = is_next[size > 1]
+        return grouped([p + 1 for p in at if may[p + 1]], phrase, size)
 
-    def grouped(behind: list[int], phrase: bytes, size: int) -> Iterator[Found]:
+    def grouped(behind: list[int], phrase: bytes, size: int) -> Iterator[tuple[bytes, int]]:
         runs: dict[int, list[int]] = {}
         for p in behind:
             runs.setdefault(number[p], []).append(p)
         for word, run in runs.items():
-            lang, text = names[word]
-            longer = phrase + b" " + text
-            yield (lang, longer), len(run)
+            longer = phrase + b" " + names[word]
+            yield longer, len(run)
             if size + 1 < longest:
                 yield from extend_few(run, longer, size + 1)
 
@@ -309,21 +291,20 @@ def phrases_of(shard: Shard, words: np.ndarray, pairs: np.ndarray, longest: int)
         else:
             few.append((word, run))
     for word, bits in maps.items():
-        yield from extend(bits, names[word][1], 1)
+        yield from extend(bits, names[word], 1)
     for word, run in few:
-        yield from extend_few(run.tolist(), names[word][1], 1)
+        yield from extend_few(run.tolist(), names[word], 1)
 
 
-def phrase_counts(docs: DataFrame, words: np.ndarray, pairs: np.ndarray, longest: int = LONGEST) -> DataFrame:
-    """lang, phrase, n of the phrases of 2 to ``longest`` words all of whose pairs are in the table ``pairs``."""
-    context = docs.sparkSession.sparkContext
-    held_words, held_pairs = context.broadcast(words), context.broadcast(pairs)
+def phrase_counts(docs: DataFrame, tables: list[np.ndarray], longest: int = LONGEST) -> DataFrame:
+    """lang, phrase, n of the phrases of 2 to ``longest`` words whose runs of 1, 2 and 3 words are all in ``tables``."""
+    held = docs.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches):
-            found = phrases_of(shard, held_words.value, held_pairs.value, longest)
+            found = phrases_of(shard, held.value, longest)
             while part := list(islice(found, 20_000)):
-                yield from count_rows(*zip(*part))
+                yield from count_rows(shard.lang, *zip(*part))
 
     return summed(texts_of(docs).mapInArrow(run, COUNTS))
 
@@ -374,9 +355,10 @@ def mine(docs: DataFrame, least: int = 30, most: int = 2000) -> DataFrame:
     counted = materialise(word_counts(docs).where((F.col("n") >= least) | F.col("phrase").isNull()), "word-counts")
     words = counted.where("phrase IS NOT NULL")
     key = F.crc32(F.concat(F.col("lang").cast("binary"), F.lit(b"\0"), F.col("phrase").cast("binary")))
-    word_table = bit_table(words.select(key.alias("key")))
-    pair_table = bit_table(frequent_pairs(docs, word_table, least))
-    phrases = phrase_counts(docs, word_table, pair_table).where(F.col("n") >= least)
+    tables = [bit_table(words.select(key.alias("key")))]
+    for _ in ("pairs", "triples"):
+        tables.append(bit_table(frequent_runs(docs, tables, least)))
+    phrases = phrase_counts(docs, tables).where(F.col("n") >= least)
     counts = materialise(words.unionByName(phrases), "phrase-counts")
     totals = counted.where("phrase IS NULL").select("lang", F.col("n").alias("n"))
     best = rank(not_covered(materialise(scored(counts), "scored")), most)
