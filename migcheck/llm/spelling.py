@@ -6,8 +6,10 @@ two near words (rarest first in one order over all words, equal ones by position
 both, at positions that differ by one at most.  As there is one edit only, it lies either behind that
 pair or before it: so the words agree up to the end of the pair, or from its beginning on.  Words are
 therefore joined on those two halves, for each of the three pairs, among lengths that differ by one at
-most; the position limit is part of the halves.  What meets is verified.  Halves that many words share are
-salted: one side's rows are dealt out over as many parts as the half has thousands of words.
+most; the position limit is part of the halves.  Unless the edit is that of the outermost letter, which the
+words without it tell, the letter at the other end agrees too and is joined on as well.  What meets is
+verified.  Halves that many words share are salted: one side's rows are dealt out over as many parts as
+the half has thousands of words.
 
 Defined cases: a null text has no words; of a null doc_id no letters are deleted; repeated rows count each;
 texts of any length are read whole; ties of forms go to the smallest word in code-point order; an empty
@@ -82,30 +84,39 @@ def pair_order(words: DataFrame) -> dict[str, int]:
     return {row.pair: i for i, row in enumerate(counts.orderBy("count", "pair").collect())}
 
 
+#: What a half is of: a pair of letters; a word without its outermost letter; a whole word, that may be one without it.
+PAIR, CUT, WHOLE = 0, 1, 2
+
+
 def halves(words: DataFrame, order: dict[str, int]) -> DataFrame:
-    """word, length, half: the beginnings up to and the ends from each of the three rarest pairs."""
+    """word, length, half, kind: beginnings up to and ends from each of the three rarest pairs, and the word without either outermost letter."""
     held = words.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = held.value
+        kinds = [PAIR] * 6 + [CUT] * 2 + [WHOLE] * 2
         for batch in batches:
-            out_words, lengths, out = [], [], []
-            for word in batch["word"].to_pylist():
-                rarest = sorted((place[word[at : at + 2]], at) for at in range(len(word) - 1))[:3]
-                parts = [f"{word[: at + 2]}*" for _, at in rarest] + [f"*{word[at:]}" for _, at in rarest]
-                out_words += [word] * len(parts)
-                lengths += [len(word)] * len(parts)
-                out += parts
-            yield pa.RecordBatch.from_arrays([pa.array(out_words, pa.string()), pa.array(lengths, pa.int32()), pa.array(out, pa.string())], names=["word", "length", "half"])
+            found, out = batch["word"].to_pylist(), []
+            for word in found:
+                (_, a), (_, b), (_, c) = sorted([(place[word[at : at + 2]], at) for at in range(len(word) - 1)])[:3]
+                first, last = word[0], word[-1]
+                out += [f"{word[: a + 2]}*{last}", f"{word[: b + 2]}*{last}", f"{word[: c + 2]}*{last}", f"{first}*{word[a:]}", f"{first}*{word[b:]}", f"{first}*{word[c:]}"]
+                out += [f"{word[:-1]}_", f"_{word[1:]}", f"{word}_", f"_{word}"]
+            n = len(found)
+            by_word = pa.array([i for i in range(n) for _ in kinds], pa.int32())
+            columns = [batch["word"].take(by_word), pa.array(list(map(len, found)), pa.int32()).take(by_word), pa.array(out, pa.string()), pa.array(kinds * n, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "length", "half", "kind"])
 
-    return words.select("word").mapInArrow(run, "word string, length int, half string")
+    return words.select("word").mapInArrow(run, "word string, length int, half string, kind int")
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """left, right: the pairs of different words (each once) that one inserted, deleted or replaced letter apart."""
+    """left, right: the pairs of different words (of four letters at least, each pair once) that are one inserted, deleted or replaced letter apart."""
     rows = materialise(halves(words, pair_order(words)), "halves")
     # a shorter word looks among words of its own length and of one letter more
-    asking = rows.select(F.col("word").alias("left"), "half", F.explode(F.array(F.col("length"), F.col("length") + 1)).alias("length"), F.col("length").alias("own"))
+    lengths = F.array_compact(F.array(F.when(F.col("kind") != WHOLE, F.col("length")), F.when(F.col("kind") != CUT, F.col("length") + 1)))
+    asking = rows.select(F.col("word").alias("left"), "half", F.explode(lengths).alias("length"), F.col("length").alias("own"))
+    rows = rows.where(F.col("kind") != WHOLE).select("word", "half", "length")
     sizes = rows.groupBy("half", "length").count().where(F.col("count") > PART_ROWS)
     sizes = sizes.select("half", "length", F.ceil(F.col("count") / PART_ROWS).cast("int").alias("parts"))
     parts = F.coalesce(F.col("parts"), F.lit(1))
@@ -153,7 +164,7 @@ def roots(formed: DataFrame) -> DataFrame:
 
 
 def group(docs: DataFrame, least_letters: int = 5, least_count: int = 3, damage_every: int = 97) -> DataFrame:
-    """``docs`` (doc_id, text) to word, form, root, n, n_near, form_n of the words of enough letters and occurrences."""
+    """``docs`` (doc_id, text) to word, form, root, n, n_near, form_n of the words of enough letters (four at least) and occurrences."""
     counted = word_counts(docs, damage_every).where((F.length("word") >= least_letters) & (F.col("n") >= least_count))
     words = materialise(counted, "words")
     formed = materialise(forms(words, materialise(near_pairs(words), "near")), "forms")

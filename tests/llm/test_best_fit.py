@@ -45,10 +45,10 @@ def test_tree_is_best_fit(seed):
 
 def test_tightest_room_at_every_size():
     fit = best_fit.TightestFit(16)
-    for size in (5, 9, 13):  # rooms of 11, 7 and 3
+    for size in (13, 9, 8):  # rooms of 3, 7 and 8
         fit.place(size)
-    assert [fit.tightest(size) for size in range(1, 17)] == [3] * 3 + [7] * 4 + [11] * 4 + [None] * 5
-    assert fit.place(7)[1] == 9 and fit.place(3) == (2, 13) and fit.tightest(12) is None
+    assert [fit.tightest(size) for size in range(1, 17)] == [3] * 3 + [7] * 4 + [8] + [None] * 8
+    assert fit.place(7) == (1, 9) and fit.place(3) == (0, 13) and fit.tightest(9) is None
 
 
 def check(pieces, documents, capacity):
