@@ -94,6 +94,47 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: A catalog's export of an entity a line, as far as it is read: tables with profiles and lineage, and glossary terms.
+EXPORT = """name string, profile struct<rowCount:bigint, columnCount:bigint>,
+    columns array<struct<name:string, profile:struct<valuesCount:double, nullProportion:double, uniqueCount:double, distinctCount:double, min:string, max:string,
+        mean:double, stddev:double, minLength:double, maxLength:double, histogram:struct<boundaries:array<string>, frequencies:array<bigint>>>>>,
+    lineage struct<edges:array<struct<fromEntity:string, toEntity:string, columns:array<struct<fromColumns:array<string>, toColumn:string>>>>>"""
+
+
+def read_catalog_profile(spark: SparkSession, path: str) -> DataFrame:
+    """table, column_name, row_count, null_percent, distinct_count, min, max, mean, stddev, min_length, max_length, histogram of every profiled column."""
+    tables = spark.read.schema(EXPORT).json(path)
+    p = F.col("c.profile")
+    return tables.select("name", "profile.rowCount", F.explode("columns").alias("c")).where(p.isNotNull()).select(
+        F.col("name").alias("table"),
+        F.lower("c.name").alias("column_name"),
+        F.coalesce("rowCount", p["valuesCount"].cast("long")).alias("row_count"),
+        F.round(p["nullProportion"] * 100, 2).alias("null_percent"),
+        F.coalesce(p["distinctCount"], p["uniqueCount"]).cast("long").alias("distinct_count"),
+        p["min"].alias("min_value"), p["max"].alias("max_value"), p["mean"].alias("mean"), p["stddev"].alias("stddev"),
+        p["minLength"].cast("long").alias("min_length"), p["maxLength"].cast("long").alias("max_length"),
+        F.arrays_zip(p["histogram"]["boundaries"].alias("boundary"), p["histogram"]["frequencies"].alias("n")).alias("histogram"),
+    )
+
+
+def read_catalog_lineage(spark: SparkSession, path: str) -> DataFrame:
+    """table, column_name, downstream, downstream_column: an edge a row; edges of whole tables have null columns."""
+    edges = spark.read.schema(EXPORT).json(path).select(F.explode("lineage.edges").alias("e"))
+    columns = edges.select("e.fromEntity", "e.toEntity", F.explode_outer("e.columns").alias("c"))
+    pairs = columns.select("fromEntity", "toEntity", F.explode_outer("c.fromColumns").alias("source"), F.col("c.toColumn").alias("target"))
+    last = lambda name: F.lower(F.substring_index(name, ".", -1))
+    return pairs.select(last("fromEntity").alias("table"), last("source").alias("column_name"), last("toEntity").alias("downstream"), last("target").alias("downstream_column")).distinct()
+
+
+def read_catalog_glossary(spark: SparkSession, path: str) -> DataFrame:
+    """term, display_name, description, synonyms, related of a catalog's glossary export (a term a line)."""
+    terms = spark.read.schema("name string, displayName string, description string, synonyms array<string>, relatedTerms array<struct<name:string>>").json(path)
+    return terms.where("name IS NOT NULL").select(
+        F.lower("name").alias("term"), F.coalesce("displayName", "name").alias("display_name"), "description",
+        F.coalesce("synonyms", F.array().cast("array<string>")).alias("synonyms"), F.transform(F.coalesce("relatedTerms", F.array()), lambda t: t["name"]).alias("related"),
+    )
+
+
 def append_alerts(alerts: DataFrame, path: str) -> None:
     """Append alerts as JSON lines, each with the time of writing."""
     alerts.withColumn("written_at", F.current_timestamp()).write.mode("append").json(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from migcheck.functions.mainframe import decode_ebcdic, decode_packed
+from migcheck.sources import records
 from migcheck.sources.copybook import Field, record_length
 
 PACKED = ("COMP-3", "PACKED-DECIMAL")
@@ -28,26 +29,9 @@ def read_fixed_width(spark: SparkSession, path: str, fields: list[Field], keep_d
     return lines.select(columns)
 
 
-def record_rows(spark: SparkSession, path: str, size: int) -> DataFrame:
-    """(record): every ``size`` bytes of the files; a part of a record at a file's end is left out.
-
-    Files of whole records are read in splits.  Others, which the record reader refuses, are read one
-    file a task (so under 2 GB each).
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    partial = (F.col("length") % size != 0).alias("partial")
-    odd = {r["partial"] for r in files.where("length > 0").select(partial).distinct().collect()}
-    if True in odd:
-        cuts = F.sequence(F.lit(0), F.floor(F.col("length") / size).cast("int") - 1)
-        some = files.where(F.col("length") >= size).select("content", F.explode(cuts).alias("k"))
-        return some.select(F.substring("content", F.col("k") * size + 1, F.lit(size)).alias("record"))
-    whole = spark.sparkContext.binaryRecords(path, size).map(lambda record: (bytearray(record),))
-    return spark.createDataFrame(whole, T.StructType([T.StructField("record", T.BinaryType())]))
-
-
 def read_records(spark: SparkSession, path: str, fields: list[Field], encoding: str = "ascii") -> DataFrame:
     """Records of a fixed number of bytes without line ends, in ASCII or EBCDIC, packed decimals decoded."""
-    rows = record_rows(spark, path, record_length(fields))
+    rows = records.read_records(spark, path, record_length(fields))
 
     def cell(f: Field) -> Column:
         raw = F.substring("record", f.offset + 1, f.length)

@@ -9,31 +9,7 @@ from pyspark.sql import functions as F
 
 from migcheck.operators.comparing import one_per_key
 from migcheck.sources import copybook, flatfiles
-
-DRIVERS = {"postgres": "org.postgresql.Driver", "postgresql": "org.postgresql.Driver", "db2": "com.ibm.db2.jcc.DB2Driver", "oracle": "oracle.jdbc.OracleDriver"}
-
-
-def jdbc_url(config: dict) -> str:
-    host, port, name = config["host"], config.get("port"), config.get("database", "")
-    kind = config["type"]
-    if kind == "oracle":
-        return f"jdbc:oracle:thin:@{host}:{port or 1521}" + (f":{config['sid']}" if "sid" in config else f"/{config.get('service_name', name)}")
-    if kind == "db2":
-        return f"jdbc:db2://{host}:{port or 50000}/{name}"
-    return f"jdbc:postgresql://{host}:{port or 5432}/{name}"
-
-
-def read_jdbc(spark: SparkSession, config: dict, query: str) -> DataFrame:
-    """A query pushed to the database; with ``partition_column`` and bounds it is read in parallel."""
-    options = {"url": jdbc_url(config), "driver": DRIVERS[config["type"]], "user": config.get("user", ""), "password": config.get("password", "")}
-    reader = spark.read.format("jdbc").options(**options)
-    if "partition_column" in config:
-        return (
-            reader.option("dbtable", f"({query}) q").option("partitionColumn", config["partition_column"]).option("lowerBound", config["lower_bound"])
-            .option("upperBound", config["upper_bound"]).option("numPartitions", config.get("partitions", 32)).load()
-        )
-    return reader.option("query", query).load()
-
+from migcheck.sources.jdbc import jdbc_url, read_jdbc
 
 def read_copybook(spark: SparkSession, config: dict, query: str) -> DataFrame:
     with open(config["copybook"]) as file:
@@ -51,9 +27,11 @@ def read_parquet(spark: SparkSession, config: dict, query: str) -> DataFrame:
     return spark.read.parquet(config["path"])
 
 
+__all__ = ["full_load", "jdbc_url", "read_source", "upsert"]
+
 Reader = Callable[[SparkSession, dict, str], DataFrame]
 READERS: dict[str, Reader] = {
-    "postgres": read_jdbc, "postgresql": read_jdbc, "db2": read_jdbc, "oracle": read_jdbc,
+    "postgres": read_jdbc, "postgresql": read_jdbc, "db2": read_jdbc, "oracle": read_jdbc, "derby": read_jdbc, "jdbc": read_jdbc,
     "flatfile": read_copybook, "copybook": read_copybook, "csv": read_csv, "parquet": read_parquet,
 }
 
