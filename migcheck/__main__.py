@@ -29,11 +29,12 @@ def main(args: list[str] | None = None) -> int:
     past.add_argument("--runs", default="runs")
     proof = commands.add_parser("prove", help="the mean of each dataset's latest pre and post scores")
     proof.add_argument("--runs", default="runs")
-    watch = commands.add_parser("observe", help="the modern tables against a stored baseline, which the first call writes")
+    watch = commands.add_parser("observe", help="the modern tables against a stored baseline")
     watch.add_argument("project")
     watch.add_argument("--baseline", required=True)
     watch.add_argument("--alerts", required=True)
     watch.add_argument("--now", required=True, help="time of the observation, such as '2026-01-01 00:00:00'")
+    watch.add_argument("--set-baseline", action="store_true", help="write the baseline and observe nothing")
     load = commands.add_parser("ingest", help="load the legacy side of every dataset that is not loaded yet")
     load.add_argument("project")
     load.add_argument("--target", required=True)
@@ -47,7 +48,7 @@ def main(args: list[str] | None = None) -> int:
         return 0
     config = p.load_config(own.project)
     if own.command == "observe":
-        return int(p.observe(spark, config, own.baseline, own.now, own.alerts) > 0)
+        return int(p.observe(spark, config, own.baseline, own.now, own.alerts, set_baseline=own.set_baseline) > 0)
     if own.command == "ingest":
         state = p.ingest(spark, config, own.target)
         print(state)

@@ -46,11 +46,17 @@ def _finding(check: str, table: str, rows: DataFrame, alert: Column, detail: Col
 
 
 def observe(
-    tables: dict[str, DataFrame], baseline: DataFrame, now: str, most_hours: float = 24, threshold: float = 0.3, references: dict[str, list[tuple[str, DataFrame, str]]] | None = None
+    tables: dict[str, DataFrame],
+    baseline: DataFrame,
+    now: str,
+    most_hours: float = 24,
+    threshold: float = 0.3,
+    references: dict[str, list[tuple[str, DataFrame, str]]] | None = None,
+    checks: tuple[str, ...] = tuple(SEVERITY),
 ) -> DataFrame:
     """check, table, severity, alert, detail: schema drift, volume, freshness and foreign keys of every table.
 
-    ``references`` maps a table to (column, parent, parent's column).  A table without a column that tells
+    ``references`` maps a table to (column, parent, parent's column); ``checks`` are those to make.  A table without a column that tells
     when rows changed is not stale; one without rows is.
     """
     out = []
@@ -73,18 +79,18 @@ def observe(
         for column, parent, key in (references or {}).get(name, []):
             lost = orphan_keys(df, column, parent, key).agg(F.count("*").alias("n"))
             out.append(_finding("fk_integrity", name, lost, F.col("n") > 0, F.concat_ws(":", F.lit(column), "n")))
-    return reduce(DataFrame.union, out)
+    return reduce(DataFrame.union, out).where(F.col("check").isin(*checks))
 
 
-def dispatch(findings: DataFrame, path: str, callbacks: list[Callable] = ()) -> int:
-    """Append the alerts among ``findings`` as JSON lines and hand each to the callbacks; how many there were.
+def dispatch(findings: DataFrame, path: str, callbacks: list[Callable] = (), mode: str = "append") -> int:
+    """Write the alerts among ``findings`` as JSON lines and hand each to the callbacks; how many there were.
 
     Findings are a few rows a table, so they may be collected.
     """
     alerts = findings.where("alert")
     rows = [r.asDict() for r in alerts.collect()]
     if rows:
-        append_alerts(findings.sparkSession.createDataFrame(rows, findings.schema), path)
+        append_alerts(findings.sparkSession.createDataFrame(rows, findings.schema), path, mode)
     for row in rows:
         for callback in callbacks:
             callback(row["check"], row)

@@ -10,12 +10,11 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from migcheck.operators import checksum, comparing, governance, inference, keys, profile, schema, transforms
+from migcheck.operators import checksum, comparing, governance, inclusion, inference, keys, profile, schema, transforms
 from migcheck.plans import loading, observer
 from migcheck.plugins import Plugins
 from migcheck.sources.tables import read_source
@@ -166,8 +165,17 @@ def check_checksums(d: Dataset) -> Result:
 def check_references(d: Dataset) -> Result:
     """Keys of the modern table that its parents lack; without stated references, keys of its children that it lacks.
 
-    A reference that cannot be checked is a finding and does not stop the others.
+    ``"references": "derive"`` takes them from the data instead: columns of any table of the project (``tables``
+    maps names to sources; the modern tables of this dataset by default) whose values are nearly all
+    (``least_coverage``, 0.9) values of a unique column of another table.  A reference that cannot be checked
+    is a finding and does not stop the others.
     """
+    if d.config.get("references") == "derive":
+        tables = {name: d.other(source) for name, source in d.config.get("tables", {}).items()} | {d.name: d.modern}
+        likely = inclusion.references(inclusion.inclusions(tables), d.config.get("least_coverage", 0.9)).where(f"n_orphans > 0 AND (child_table = '{d.name}' OR parent_table = '{d.name}')")
+        found = [{"column": f"{r['child_table']}.{r['child_column']}", "parent": f"{r['parent_table']}.{r['parent_column']}", "orphans": r["n_orphans"]} for r in listed(likely)]
+        points = sum(min(f["orphans"], 20) for f in found)
+        return Result("referential_integrity", "FAIL" if points else "PASS", points, "CRITICAL", {"checks": found})
     rules = [(d.modern, r["column"], r["parent"], r["parent"]["column"], True) for r in d.config.get("references", [])]
     rules = rules or [(d.modern, c["column"], c, c.get("key", d.key()[1]), False) for c in d.config.get("children", [])]
     if not rules:
@@ -255,19 +263,17 @@ def validate(spark: SparkSession, project: dict, name: str, phase: str, plugins:
     return {"dataset": name, "phase": phase, "score": score, "status": status, "results": [asdict(r) for r in results]}
 
 
-def observe(spark: SparkSession, project: dict, baseline: str, now: str, alerts: str, plugins: Plugins | None = None) -> int:
+def observe(spark: SparkSession, project: dict, baseline: str, now: str, alerts: str, plugins: Plugins | None = None, set_baseline: bool = False) -> int:
     """Hold every dataset's modern table against the stored baseline and hand on the alerts; how many there were.
 
-    Without a stored baseline it is written, and nothing is observed.
+    With ``set_baseline`` the baseline is written anew and nothing is observed; without a stored one it is an error.
     """
     plugins = plugins or Plugins()
     tables = {name: Dataset.open(spark, project, name, plugins).modern for name in project["datasets"]}
-    try:
-        before = observer.load_baseline(spark, baseline)
-    except AnalysisException:  # the first observation
+    if set_baseline:
         observer.save_baseline(tables, baseline)
         return 0
-    findings = observer.observe(tables, before, now)
+    findings = observer.observe(tables, observer.load_baseline(spark, baseline), now)
     for check in plugins.observer_checks:
         for name, df in tables.items():
             findings = findings.unionByName(check(spark, name, df))

@@ -135,6 +135,6 @@ def read_catalog_glossary(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def append_alerts(alerts: DataFrame, path: str) -> None:
-    """Append alerts as JSON lines, each with the time of writing."""
-    alerts.withColumn("written_at", F.current_timestamp()).write.mode("append").json(path)
+def append_alerts(alerts: DataFrame, path: str, mode: str = "append") -> None:
+    """Write alerts as JSON lines, each with the time of writing."""
+    alerts.withColumn("written_at", F.current_timestamp()).write.mode(mode).json(path)

@@ -27,17 +27,21 @@ def deduplicated(events: DataFrame, keys: list[str], watermark: str = "2 hours")
     return events.dropDuplicates(keys)
 
 
-def observe_stream(rows: DataFrame, name: str, baseline: DataFrame, now: str, path: str, checkpoint: str, every: str | None = None, callbacks: list[Callable] = ()):
-    """Start a query that holds every batch against a stored baseline (schema, volume, freshness at ``now``).
+def observe_stream(rows: DataFrame, name: str, baseline: DataFrame, path: str, checkpoint: str, now: str | None = None, every: str | None = None, callbacks: list[Callable] = ()):
+    """Start a query that holds every batch against a stored baseline: its schema, and its freshness at the time of the batch (or at ``now``).
 
-    Alerts go to ``path`` and to the callbacks.  With ``every`` (such as "5 minutes") it goes on, else it ends with the data at hand.
+    A batch's volume says nothing of the whole table's: for volumes see :func:`migcheck.streaming.monitor.volume_alerts`.
+    Alerts go to ``path``, a folder a batch, so that a batch that is repeated after a failure replaces its own,
+    and to the callbacks.  With ``every`` (such as "5 minutes") it goes on, else it ends with the data at hand.
     """
     from migcheck.plans import observer
 
     def check(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            observer.dispatch(observer.observe({name: batch}, baseline, now), path, callbacks)
+            time = now or batch.sparkSession.sql("SELECT CAST(current_timestamp() AS STRING)").first()[0]
+            findings = observer.observe({name: batch}, baseline, time, checks=("schema_drift", "freshness"))
+            observer.dispatch(findings, f"{path}/batch={number}", callbacks, mode="overwrite")
         finally:
             batch.unpersist()
 
@@ -46,12 +50,12 @@ def observe_stream(rows: DataFrame, name: str, baseline: DataFrame, now: str, pa
 
 
 def watch(events: DataFrame, baseline_rows: int, path: str, checkpoint: str, threshold: float = 0.3):
-    """Start a query that appends a volume check of every batch to ``path``."""
+    """Start a query that writes a volume check of every batch below ``path``, once each."""
     from migcheck.plans.monitor import volume_anomaly
 
     def check(batch: DataFrame, number: int) -> None:
         counted = batch.agg(F.count("*").alias("n_rows"))
         deviation, anomaly = volume_anomaly(F.col("n_rows"), F.lit(baseline_rows), threshold)
-        counted.select(F.lit(number).alias("batch"), "n_rows", deviation.alias("deviation"), anomaly.alias("is_anomaly")).write.mode("append").parquet(path)
+        counted.select("n_rows", deviation.alias("deviation"), anomaly.alias("is_anomaly")).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return events.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

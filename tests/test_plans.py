@@ -103,8 +103,11 @@ def test_stream_is_held_against_its_baseline(spark, tmp_path):
     stream = spark.readStream.schema("id long, kind long, updated_at timestamp").parquet(str(tmp_path / "in"))
     seen = []
     query = events.observe_stream(
-        stream, "rows", observer.load_baseline(spark, str(tmp_path / "base")), "2026-01-01 00:00:00", str(tmp_path / "alerts"), str(tmp_path / "state"), callbacks=[lambda check, row: seen.append((check, row["detail"]))]
+        stream, "rows", observer.load_baseline(spark, str(tmp_path / "base")), str(tmp_path / "alerts"), str(tmp_path / "state"), now="2026-01-01 00:00:00", callbacks=[lambda check, row: seen.append((check, row["detail"]))]
     )
     query.awaitTermination(120)
-    assert seen == [("schema_drift", "added:updated_at,dropped:gone"), ("volume_anomaly", "90.0")]
-    assert spark.read.json(str(tmp_path / "alerts")).count() == 2
+    assert seen == [("schema_drift", "added:updated_at,dropped:gone")]  # a batch's volume is none of a whole table's
+    assert spark.read.json(str(tmp_path / "alerts")).count() == 1
+    later = events.observe_stream(stream, "rows", observer.load_baseline(spark, str(tmp_path / "base")), str(tmp_path / "again"), str(tmp_path / "other"))
+    later.awaitTermination(120)  # at the batch's own time the rows are stale
+    assert {r.check for r in spark.read.json(str(tmp_path / "again")).collect()} == {"schema_drift", "freshness"}

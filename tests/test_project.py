@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from migcheck import project
 from migcheck.__main__ import main
@@ -111,7 +112,9 @@ def test_observation_and_ingestion_by_command(spark, config):
     assert main(["ingest", path, "--target", str(folder / "loaded")]) == 0
     assert spark.read.parquet(str(folder / "loaded" / "orders")).count() > 0
     watch = ["observe", path, "--baseline", str(folder / "base"), "--alerts", str(folder / "alerts"), "--now", "2026-01-01 00:00:00"]
-    assert main(watch) == 0 and main(watch) == 0  # nothing changed since the baseline
+    with pytest.raises(AnalysisException):
+        main(watch)  # no baseline was set
+    assert main([*watch, "--set-baseline"]) == 0 and main(watch) == 0  # nothing changed since the baseline
     assert main(["prove", "--runs", str(folder / "runs")]) == 0
 
 
@@ -146,7 +149,7 @@ def test_extension_points(spark, config, tmp_path):
 
     plugins = Plugins(on_drift=[lambda check, row: drifted.append(check)], observer_checks=[too_many], post_ingest=[lambda *a: loaded.append(a)], report_sections=[lambda run: ["## Own", run["dataset"]]])
     args = (spark, own, str(tmp_path / "base"), "2026-01-01 00:00:00", str(tmp_path / "alerts"), plugins)
-    assert project.observe(*args) == 0 and project.observe(*args) == 1 and drifted == ["too_many"]
+    assert project.observe(*args, set_baseline=True) == 0 and project.observe(*args) == 1 and drifted == ["too_many"]
     assert project.ingest(spark, own, str(tmp_path / "loaded"), plugins) == {"orders": "completed"} and loaded == [("orders", "completed")]
     path = project.write_report({"dataset": "orders", "phase": "pre", "score": 1.0, "status": "RED", "results": []}, str(tmp_path), plugins)
     with open(f"{path}/report.md") as file:
