@@ -10,14 +10,19 @@ entities, n_tc of them with c, and one text at the base rate for smoothing,
     p(c | t) = (n_tc + p(c)) / (n_t + 1),   PMI(t; c) = log2 p(c | t) / p(c),   IC(c) = -log2 p(c).
 
 A word discloses c where PMI reaches ``least_gain`` bits and at most ``rest`` bits of IC are left.  Both
-are shares of texts, so they mean the same at every size of the corpus; with the defaults a word counts
-from the second distinct text on, if it is in no text without c.  In the documents that hold c,
+are shares of texts, so they mean the same at every size of the corpus.  A word that stands with c by chance
+does not count: if its n_t texts were drawn at random, so many of them would hold c with a probability of at
+most exp(-n_t D(n_tc / n_t || p(c))) (Chernoff's bound, D the relative entropy), which must not exceed
+``chance``.  So of the words that have nothing to do with c at most this share is taken for disclosing.
+In the documents that hold c,
 
 * a word that discloses a class is removed, as it points to few entities;
 * another is generalised to a broader term, the words that begin with its first half, written as that
   half with a star, if those do not disclose any entity themselves; else it is removed.
 
-All of it is DataFrame code; positions come from the lengths of the matches and of the gaps between.
+All of it is DataFrame code; positions come from the lengths of the matches and of the gaps between.  The
+work on one text grows in proportion to its length, or little more: running sums and texts are cut into
+blocks, and a text's words meet its disclosing ones by a join.
 
 Defined cases: a null text is an empty one without spans; matches that fail their check are dropped
 and not tried again; overlapping spans of several kinds are all listed, by start, then kind, and
@@ -28,9 +33,10 @@ read whole; an empty table gives an empty result; further columns, whatever thei
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from migcheck.llm.shared import keyed, materialise, same_row, small, with_key, without
@@ -91,35 +97,59 @@ def _valid_span(kind: str, span: Column) -> Column:
     return valid(kind, span["value"])
 
 
-def places(text: Column, pattern: Column | str, order: int, kind: str, needs: str = "") -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+#: Numbers of one block of a running total.
+BLOCK = 256
+
+
+def running(numbers: Column, plus: Callable[[Column, Column], Column]) -> Column:
+    """For each of the non-negative whole ``numbers`` what ``plus`` (a sum or the greatest) makes of those before it, from 0 on.
+
+    An array grows by being copied, so totals are formed within blocks, then over the blocks.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+
+    def grown(acc: Column, x: Column) -> Column:
+        return F.struct(plus(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def blocks(n: Column) -> Column:
+        at = F.sequence(F.lit(0), F.floor((F.size(n) - 1) / BLOCK).cast("int"))
+        return F.transform(at, lambda i: F.aggregate(F.slice(n, i * BLOCK + 1, F.lit(BLOCK)), start, grown))
+
+    def joined(parts: Column) -> Column:
+        before = F.aggregate(parts, start, lambda acc, part: grown(acc, part["at"]))["out"]
+        return F.flatten(F.zip_with(parts, before, lambda part, base: F.transform(part["out"], lambda x: plus(base, x))))
+
+    return let(numbers, lambda n: F.when(F.size(n) > 0, let(blocks(n), joined)).otherwise(F.expr("cast(array() as array<int>)")))
+
+
+def places(text: Column, pattern: str, order: int, kind: str, needs: str = "") -> Column:
     """Array of (start, order, end, kind, value) of all matches, in code points."""
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
     empty = F.expr("cast(array() as array<struct<start:int,order:int,end:int,kind:string,value:string>>)")
-    walked = F.aggregate(
-        F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("value")),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + F.length(x["gap"])).alias("start"),
-                        F.lit(order).alias("order"),
-                        (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("end"),
-                        F.lit(kind).alias("kind"),
-                        x["value"].alias("value"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-    )["out"]
-    some = F.size(found) > 0
-    if needs:
-        some = text.contains(needs) & some
-    return F.when(some, walked).otherwise(empty)
+
+    def spans(both: Column) -> Column:
+        pairs = F.arrays_zip(F.slice(both["gaps"], 1, F.size(both["found"])).alias("gap"), both["found"].alias("value"))
+        before = running(F.transform(pairs, lambda x: x["gap"] + F.length(x["value"])), lambda a, b: a + b)
+        return F.zip_with(
+            pairs,
+            before,
+            lambda x, at: F.struct(
+                (at + x["gap"]).alias("start"),
+                F.lit(order).alias("order"),
+                (at + x["gap"] + F.length(x["value"])).alias("end"),
+                F.lit(kind).alias("kind"),
+                x["value"].alias("value"),
+            ),
+        )
+
+    walked = let(F.struct(found.alias("found"), gaps.alias("gaps")), lambda both: F.when(F.size(both["found"]) > 0, spans(both)).otherwise(empty))
+    return F.when(text.contains(needs), walked).otherwise(empty) if needs else walked
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -182,13 +212,20 @@ def discloses(both: Column, term_texts: Column, share: Column, least_gain: float
     return (F.log2(given / share) >= least_gain) & (-F.log2(given) <= rest)
 
 
+def by_chance(both: Column, term_texts: Column, share: Column) -> Column:
+    """A bound on the probability that at least ``both`` of ``term_texts`` texts drawn at random hold c."""
+    part = both / term_texts
+    gone = F.when(part < 1, (1 - part) * F.log((1 - part) / (1 - share))).otherwise(0.0)
+    return F.when((part > share) & (share < 1), F.exp(-term_texts * (part * F.log(part / share) + gone))).otherwise(1.0)
+
+
 def stem(term: Column) -> Column:
     """The broader term's beginning: the first half of a word."""
     return F.left(term, F.ceil(F.length(term) / 2).cast("int"))
 
 
-def document_terms(docs: DataFrame, holders: DataFrame, least_gain: float, rest: float) -> DataFrame:
-    """doc_id, doc_key, general, gone: the disclosing words that each document with an entity holds.
+def document_terms(docs: DataFrame, holders: DataFrame, least_gain: float, rest: float, chance: float) -> DataFrame:
+    """doc_id, doc_key, term, action (remove or generalise): the disclosing words that each document with an entity holds.
 
     Words and entities are counted in distinct texts of the whole corpus, outside of entities on both
     sides: in the documents that hold one and, by one aggregation on the word, in all others.
@@ -199,6 +236,9 @@ def document_terms(docs: DataFrame, holders: DataFrame, least_gain: float, rest:
     total = max(1, sizes.count())
     held = materialise(weighed(holders.select("doc_id", "doc_key", "text_key", "kinds", "classes", "terms"), copies), "held")
 
+    def shows(both: Column, term_texts: Column, share: Column) -> Column:
+        return discloses(both, term_texts, share, least_gain, rest) & (by_chance(both, term_texts, share) <= chance)
+
     # words of the documents with an entity: one row for each text and word, one sum for each kind
     own = held.select("weight", "kinds", F.explode("terms").alias("term"))
     of_kind = [number(F.when(F.array_contains("kinds", k), F.col("weight")).otherwise(0.0)).alias(k) for k in KINDS]
@@ -212,17 +252,22 @@ def document_terms(docs: DataFrame, holders: DataFrame, least_gain: float, rest:
     # any entity and the kinds: their shares are five numbers
     levels = [*KINDS, ANY]
     in_texts = held.agg(*(F.coalesce(number(F.when(F.array_contains("kinds", k), F.col("weight")).otherwise(0.0)), F.lit(0.0)).alias(k) for k in KINDS), F.coalesce(number(F.col("weight")), F.lit(0.0)).alias(ANY)).first()
-    shown = [F.when((F.col(k) > 0) & discloses(F.col(k), F.col("term_texts"), F.lit(in_texts[k] / total), least_gain, rest), F.lit(k)) for k in levels if in_texts[k]]
+    shown = [F.when((F.col(k) > 0) & shows(F.col(k), F.col("term_texts"), F.lit(in_texts[k] / total)), F.lit(k)) for k in levels if in_texts[k]]
     by_kind = counts.select("term", "term_texts", F.array_compact(F.array(*shown, F.lit(None).cast("string"))).alias("levels")).where(F.size("levels") > 0)
     by_kind = materialise(by_kind, "kind-disclosures")
 
-    # classes
-    known = held.select("weight", F.explode("classes").alias("name")).groupBy("name").agg((number(F.col("weight")) / total).alias("share"))
-    known = materialise(known, "classes")
-    pairs = held.select("weight", "classes", F.explode("terms").alias("term")).select("weight", "term", F.explode("classes").alias("name"))
+    # classes: only those that a word in all of their texts and no other would disclose
+    known = held.select("weight", F.explode("classes").alias("name")).groupBy("name").agg(number(F.col("weight")).alias("texts"))
+    known = known.withColumn("share", F.col("texts") / total).where(shows(F.col("texts"), F.col("texts"), F.col("share")))
+    known = materialise(known.select("name", "share"), "classes")
+    classes = held.select(F.col("doc_id").alias("class_id"), F.col("doc_key").alias("class_key"), F.explode("classes").alias("name")).join(small(known.select("name")), "name", "left_semi")
+    classes = classes.groupBy("class_id", "class_key").agg(F.collect_set("name").alias("names"))
+    named = held.join(classes, (held["doc_key"] == classes["class_key"]) & held["doc_id"].eqNullSafe(classes["class_id"]))
+    named = materialise(named.select("doc_id", "doc_key", "weight", "terms", "names"), "class-texts")
+    pairs = named.select("weight", "names", F.explode("terms").alias("term")).select("weight", "term", F.explode("names").alias("name"))
     both = pairs.groupBy("name", "term").agg(number(F.col("weight")).alias("both"))
     by_class = both.join(counts.select("term", "term_texts"), "term").join(small(known), "name")
-    by_class = by_class.where(discloses(F.col("both"), F.col("term_texts"), F.col("share"), least_gain, rest)).select("name", "term")
+    by_class = by_class.where(shows(F.col("both"), F.col("term_texts"), F.col("share"))).select("name", "term")
     by_class = materialise(by_class, "class-disclosures")
 
     # broader terms: how often the words with the same first half are with any entity and without one
@@ -238,44 +283,44 @@ def document_terms(docs: DataFrame, holders: DataFrame, least_gain: float, rest:
 
     words = held.select("doc_id", "doc_key", F.concat("kinds", F.array(F.lit(ANY))).alias("own_levels"), F.explode("terms").alias("term")).join(small(by_kind), "term")
     words = words.where(F.arrays_overlap("levels", "own_levels")).select("doc_id", "doc_key", "term", F.when(F.col("broad"), "generalise").otherwise("remove").alias("action"))
-    named = held.select("doc_id", "doc_key", "classes", F.explode("terms").alias("term")).join(small(by_class), "term")
-    named = named.where(F.array_contains("classes", F.col("name"))).select("doc_id", "doc_key", "term", F.lit("remove").alias("action"))
-    return (
-        words.union(named)
-        .groupBy("doc_id", "doc_key")
-        .agg(
-            F.array_sort(F.collect_set(F.when(F.col("action") == "generalise", F.col("term")))).alias("general"),
-            F.array_sort(F.collect_set(F.when(F.col("action") == "remove", F.col("term")))).alias("gone"),
-        )
-    )
+    of_class = named.select("doc_id", "doc_key", "names", F.explode("terms").alias("term")).join(small(by_class), "term")
+    of_class = of_class.where(F.array_contains("names", F.col("name"))).select("doc_id", "doc_key", "term", F.lit("remove").alias("action"))
+    # a word marked for removal is removed, whatever another entity asks for
+    return words.union(of_class).groupBy("doc_id", "doc_key", "term").agg(F.max("action").alias("action"))
 
 
 def term_spans(holders: DataFrame, own: DataFrame) -> DataFrame:
-    """doc_id, doc_key and ``terms``: the places of disclosing words in documents that hold the entity."""
-    own = small(materialise(own, "document-terms"), 50_000)
-    texts = holders.join(own, same_row(holders, own)).select(holders["doc_id"], holders["doc_key"], "text", "base", "general", "gone")
-    # a word marked for removal is removed, whatever another entity asks for
-    texts = texts.withColumn("general", F.array_except("general", "gone"))
-
-    def marked(words: str, order: int, kind: str) -> Column:
-        """The words of the text that are listed, from all of its words."""
-        return F.transform(
-            F.filter("words", lambda w: F.array_contains(words, F.lower(w["value"]))),
-            lambda w: F.struct(w["start"].alias("start"), F.lit(order).alias("order"), w["end"].alias("end"), F.lit(kind).alias("kind"), w["value"].alias("value")),
-        )
+    """doc_id, doc_key and ``terms``: the places of disclosing words in documents that hold the entity.
 
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.concat("general", "gone"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    texts = texts.withColumn("words", places(F.col("text"), pattern, 0, "word"))
-    both = F.array_sort(F.concat(marked("general", len(KINDS), "term"), marked("gone", len(KINDS) + 1, "removed")))
-    clear = F.filter(both, lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
-    return texts.select("doc_id", "doc_key", clear.alias("terms")).dropDuplicates(["doc_id", "doc_key"])
+    The words of these texts are dealt out one a row, joined to the listed ones and, in the order of their
+    places, held against the entities before and behind them.
+    """
+    own = materialise(own, "document-terms")
+    some = small(materialise(own.select(F.col("doc_id").alias("own_id"), F.col("doc_key").alias("own_key")).distinct(), "term-documents"))
+    texts = holders.join(some, (holders["doc_key"] == some["own_key"]) & holders["doc_id"].eqNullSafe(some["own_id"]), "left_semi")
+    words = texts.select("doc_id", "doc_key", F.explode(places(F.col("text"), TERM, 0, "word")).alias("w")).select("doc_id", "doc_key", "w.start", "w.end", "w.value")
+    listed_words = small(own.select(F.col("doc_id").alias("own_id"), F.col("doc_key").alias("own_key"), "term", "action"))
+    same = (words["doc_key"] == listed_words["own_key"]) & words["doc_id"].eqNullSafe(listed_words["own_id"]) & (F.lower(words["value"]) == listed_words["term"])
+    marked = words.join(listed_words, same).select("doc_id", "doc_key", "start", "end", "value", "action")
+    entities = texts.select("doc_id", "doc_key", F.explode("base").alias("b")).select("doc_id", "doc_key", "b.start", "b.end", F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("action"))
+    order = Window.partitionBy("doc_id", "doc_key").orderBy("start")
+    entity = F.col("action").isNull()
+    placed = marked.union(entities).select(
+        "*",
+        F.max(F.when(entity, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("before"),
+        F.min(F.when(entity, F.col("start"))).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("behind"),
+    )
+    clear = placed.where(~entity & (F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce("behind", "end") >= F.col("end")))
+    removed = F.col("action") == "remove"
+    span = F.struct("start", (removed.cast("int") + len(KINDS)).alias("order"), "end", F.when(removed, "removed").otherwise("term").alias("kind"), "value")
+    return clear.groupBy("doc_id", "doc_key").agg(F.array_sort(F.collect_set(span)).alias("terms"))
 
 
-def find(docs: DataFrame, least_gain: float = 2.0, rest: float = 0.6) -> DataFrame:
+def find(docs: DataFrame, least_gain: float = 2.0, rest: float = 0.6, chance: float = 0.001) -> DataFrame:
     """doc_id, doc_key, text, ``row`` (all columns), ``base`` spans and all ``spans`` of every document."""
     found = base_spans(docs)
     holders = materialise(holders_of(found), "holders")
-    extra = materialise(term_spans(holders, document_terms(docs, holders, least_gain, rest)), "term-spans")
+    extra = materialise(term_spans(holders, document_terms(docs, holders, least_gain, rest, chance)), "term-spans")
     joined = found.join(small(extra, 50_000), same_row(found, extra), "left")
     spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.coalesce("terms", F.array()))))
     return joined.select(found["doc_id"], found["doc_key"], "text", "row", "base", spans.alias("spans"))
@@ -288,21 +333,24 @@ def sanitised(text: Column, spans: Column, instead: str | None = None) -> Column
         kind = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
         return F.when(s["kind"] == "removed", "").when(s["kind"] == "term", F.concat(stem(s["value"]), F.lit("*"))).otherwise(kind)
 
-    step = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(
-                s["end"].alias("at"),
-                F.concat(
-                    acc["out"],
-                    F.substring(text, acc["at"] + 1, s["start"] - acc["at"]),
-                    name(s) if instead is None else F.lit(instead),
-                ).alias("out"),
-            )
-        ),
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(step["out"], F.substring(text, step["at"] + 1, F.length(text))))
+    # a place in a text is found from its beginning on, so the text is cut into blocks and pieces are taken from those
+    width = F.greatest(F.lit(2048), F.ceil(F.sqrt(F.length(text)) * 6).cast("int"))
+
+    def joined(t: Column) -> Column:
+        def piece(first: Column, last: Column) -> Column:
+            at, count = F.floor(first / t["width"]).cast("int"), F.floor(last / t["width"]).cast("int")
+            around = F.array_join(F.slice(t["blocks"], at + 1, count - at + 1), "")
+            return F.when(last > first, F.substring(around, first % t["width"] + 1, last - first)).otherwise("")
+
+        def before(s: Column, at: Column) -> Column:
+            return F.when(s["start"] < at, "").otherwise(F.concat(piece(at, s["start"]), name(s) if instead is None else F.lit(instead)))
+
+        return F.concat(F.array_join(F.zip_with(t["spans"], t["before"], before), ""), piece(F.array_max(F.transform(t["spans"], lambda s: s["end"])), F.length(text)))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / width).cast("int")), lambda i: F.substring(text, i * width + 1, width))
+    ends = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+    parts = F.struct(spans.alias("spans"), ends.alias("before"), width.alias("width"), blocks.alias("blocks"))
+    return F.when(F.size(spans) == 0, text).otherwise(let(parts, joined))
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
