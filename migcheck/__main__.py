@@ -1,4 +1,4 @@
-"""Command line: python -m migcheck {validate,profile,status,prove,observe,ingest} ..."""
+"""Command line: python -m migcheck {discover,enrich,rationalize,validate,profile,status,prove,observe,ingest} ..."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from migcheck import metadata
 from migcheck import project as p
 from migcheck.operators.profile import column_profile
 from migcheck.plans.runs import latest_runs, run_status
@@ -38,6 +39,17 @@ def main(args: list[str] | None = None) -> int:
     load = commands.add_parser("ingest", help="load the legacy side of every dataset that is not loaded yet")
     load.add_argument("project")
     load.add_argument("--target", required=True)
+    load.add_argument("--plan-only", action="store_true", help="show the order and strategies and load nothing")
+    find = commands.add_parser("discover", help="glossary, mappings, profiles, a normalisation plan and references of all datasets")
+    rate = commands.add_parser("rationalize", help="which tables are worth migrating")
+    for one in (find, rate):
+        one.add_argument("project")
+        one.add_argument("--metadata", default="metadata")
+    rate.add_argument("--catalog")
+    more = commands.add_parser("enrich", help="a discovered glossary with a catalog's descriptions and tags")
+    more.add_argument("catalog")
+    more.add_argument("--metadata", default="metadata")
+    more.add_argument("--terms")
     own = parser.parse_args(args)
     spark = SparkSession.builder.appName("migcheck").getOrCreate()
     if own.command == "status":
@@ -46,7 +58,21 @@ def main(args: list[str] | None = None) -> int:
     if own.command == "prove":
         proof_score(latest_runs(p.read_runs(spark, own.runs))).show(1000, truncate=False)
         return 0
+    if own.command == "enrich":
+        metadata.enrich(spark, own.metadata, own.catalog, own.terms).show(1000, truncate=False)
+        return 0
     config = p.load_config(own.project)
+    if own.command == "discover":
+        for name, df in metadata.discover(spark, config, own.metadata).items():
+            print(name)
+            df.show(1000, truncate=False)
+        return 0
+    if own.command == "rationalize":
+        metadata.rationalize(spark, config, own.metadata, own.catalog).show(1000, truncate=False)
+        return 0
+    if own.command == "ingest" and own.plan_only:
+        print(p.ingest_plan(config))
+        return 0
     if own.command == "observe":
         return int(p.observe(spark, config, own.baseline, own.now, own.alerts, set_baseline=own.set_baseline) > 0)
     if own.command == "ingest":

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from migcheck.functions.compare import parsed, same_reading, shortened
 
@@ -35,7 +36,8 @@ def matched(legacy: DataFrame, modern: DataFrame, key: tuple[str, str], pairs: l
     """key, one boolean for each pair of columns, ``equal`` and ``differences`` of the keys on both sides.
 
     A key is matched once: of rows that repeat it the last counts, by the columns named in ``latest``, else
-    by all values.  Keys meet as trimmed text; each value is read once, before the join.
+    by all values.  Keys meet as trimmed text.  Values with the same text are the same; only the others are
+    read as booleans, dates and numbers.
     """
 
     def side(df: DataFrame, own: int) -> DataFrame:
@@ -43,23 +45,37 @@ def matched(legacy: DataFrame, modern: DataFrame, key: tuple[str, str], pairs: l
         time = [F.col(latest[own]).alias("_latest")] if latest else []
         kept = df.select(F.trim(F.col(key[own]).cast("string")).alias("key"), *time, *(F.col(c).cast("string").alias(f"_{own}_{i}") for i, c in enumerate(names)))
         order = [F.desc_nulls_last("_latest")] if latest else []
-        kept = one_per_key(kept.where("key IS NOT NULL"), "key", [*order, *(F.desc_nulls_last(f"_{own}_{i}") for i in range(len(names)))])
-        return kept.select("key", *(parsed(F.col(f"_{own}_{i}")).alias(f"_{own}_{i}") for i in range(len(names))), *(F.col(f"_{own}_{i}").alias(f"_text_{own}_{i}") for i in range(len(names))))
+        return one_per_key(kept.where("key IS NOT NULL"), "key", [*order, *(F.desc_nulls_last(f"_{own}_{i}") for i in range(len(names)))])
+
+    def agree(i: int) -> Column:
+        a, b = F.col(f"_0_{i}"), F.col(f"_1_{i}")
+        return F.when(a.eqNullSafe(b), True).otherwise(same_reading(parsed(a), parsed(b)))
 
     joined = side(legacy, 0).join(side(modern, 1), "key")
-    same = [same_reading(F.col(f"_0_{i}"), F.col(f"_1_{i}")).alias(f"same_{b}") for i, (_, b) in enumerate(pairs)]
-    both = joined.select("key", *same, *(F.col(f"_text_{own}_{i}") for own in (0, 1) for i in range(len(pairs))))
+    both = joined.select("key", *(agree(i).alias(f"same_{b}") for i, (_, b) in enumerate(pairs)), *(F.col(f"_{own}_{i}") for own in (0, 1) for i in range(len(pairs))))
     differences = F.array_compact(F.array(*(
-        F.when(~F.col(f"same_{b}"), F.struct(F.lit(b).alias("column_name"), F.col(f"_text_0_{i}").alias("legacy"), F.col(f"_text_1_{i}").alias("modern")))
+        F.when(~F.col(f"same_{b}"), F.struct(F.lit(b).alias("column_name"), F.col(f"_0_{i}").alias("legacy"), F.col(f"_1_{i}").alias("modern")))
         for i, (_, b) in enumerate(pairs)
     )))
     equal = reduce(lambda x, y: x & y, (F.col(f"same_{b}") for _, b in pairs))
     return both.select("key", *(f"same_{b}" for _, b in pairs), equal.alias("equal"), differences.alias("differences"))
 
 
+#: Rows looked at for each key of a sample, before all keys are reduced to different ones.
+ROWS_A_KEY = 8
+
+
 def sampled(legacy: DataFrame, modern: DataFrame, key: tuple[str, str], n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(keys, legacy rows, modern rows) of ``n`` sampled keys: both tables are reduced by a semi join before any row is compared."""
-    keys = F.broadcast(sample_keys(legacy.select(key[0]).distinct(), key[0], n))  # n rows
+    """(keys, legacy rows, modern rows) of ``n`` sampled keys: both tables are reduced by a semi join before any row is compared.
+
+    The first rows in the order of the sample hold the keys, as a key's rows stand together there; only where
+    they repeat too few keys too often are all keys reduced first.
+    """
+    rows = sample_keys(legacy, key[0], ROWS_A_KEY * n).collect()  # a bounded number of keys
+    found = list(dict.fromkeys(r[0] for r in rows))[:n]
+    if len(found) < n and len(rows) == ROWS_A_KEY * n:
+        found = [r[0] for r in sample_keys(legacy.select(key[0]).distinct(), key[0], n).collect()]
+    keys = F.broadcast(legacy.sparkSession.createDataFrame([(k,) for k in found], T.StructType([legacy.schema[key[0]]])).coalesce(1))  # n rows
     return keys, legacy.join(keys, key[0], "left_semi"), modern.join(keys.withColumnRenamed(key[0], key[1]), key[1], "left_semi")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from migcheck.operators import checksum, comparing, governance, inclusion, inference, keys, profile, schema, transforms
 from migcheck.plans import loading, observer
 from migcheck.plugins import Plugins
+from migcheck.sources.incremental import incremental_load
 from migcheck.sources.tables import read_source
 
 # Governance settings of a project that states none.
@@ -280,11 +281,35 @@ def observe(spark: SparkSession, project: dict, baseline: str, now: str, alerts:
     return observer.dispatch(findings, alerts, plugins.on_drift)
 
 
+STRATEGIES = ("full_load", "incremental", "external")
+
+
+def ingest_plan(project: dict, plugins: Plugins | None = None) -> list[tuple[str, str]]:
+    """(dataset, strategy) in the order of loading: a plugin's strategy, else the dataset's, else a full load."""
+    chosen = [(name, (plugins or Plugins()).ingest_strategies.get(name, own.get("strategy", "full_load"))) for name, own in project["datasets"].items()]
+    for name, strategy in chosen:
+        if strategy not in STRATEGIES:
+            raise ValueError(f"unknown strategy {strategy!r} of {name}; known: {', '.join(STRATEGIES)}")
+    return chosen
+
+
 def ingest(spark: SparkSession, project: dict, target: str, plugins: Plugins | None = None) -> dict[str, str]:
-    """Load the legacy side of every dataset that is not loaded yet below ``target``; status by dataset."""
+    """Load the legacy side of every dataset below ``target``; status by dataset.
+
+    A full load is made once; an incremental one (``incremental``: changed_at, partition) takes what is new at
+    each call; an external one is left to another system and only noted.
+    """
     plugins = plugins or Plugins()
-    steps = [(name, Dataset.open(spark, project, name, plugins).legacy, f"{target}/{name}") for name in project["datasets"]]
-    state = loading.resume_loads(steps, f"{target}/_state")
+    plan = ingest_plan(project, plugins)
+    full = [(name, Dataset.open(spark, project, name, plugins).legacy, f"{target}/{name}") for name, strategy in plan if strategy == "full_load"]
+    state = loading.resume_loads(full, f"{target}/_state")
+    for name, strategy in plan:
+        if strategy == "external":
+            state[name] = "external"
+        elif strategy == "incremental":
+            d = Dataset.open(spark, project, name, plugins)
+            taken = incremental_load(d.legacy, f"{target}/{name}", d.key()[0], d.config["incremental"]["changed_at"], d.config["incremental"]["partition"])
+            state[name] = f"completed: {taken['changes']} changes"
     for callback in plugins.post_ingest:
         for name, status in state.items():
             callback(name, status)

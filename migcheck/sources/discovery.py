@@ -18,7 +18,7 @@ KINDS = {
     "program": "cbl cobol".split(),
 }
 
-# Words of record and file names that say what they are, not what they are about.
+# Words of record and file names that say what they are, not what they are about.
 RECORD_WORDS = ("record", "rec", "data", "file", "area", "work", "master", "mstr", "detail", "header", "hdr", "ws", "wk", "fd")
 
 # Short names of what a record is about -> words.
