@@ -129,12 +129,13 @@ def running(numbers: Column, plus: Callable[[Column, Column], Column]) -> Column
 
 def places(text: Column, pattern: str, order: int, kind: str, needs: str = "") -> Column:
     """Array of (start, order, end, kind, value) of all matches, in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
     empty = F.expr("cast(array() as array<struct<start:int,order:int,end:int,kind:string,value:string>>)")
 
-    def spans(both: Column) -> Column:
-        pairs = F.arrays_zip(F.slice(both["gaps"], 1, F.size(both["found"])).alias("gap"), both["found"].alias("value"))
+    def spans(found: Column) -> Column:
+        gaps = F.transform(F.split(text, pattern, -1), F.length)  # only looked for where there is a match
+        return let(F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("value")), placed)
+
+    def placed(pairs: Column) -> Column:
         before = running(F.transform(pairs, lambda x: x["gap"] + F.length(x["value"])), lambda a, b: a + b)
         return F.zip_with(
             pairs,
@@ -148,7 +149,7 @@ def places(text: Column, pattern: str, order: int, kind: str, needs: str = "") -
             ),
         )
 
-    walked = let(F.struct(found.alias("found"), gaps.alias("gaps")), lambda both: F.when(F.size(both["found"]) > 0, spans(both)).otherwise(empty))
+    walked = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, spans(found)).otherwise(empty))
     return F.when(text.contains(needs), walked).otherwise(empty) if needs else walked
 
 
