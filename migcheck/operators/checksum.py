@@ -81,8 +81,8 @@ def streamed_md5(df: DataFrame, column: str) -> DataFrame:
     return whole.agg(F.coalesce(F.max("checksum"), F.md5(F.lit("").cast("binary"))).alias("checksum"))
 
 
-def row_checksum(df: DataFrame, columns: list[str]) -> DataFrame:
-    """n, checksum of whole rows: each row's values are joined before they are hashed.
+def row_text(columns: list[str]) -> Column:
+    """All values of a row as one text.
 
     Bars and backslashes inside a value are escaped and a null is written as an escape of its own, so that
     different rows never make the same text.
@@ -92,5 +92,9 @@ def row_checksum(df: DataFrame, columns: list[str]) -> DataFrame:
         value = F.replace(F.replace(F.col(name).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
         return F.coalesce(value, F.lit("\\N"))
 
-    text = F.concat_ws("|", *map(written, columns))
-    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(short_hash(text)), F.lit(0)).cast("string").alias("checksum"))
+    return F.concat_ws("|", *map(written, columns))
+
+
+def row_checksum(df: DataFrame, columns: list[str]) -> DataFrame:
+    """n, checksum of whole rows: each row's values are joined before they are hashed (see :func:`row_text`)."""
+    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(short_hash(row_text(columns))), F.lit(0)).cast("string").alias("checksum"))

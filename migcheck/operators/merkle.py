@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from migcheck.operators.checksum import short_hash
+from migcheck.operators.checksum import row_text, short_hash
 
 FANOUT = 16
 
@@ -21,16 +21,6 @@ FANOUT = 16
 MOST_RANGES = 200
 
 
-def row_text(columns: list[str]) -> Column:
-    """All values of a row as one text; bars and backslashes are escaped, a null is an escape of its own."""
-
-    def written(name: str) -> Column:
-        value = F.replace(F.replace(F.col(name).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
-        return F.coalesce(value, F.lit("\\N"))
-
-    return F.concat_ws("|", *map(written, columns))
-
-
 def leaf_of(key: str, width: int) -> Column:
     """The number of a key's range; rows without a key are in one of their own (null)."""
     return F.floor(F.col(key) / F.lit(width)).cast("long")

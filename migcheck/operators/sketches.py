@@ -6,8 +6,6 @@ sketch.  Rows of several days, partitions or tables merge into those of the whol
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
