@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from migcheck.operators import sketches
 from migcheck.operators.keys import orphan_keys
 from migcheck.operators.profile import column_profile
 from migcheck.operators.schema import schema_drift, schema_of
@@ -41,6 +42,23 @@ def load_baseline(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def save_sketches(tables: dict[str, DataFrame], path: str) -> None:
+    """Sketches of every column, beside a baseline: later ones are held against them without a look at the former rows."""
+    for name, df in tables.items():
+        sketches.column_sketches(df).coalesce(1).write.mode("overwrite").parquet(f"{path}/table={name}")  # a row a column
+
+
+def distribution_drift(tables: dict[str, DataFrame], path: str, distinct: float = 0.1, rank: float = 0.05) -> DataFrame:
+    """Findings of columns whose distinct counts or medians moved from the sketches below ``path`` (see :func:`migcheck.operators.sketches.drift`)."""
+
+    def one(name: str, df: DataFrame) -> DataFrame:
+        before = df.sparkSession.read.parquet(f"{path}/table={name}")
+        found = sketches.drift(before, sketches.column_sketches(df), distinct, rank)
+        return _finding("distribution_drift", name, found, F.lit(True), F.concat_ws(":", "change", "column_name", "detail"))
+
+    return reduce(DataFrame.union, (one(name, df) for name, df in tables.items()))
+
+
 def _finding(check: str, table: str, rows: DataFrame, alert: Column, detail: Column) -> DataFrame:
     return rows.select(F.lit(check).alias("check"), F.lit(table).alias("table"), F.lit(SEVERITY.get(check, "MEDIUM")).alias("severity"), alert.alias("alert"), detail.cast("string").alias("detail"))
 

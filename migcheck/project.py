@@ -268,13 +268,18 @@ def observe(spark: SparkSession, project: dict, baseline: str, now: str, alerts:
     """Hold every dataset's modern table against the stored baseline and hand on the alerts; how many there were.
 
     With ``set_baseline`` the baseline is written anew and nothing is observed; without a stored one it is an error.
+    A project with ``"sketches": true`` keeps sketches of all columns too and is told when their values drift.
     """
     plugins = plugins or Plugins()
     tables = {name: Dataset.open(spark, project, name, plugins).modern for name in project["datasets"]}
     if set_baseline:
         observer.save_baseline(tables, baseline)
+        if project.get("sketches"):
+            observer.save_sketches(tables, f"{baseline}-sketches")
         return 0
     findings = observer.observe(tables, observer.load_baseline(spark, baseline), now)
+    if project.get("sketches"):
+        findings = findings.union(observer.distribution_drift(tables, f"{baseline}-sketches"))
     for check in plugins.observer_checks:
         for name, df in tables.items():
             findings = findings.unionByName(check(spark, name, df))

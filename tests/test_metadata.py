@@ -85,3 +85,16 @@ def test_governance_as_csv(spark, tmp_path):
     metadata.write_governance(run, spark, str(tmp_path / "out"))
     got = {(r.check, r.kind, r.item) for r in spark.read.csv(str(tmp_path / "out"), header=True).collect()}
     assert got == {("governance", "nulls", "a"), ("unmapped_columns", "columns", "b")}
+
+
+def test_sketches_of_a_baseline_tell_drift(spark, tmp_path):
+    spark.range(5000).selectExpr("id", "id % 10 AS kind").write.parquet(str(tmp_path / "t"))
+    files = {"connection": "files", "path": str(tmp_path / "t")}
+    config = {"connections": {"files": {"type": "parquet"}}, "datasets": {"t": {"legacy": files, "modern": files}}, "sketches": True}
+    args = (spark, config, str(tmp_path / "base"), "2026-01-01 00:00:00", str(tmp_path / "alerts"))
+    assert project.observe(*args, set_baseline=True) == 0 and project.observe(*args) == 0
+    spark.range(5000, 10000).selectExpr("id", "id % 40 AS kind").write.mode("overwrite").parquet(str(tmp_path / "t"))
+    spark.catalog.refreshByPath(str(tmp_path / "t"))
+    assert project.observe(*args) == 3
+    told = {":".join(r.detail.split(":")[:2]) for r in spark.read.json(str(tmp_path / "alerts")).collect()}
+    assert told == {"quantile:id", "distinct:kind", "quantile:kind"}
