@@ -154,3 +154,21 @@ def test_sketch_overlap_and_drift(spark):
     assert sketches.drift(a, a).count() == 0
     empty = sketches.estimates(sketches.column_sketches(before.where("false")))
     assert {(r.column_name, r.n, r.distinct_estimate) for r in empty.collect()} == {(c, 0, 0) for c in ("key", "part", "none")}
+
+
+def test_keys_are_looked_for_in_slices_and_by_whole_sets(spark, monkeypatch):
+    monkeypatch.setattr(uniqueness, "LEAST", 10)
+    monkeypatch.setattr(uniqueness, "TASK", 100)
+    monkeypatch.setattr(uniqueness, "ALONE", 100)
+    rows = [{"a": i % 40, "b": f"x{i // 40}", "c": float(i % 60), "d": i // 60, "e": "y" * 300 + str(i % 7)} for i in range(2_400)]
+    rows += [{"a": 40, "b": "x70", "c": 0.0, "d": 99, "e": "z"}, {"a": 40, "b": "x71", "c": -0.0, "d": 99, "e": "z"}]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "a int, b string, c double, d int, e string")
+    assert uniqueness.minimal_keys(df) == brute_keys(rows, "abcde")
+    assert ("a", "b") in uniqueness.minimal_keys(df) and ("c", "d") not in uniqueness.minimal_keys(df)
+    names = ["a", "b", "c", "d", "e"]
+    assert uniqueness.repeated(df, [("a", "b"), ("c", "d")], 2_402, names) == {("c", "d")}
+
+
+def test_each_row_is_dealt_out_once_for_sets_that_share_a_column(spark):
+    assert uniqueness.dealt([("a", "b"), ("a", "c"), ("d",)], set()) == {("a",): [("a", "b"), ("a", "c")], ("d",): [("d",)]}
+    assert uniqueness.dealt([("a", "b"), ("a", "c")], {"a", "b"}) == {("a", "b"): [("a", "b")], ("c",): [("a", "c")]}
