@@ -34,19 +34,20 @@ def kind_of(data_type: T.DataType) -> str | None:
     return "time" if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)) else None
 
 
-def cell(name: str, kind: str) -> Column:
+def cell(name: str, kind: str, as_written: bool = False) -> Column:
     if kind == "number":
-        return (F.col(name) + F.lit(0)).cast("double").cast("string")
+        return (F.col(name) if as_written else F.col(name) + F.lit(0)).cast("double").cast("string")
     if kind == "text":
         return F.when(F.length(name) > LONGEST, F.sha2(name, 256)).otherwise(F.col(name))
     return F.col(name).cast("string")
 
 
-def inclusions(tables: dict[str, DataFrame]) -> DataFrame:
+def inclusions(tables: dict[str, DataFrame], as_written: bool = False) -> DataFrame:
     """child_table, child_column, parent_table, parent_column, n_values, n_shared, coverage, parent_unique of all pairs that share a value.
 
     ``n_values`` are the child's distinct values, nulls aside, ``n_shared`` those of them that the parent
     has too; ``parent_unique`` tells that no value of the parent repeats.  Pairs are within and between tables.
+    With ``as_written`` numbers meet by their texts, as they do in SQL over texts: -0.0 is then another value than 0.0.
     """
     columns = [(table, f.name, kind) for table, df in tables.items() for f in df.schema.fields if (kind := kind_of(f.dataType))]
     spark = next(iter(tables.values())).sparkSession
@@ -57,7 +58,7 @@ def inclusions(tables: dict[str, DataFrame]) -> DataFrame:
 
     def tagged(table: str, df: DataFrame) -> DataFrame:
         cells = [
-            F.struct(F.lit(kind).alias("kind"), cell(name, kind).alias("value"), *(F.lit(b).cast("long").alias(w) for w, b in zip(words, bits(i))))
+            F.struct(F.lit(kind).alias("kind"), cell(name, kind, as_written).alias("value"), *(F.lit(b).cast("long").alias(w) for w, b in zip(words, bits(i))))
             for i, (owner, name, kind) in enumerate(columns)
             if owner == table
         ]

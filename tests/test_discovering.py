@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from migcheck.operators import inclusion, merkle, sketches, uniqueness, vector, vector_index
+from migcheck.queries import discovering
 
 
 def test_inclusions(spark):
@@ -172,3 +173,17 @@ def test_keys_are_looked_for_in_slices_and_by_whole_sets(spark, monkeypatch):
 def test_each_row_is_dealt_out_once_for_sets_that_share_a_column(spark):
     assert uniqueness.dealt([("a", "b"), ("a", "c"), ("d",)], set()) == {("a",): [("a", "b"), ("a", "c")], ("d",): [("d",)]}
     assert uniqueness.dealt([("a", "b"), ("a", "c")], {"a", "b"}) == {("a", "b"): [("a", "b")], ("c",): [("a", "c")]}
+
+
+def test_inclusions_meet_negative_zero_as_their_sql_does(spark, sf_dir, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    db = duckdb.connect()
+    for name in discovering.COLUMNS:
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        if name == "customer":
+            df = df.withColumn("c_acctbal", F.when(F.col("c_custkey") % 2 == 0, F.lit(-0.0)).otherwise(F.col("c_acctbal")))
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for query in ("inclusion_dependencies", "derived_references"):
+        expected = set(db.execute(discovering.R.oracles[query]).fetchall())
+        assert {tuple(r) for r in discovering.R.queries[query](spark, str(tmp_path)).collect()} == expected
