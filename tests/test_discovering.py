@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,3 +189,17 @@ def test_inclusions_meet_negative_zero_as_their_sql_does(spark, sf_dir, tmp_path
     for query in ("inclusion_dependencies", "derived_references"):
         expected = set(db.execute(discovering.R.oracles[query]).fetchall())
         assert {tuple(r) for r in discovering.R.queries[query](spark, str(tmp_path)).collect()} == expected
+
+
+def test_products_of_blocks_take_bounded_memory():
+    rng = np.random.default_rng(0)
+    questions, values, ids = rng.normal(size=(1_000, 16)), rng.normal(size=(1_000, 16)), rng.permutation(1_000)
+    tracemalloc.start()
+    others, score = vector.closest(questions, values, ids, 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8_000_000  # less than all products
+    exact = np.round(questions @ values.T, 4)
+    for row in range(0, 1_000, 100):
+        want = np.lexsort((ids, -exact[row]))[:5]
+        assert others[row].tolist() == ids[want].tolist() and np.allclose(score[row], exact[row][want])
