@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from migcheck.operators.vector import closest, numbers
+
 #: Vectors the centroids are fitted on.
 SAMPLE = 20_000
 
@@ -28,6 +30,9 @@ MOST_CELLS = 4_096
 BLOCK = 1_000
 PART = 8_000
 
+#: Bytes of distances, or of rows for the cells of queries, made at a time; they don't grow with the number of cells.
+STEP = 8_000_000
+
 #: Queries that tell how many cells a search needs.
 TRIALS = 200
 
@@ -73,9 +78,23 @@ def matrix(batch: pa.RecordBatch, cosine: bool) -> np.ndarray:
 
 def nearest(values: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest centroid of each row, and its distance."""
-    square = (values**2).sum(1, keepdims=True) - 2 * values @ centroids.T + (centroids**2).sum(1)
-    cell = square.argmin(1)
-    return cell, np.linalg.norm(values - centroids[cell], axis=1)
+    cell, step = np.zeros(len(values), np.int64), max(1, STEP // (8 * max(1, len(centroids))))
+    far, length = np.zeros(len(values)), (centroids**2).sum(1)
+    for at in range(0, len(values), step):
+        some = values[at : at + step]
+        cell[at : at + step] = near = (length - 2 * some @ centroids.T).argmin(1)
+        far[at : at + step] = np.linalg.norm(some - centroids[near], axis=1)
+    return cell, far
+
+
+def steps(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches, of so many queries that a row for each of ``cells`` takes :data:`STEP` bytes at most, or one query."""
+    for batch in batches:
+        if batch.num_rows and cells:
+            width = len(batch["embedding"].flatten()) // batch.num_rows
+            step = max(1, STEP // (8 * cells * max(1, width)))
+            for at in range(0, batch.num_rows, step):
+                yield batch.slice(at, step)
 
 
 def fit(vectors: DataFrame, cells: int, cosine: bool, rounds: int = 12) -> np.ndarray:
@@ -180,9 +199,7 @@ def further(index: Index, queries: DataFrame, reached: DataFrame, probes: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.array(names.value, dtype=np.int32)
         centroids, radii = held.value
-        for batch in batches:
-            if not batch.num_rows or not len(cells):
-                continue
+        for batch in steps(batches, len(cells)):
             values = matrix(batch, cosine)
             dots = values @ centroids.T
             bound = dots + np.linalg.norm(values, axis=1, keepdims=True) * radii
@@ -200,17 +217,17 @@ def further(index: Index, queries: DataFrame, reached: DataFrame, probes: int) -
 def scored(index: Index, asked: DataFrame, k: int) -> DataFrame:
     """:data:`FOUND`: up to ``k`` rows of every block for each query of ``asked`` (cell, id, values) sent to its cell."""
 
+    def pair(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
+        cell, q_size, q_ids, q_values, size, ids, values = (c[at] for c in batch.columns)
+        others, score = closest(numbers(q_values).reshape(q_size.as_py(), -1), numbers(values).reshape(size.as_py(), -1), numbers(ids, np.int64), k)
+        columns = [np.repeat(numbers(q_ids, np.int64), score.shape[1]), np.full(score.size, cell.as_py(), np.int32), others.ravel(), score.ravel()]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "cell", "vec_id", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cell, q_size, q_ids, q_values, size, ids, values in zip(*(c.to_pylist() for c in batch.columns)):
-                names, others = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
-                dot = np.frombuffer(q_values).reshape(q_size, -1) @ np.frombuffer(values).reshape(size, -1).T
-                score = np.copysign(np.floor(np.abs(dot) * 1e4 + 0.5) / 1e4, dot)
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # the ids of a block rise, so ties go by id
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(names, best.shape[1])), pa.array(np.full(best.size, cell, np.int32)), pa.array(others[best].ravel()), pa.array(np.take_along_axis(score, best, 1).ravel())],
-                    names=["query_id", "cell", "vec_id", "score"],
-                )
+            for at in range(batch.num_rows):
+                yield pair(batch, at)
+            del batch  # before the next one is read
 
     questions = blocked(asked, index.parts).select("cell", *(F.col(c).alias(f"query_{c}") for c in ("size", "ids", "values")))
     spread = questions.join(F.broadcast(index.parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

@@ -191,6 +191,22 @@ def test_inclusions_meet_negative_zero_as_their_sql_does(spark, sf_dir, tmp_path
         assert {tuple(r) for r in discovering.R.queries[query](spark, str(tmp_path)).collect()} == expected
 
 
+def test_cells_of_queries_are_given_in_bounded_steps(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vector_index, "STEP", 20_000)
+    index = vector_index.build(vectors_of(spark, 600), f"file://{tmp_path}/index", cells=40)
+    batch = pa.RecordBatch.from_pydict({"vec_id": list(range(100)), "embedding": [[float(i)] * 16 for i in range(100)]})
+    cut = list(vector_index.steps(iter([batch, batch.slice(0, 0)]), 40))
+    assert sum(b.num_rows for b in cut) == 100 and max(b.num_rows for b in cut) * 40 * 16 * 8 <= 20_000
+    assert [x for b in cut for x in b["vec_id"].to_pylist()] == list(range(100))
+    values, centroids = np.random.default_rng(0).normal(size=(500, 16)), np.random.default_rng(1).normal(size=(40, 16))
+    cell, far = vector_index.nearest(values, centroids)
+    distances = np.linalg.norm(values[:, None] - centroids, axis=2)
+    assert (cell == distances.argmin(1)).all() and np.allclose(far, distances.min(1))
+    found = vector_index.search(index, vectors_of(spark, 600).where("vec_id % 50 = 0"), 7, probes=2, exact=True)
+    expected = vector.top_similar(vectors_of(spark, 600), vectors_of(spark, 600).where("vec_id % 50 = 0"), 7)
+    assert {tuple(r) for r in found.select("query_id", "vec_id", "score", "rank").collect()} == {tuple(r) for r in expected.collect()}
+
+
 def test_products_of_blocks_take_bounded_memory():
     rng = np.random.default_rng(0)
     questions, values, ids = rng.normal(size=(1_000, 16)), rng.normal(size=(1_000, 16)), rng.permutation(1_000)
